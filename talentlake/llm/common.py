@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, mo
             if len(col):
                 yield batch
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and (held + n > most_bytes or i - start >= most_rows):
@@ -76,7 +78,12 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, mo
 
 
 def map_text(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over blocks of bounded size."""
+    """``mapInArrow`` over blocks of bounded size. Python workers also look for this package where the driver has
+    it; on a cluster it is installed or shipped with ``--py-files``."""
+    paths = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in paths.get("PYTHONPATH", "").split(":"):
+        paths["PYTHONPATH"] = ":".join(filter(None, [paths.get("PYTHONPATH"), root]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return function(text_blocks(batches))
