@@ -51,8 +51,8 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS nth
             FROM starts),
         gone AS (
-            SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS at FROM marked WHERE nth > 1),
-        lists AS (SELECT doc_id, list(at) AS gone FROM gone GROUP BY doc_id)
+            SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM marked WHERE nth > 1),
+        lists AS (SELECT doc_id, list(k) AS gone FROM gone GROUP BY doc_id)
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
                sha256(array_to_string(CASE WHEN gone IS NULL THEN ws
                    ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
