@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space as the contracts name it: \x20 and \x09 to \x0D.
@@ -77,7 +78,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, mo
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_text(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over blocks of bounded size. Python workers also look for this package where the driver has
     it; on a cluster it is installed or shipped with ``--py-files``."""
     paths = df.sparkSession.sparkContext.environment
