@@ -7,8 +7,9 @@ give equal pairs equal names without exchanging a table, and the parse of a pass
 it occurs, but for a few symbols at its edges.
 
 What a window of WINDOW words can know of the parse is tracked exactly: for each start (and each end) the first
-(last) symbol boundary that the words inside settle, level by level. The settled boundary of the highest level in
-the middle of the window is its anchor; equal windows have equal anchors. Then, on Spark:
+(last) symbol boundary that the words inside settle, level by level. Of the settled symbols in the middle of a window
+the one with the least hash gives its anchor, so equal windows have equal anchors, and neighbouring windows mostly share
+one. Then, on Spark:
 
 1. documents with equal word sequences (equal top symbols) are settled as a whole: all but the first lose what
    windows cover, which is everything,
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import cut, free_name, map_text
 
 WINDOW = 20
-#: Words on either side of an anchor that are counted with it, and where in a window an anchor may lie.
-AROUND = 6
-LEVELS = 7
+#: Words on either side of an anchor that are counted with it, and how far from the ends of a window it lies at least.
+AROUND = 4
+#: Rounds for anchors: after two, every window of words that do not repeat at once has settled symbols in its middle.
+LEVELS = 2
 KNOWN_WORDS = 300_000
 U = np.uint64
 
@@ -99,12 +101,12 @@ def window_starts(offsets: np.ndarray) -> np.ndarray:
 def anchors(names: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The anchor of the window at each of ``starts``, a place among ``names``."""
     n = len(names)
+    anchor = starts + AROUND
     sym, at = names, np.arange(n, dtype=np.int64)
     first = np.zeros(n + 1, bool)
     first[offsets[offsets < n]] = True
     first[n] = True
     left, right = starts.copy(), starts + WINDOW
-    anchor = starts + AROUND
     live = np.arange(len(starts))
     for level in range(LEVELS):
         # Runs: between its first and last symbol a run of four or more becomes one symbol.
@@ -142,8 +144,6 @@ def anchors(names: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.nd
         right = right - is_left[right - 1]
         keep = left < right
         live, left, right = live[keep], left[keep], right[keep]
-        if not len(live):
-            break
         j = np.flatnonzero(joins)
         sym = sym.copy()
         sym[j] = mix(sym[j], sym[j + 1], 3000 + level)
@@ -152,15 +152,24 @@ def anchors(names: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.nd
         place = np.cumsum(stays) - 1
         left, right = place[left], place[right - 1] + 1
         sym, at, first = sym[stays], at[stays], np.append(first[:m][stays], True)
-        edges = np.append(at, n)
+    # Of the settled symbols in the middle of the window, the start of the one with the least hash.
+    if len(live):
+        rank = mix(sym, 0, 4000)
         is_edge = np.zeros(n + 2, np.int64)
         is_edge[at + 1] = 1
-        next_edge = np.cumsum(is_edge)  # at x: how many boundaries lie before x, so the first one at or after it
-        begin = starts[live]
-        best = np.maximum(left, next_edge[begin + AROUND])
-        good = best <= right
-        good &= edges[np.minimum(best, len(at))] <= begin + WINDOW - AROUND
-        anchor[live[good]] = edges[best[good]]
+        next_edge = np.cumsum(is_edge)  # at x: how many symbols start before x, so the first that starts there or later
+        first_one = np.maximum(left, next_edge[starts[live] + AROUND])
+        last_one = np.minimum(right, next_edge[starts[live] + WINDOW - AROUND + 1]) - 1
+        some = first_one <= last_one
+        live, first_one, last_one = live[some], first_one[some], last_one[some]
+        power = np.log2(last_one - first_one + 1).astype(np.int64)
+        table = np.arange(len(rank))  # at i, in turn: the least of one, two, four ... symbols from i on
+        for k in range(int(power.max(initial=0)) + 1):
+            now = np.flatnonzero(power == k)
+            a, b = table[first_one[now]], table[last_one[now] - (1 << k) + 1]
+            anchor[live[now]] = at[np.where(rank[a] <= rank[b], a, b)]
+            a, b = table[: -(1 << k)], table[1 << k :]
+            table = np.append(np.where(rank[a] <= rank[b], a, b), table[-(1 << k) :])
     return anchor
 
 
@@ -242,14 +251,14 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = single.select("id", "rev", F.explode(F.arrays_zip("keys", "places")).alias("a")).select("id", "rev", F.col("a.keys").alias("key"), F.col("a.places").alias("place"))
     again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     places = found.join(again, "key", "left_semi").groupBy("id", "rev").agg(F.collect_set("place").alias("places"))
-    some = cut(known.dropDuplicates(["id", "rev"]).join(places, ["id", "rev"]), "passages-candidates")
+    some = cut(known.join(places.hint("shuffle_hash"), ["id", "rev"]), "passages-candidates")
     windows = cut(map_text(some, _windows, "id long, rev int, start int, one long, two int"), "passages-windows")
     place = F.struct("id", "rev", "start")
     earliest = windows.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = windows.join(earliest, ["one", "two"]).where(place > F.col("earliest"))
     starts = later.groupBy("id", "rev").agg(F.collect_list("start").alias("starts"))
-    cleaned = map_text(some.select("id", "rev", "text").join(starts, ["id", "rev"]), _cleaned, "id long, rev int, n_kept long, kept_sha256 string, kept_text string")
-    return profile, cleaned
+    cleaned = map_text(some.select("id", "rev", "text").join(starts.hint("shuffle_hash"), ["id", "rev"]), _cleaned, "id long, rev int, n_kept long, kept_sha256 string, kept_text string")
+    return profile, cleaned.dropDuplicates(["id", "rev"])
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
