@@ -35,10 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there and
-    a lost executor costs nothing that was computed before."""
+    a lost executor costs nothing that was computed before. Spark drops the shuffle files of plans that the driver's
+    collector has found unused, so the collector is asked to look."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

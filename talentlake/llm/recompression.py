@@ -173,6 +173,11 @@ def anchors(names: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.nd
     return anchor
 
 
+def anchor_keys(names: np.ndarray) -> np.ndarray:
+    """At i, the key of an anchor at i + AROUND: a fingerprint of the words around it."""
+    return spans(names, 2 * AROUND, 7).view(np.int64)
+
+
 #: Stands for a null doc_id: smaller than any other.
 NO_ID = -(2**63)
 
@@ -182,7 +187,7 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         words, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist())
         starts = window_starts(offsets)
         places = np.unique(anchors(names, offsets, starts))
-        keys = spans(names, 2 * AROUND, 7)[places - AROUND].view(np.int64)
+        keys = anchor_keys(names)[places - AROUND]
         doc = np.searchsorted(offsets, places, "right") - 1
         bounds = np.zeros(len(words) + 1, np.int32)
         np.cumsum(np.bincount(doc, minlength=len(words)), out=bounds[1:])
@@ -190,21 +195,21 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             batch.column("id"), batch.column("rev"), pa.array([len(w) for w in words], pa.int64()),
             pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]),
             pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)),
-            pa.ListArray.from_arrays(pa.array(bounds), pa.array((places - offsets[doc]).astype(np.int32))),
-        ], ["id", "rev", "n_words", "words_sha256", "keys", "places"])
+        ], ["id", "rev", "n_words", "words_sha256", "keys"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows at the given anchors: id, rev, start, two fingerprints of all its words."""
+    """The windows at anchors with one of the given keys: id, rev, start, two fingerprints of all its words."""
     for batch in batches:
         _, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist())
         starts = window_starts(offsets)
-        chosen = anchors(names, offsets, starts)
-        wanted = np.zeros(len(names) + 1, bool)
-        lists = batch.column("places")
-        owner = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        wanted[offsets[owner] + lists.flatten().to_numpy(zero_copy_only=False)] = True
-        starts = starts[wanted[chosen]]
+        keys = anchor_keys(names)[anchors(names, offsets, starts) - AROUND]
+        wanted = np.zeros(len(starts), bool)
+        edges = np.searchsorted(starts, offsets)
+        for k, own in enumerate(batch.column("keys")):
+            part = slice(edges[k], edges[k + 1])
+            wanted[part] = np.isin(keys[part], own.values.to_numpy())
+        starts = starts[wanted]
         doc = np.searchsorted(offsets, starts, "right") - 1
         one, two = spans(names, WINDOW, 100), spans(names, WINDOW, 9000)
         yield pa.RecordBatch.from_arrays([
@@ -243,20 +248,20 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sequence is that of an earlier document). cleaned has a row for each document that is no copy and loses words:
     id, rev, n_kept, kept_sha256, kept_text."""
     known = _keyed(docs)
-    table = cut(map_text(known, _document_rows, "id long, rev int, n_words long, words_sha256 string, keys array<long>, places array<int>"), "passages-table")
+    table = cut(map_text(known, _document_rows, "id long, rev int, n_words long, words_sha256 string, keys array<long>"), "passages-table")
     least = table.groupBy("words_sha256").agg(F.min("id").alias("first_id"))
     profile = table.select("id", "rev", "n_words", "words_sha256").join(least, "words_sha256")
     profile = cut(profile.select("id", "rev", "n_words", "words_sha256", (F.col("id") > F.col("first_id")).alias("copy")), "passages-profile")
     single = table.join(profile.where("copy").select("id", "rev"), ["id", "rev"], "left_anti")
-    found = single.select("id", "rev", F.explode(F.arrays_zip("keys", "places")).alias("a")).select("id", "rev", F.col("a.keys").alias("key"), F.col("a.places").alias("place"))
+    found = single.select("id", "rev", F.explode("keys").alias("key"))
     again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    places = found.join(again, "key", "left_semi").groupBy("id", "rev").agg(F.collect_set("place").alias("places"))
-    some = cut(known.join(places.hint("shuffle_hash"), ["id", "rev"]), "passages-candidates")
+    keys = found.join(again.hint("shuffle_hash"), "key", "left_semi").groupBy("id", "rev").agg(F.collect_set("key").alias("keys"))
+    some = cut(known.join(cut(keys, "passages-keys").hint("shuffle_hash"), ["id", "rev"]), "passages-candidates")
     windows = cut(map_text(some, _windows, "id long, rev int, start int, one long, two int"), "passages-windows")
     place = F.struct("id", "rev", "start")
     earliest = windows.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(earliest, ["one", "two"]).where(place > F.col("earliest"))
-    starts = later.groupBy("id", "rev").agg(F.collect_list("start").alias("starts"))
+    later = windows.join(earliest.hint("shuffle_hash"), ["one", "two"]).where(place > F.col("earliest"))
+    starts = cut(later.groupBy("id", "rev").agg(F.collect_list("start").alias("starts")), "passages-starts")
     cleaned = map_text(some.select("id", "rev", "text").join(starts.hint("shuffle_hash"), ["id", "rev"]), _cleaned, "id long, rev int, n_kept long, kept_sha256 string, kept_text string")
     return profile, cleaned.dropDuplicates(["id", "rev"])
 
