@@ -154,18 +154,18 @@ class Lattice:
             best[start] = 0.0
             order = np.argsort(depth, kind="stable")
             cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for t, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
                 at = order[lo:hi]
-                value = candidates(best, at)
+                value = candidates(best, at, min(t, self.model.longest))  # no edge is longer than the way back
                 by[at] = value.argmax(axis=1)
                 best[at] = value[np.arange(len(at)), by[at]]
             return best, by
 
-        self.forward, by = sweep(places - self.first[owner], self.first, lambda best, at: best[np.maximum(at[:, None] - back, 0)] + self.scores[at])
+        self.forward, by = sweep(places - self.first[owner], self.first, lambda best, at, k: best[at[:, None] - back[:k]] + self.scores[at, :k])
 
-        def onward(best: np.ndarray, at: np.ndarray) -> np.ndarray:
-            to = np.minimum(at[:, None] + back, n - 1)
-            return np.where(at[:, None] + back < n, best[to] + self.scores[to, column], -np.inf)
+        def onward(best: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+            to = at[:, None] + back[:k]
+            return best[to] + self.scores[to, column[:k]]
 
         backward, _ = sweep(self.last[owner] - places, self.last, onward)
         # The best path of each segment, from its end, all side by side.
@@ -185,13 +185,13 @@ class Lattice:
     def best_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the best paths, one after another; how many of each segment)."""
         ids, owner = self.path_ids, self.path_owner
-        if (ids == UNKNOWN).any():
-            flat, of = [], []
-            for e, o, p in zip(ids.tolist(), owner.tolist(), self.path.tolist()):
-                out = self.model.spelled(e, self.segments[o][p - 1 - self.first[o]])
-                flat += out
-                of += [o] * len(out)
-            ids, owner = np.array(flat, np.int32), np.array(of)
+        lone = np.flatnonzero(ids == UNKNOWN)
+        if len(lone):
+            spelled = [self.model.spelled(UNKNOWN, self.segments[o][p]) for o, p in zip(owner[lone].tolist(), (self.path[lone] - 1 - self.first[owner[lone]]).tolist())]
+            counts = np.ones(len(ids), np.int64)
+            counts[lone] = list(map(len, spelled))
+            ids, owner = np.repeat(ids, counts), np.repeat(owner, counts)
+            ids[ids == UNKNOWN] = [i for out in spelled for i in out]
         return ids, np.bincount(owner, minlength=len(self.segments))
 
     def n_best(self, k: int, n: int) -> list[tuple[float, list[int]]]:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language, packing, quality, recompression, sharding, simhash, transducer
+from . import exact_dedup, html_text, language, packing, pieces, quality, recompression, sharding, simhash, transducer
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_piece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.n_best_report(_table(spark, sf_dir, "documents"), PIECE_MODEL, n=4)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_kd_sharding": op4_kd_sharding,
+    "op5_piece_n_best": op5_piece_n_best,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
