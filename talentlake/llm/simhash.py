@@ -48,14 +48,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row."""
+    """(doc_id, rev, fp) for every row; rev, a hash of the text, tells rows apart that share a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rev"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "rev", "fp"])
 
-    return map_text(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), run, "doc_id long, fp long")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("rev"), text.alias("text")), run, "doc_id long, rev int, fp long")
 
 
 def distance(points: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -178,6 +179,17 @@ def near_links(points: DataFrame, reach: int = RADIUS, shards: int = SHARDS) ->
     return points.select("fp").mapInArrow(route, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(shard_edges, "a long, b long")
 
 
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int = SHARDS) -> DataFrame:
+    """doc_id, rev, fp and `least` (doc_id, rev) of every row: the first row, nulls last, of those its links reach."""
+    known = cut(fingerprints(docs, shingle), "simhash-fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rev"))
+    points = cut(known.groupBy("fp").agg(first.alias("least")), "simhash-points")
+    roots = components(near_links(points, reach, shards))
+    placed = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", F.col("first").alias("least"))
+    return known.join(cut(named, "simhash-named"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int = SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
@@ -185,9 +197,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
     shingle; null and empty texts have the fingerprint zero and are linked like others. A null doc_id counts in no
     component_id (null if no other is there). Equal rows get equal results; an empty table gives an empty result; extra
     columns are ignored. ``shards`` should grow with the distinct fingerprints, some 100 000 a shard."""
-    known = cut(fingerprints(docs, shingle), "simhash-fingerprints")
-    points = cut(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
-    roots = components(near_links(points, reach, shards))
-    placed = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return known.join(cut(named, "simhash-named"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = near_classes(docs, shingle, reach, shards)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest doc_id.
+
+    Rows that repeat both doc_id and text are one document and stay or go together; of rows that share a doc_id but not
+    the text, a hash of the text decides; null ids come last."""
+    id_, rev = free_name(docs, "near_id", "near_rev")
+    rows = near_classes(docs, shingle, reach, shards)
+    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("rev") == F.col("least.rev")))
+    stays = stays.select(F.col("doc_id").alias(id_), F.col("rev").alias(rev)).hint("shuffle_hash")
+    return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.hash(F.coalesce(docs["text"], F.lit(""))) == F.col(rev)), "left_semi")
