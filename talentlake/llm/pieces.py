@@ -30,7 +30,7 @@ from .common import map_text
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN_PENALTY = 10.0
-KNOWN_SEGMENTS = 200_000
+KNOWN_SEGMENTS = 400_000
 TRIE_BITS = 18
 NO_EDGE, UNKNOWN = -2, -1
 
@@ -236,18 +236,20 @@ class Segments(dict):
         if new and len(self) > KNOWN_SEGMENTS:
             self._empty()
             new = list(segments)
-        solved = [Lattice(self.model, part) for part in blocks(new)]
-        if not solved:
+        if not new:
             return
-        ids, counts = (np.concatenate(x) for x in zip(*(s.best_ids() for s in solved)))
+        solved = []
+        for part in blocks(new):  # the tables of a part go when it is solved
+            lattice = Lattice(self.model, part)
+            solved.append((*lattice.best_ids(), lattice.best, lattice.loss))
+        ids, counts, best, loss = (np.concatenate(x) for x in zip(*solved))
         self.update(zip(new, range(len(self), len(self) + len(new))))
         ends = np.cumsum(counts)
         spelled = list(map(self.model.plain.__getitem__, ids.tolist()))
         self.bytes += [b"".join(spelled[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
         self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
-        self.best = np.concatenate([self.best, *(s.best for s in solved)])
-        self.loss = np.concatenate([self.loss, *(s.loss for s in solved)])
+        self.best, self.loss = np.concatenate([self.best, best]), np.concatenate([self.loss, loss])
 
     def search(self, segments: set[str], n: int) -> None:
         """The ``n`` best of each of ``segments``, if they are not known yet."""
@@ -362,18 +364,22 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def n_best_report(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
-    """The digest of ``encode_n_best``: doc_id, rank, score, n_pieces, ids_crc32 (little-endian 32-bit ids), decoded_crc32
-    (UTF-8), all integers but the score."""
+    """The digest of ``encode_n_best``, from the same pass: doc_id, rank, score, n_pieces, ids_crc32 (little-endian 32-bit
+    ids), decoded_crc32 (UTF-8)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(path)
         for batch in batches:
-            lists = batch.column("ids")
-            edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4")
-            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-            texts = [zlib.crc32(t) for t in batch.column("decoded").cast(pa.binary()).to_pylist()]
+            rows = [
+                (k, rank, score, len(ids), zlib.crc32(ids.astype("<i4").tobytes()), zlib.crc32(text.encode()))
+                for k, found in enumerate(encode_documents(known, batch.column("text").to_pylist(), n))
+                for rank, (score, ids, text) in enumerate(found)
+            ]
+            at, rank, score, size, ids_crc, text_crc = zip(*rows)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("rank"), batch.column("score"), pa.array(np.diff(edges).astype(np.int64)),
-                pa.array(crcs, pa.int64()), pa.array(texts, pa.int64()),
+                batch.column("doc_id").take(pa.array(at)), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(size, pa.int64()),
+                pa.array(ids_crc, pa.int64()), pa.array(text_crc, pa.int64()),
             ], ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "decoded_crc32"])
 
-    return encode_n_best(docs, path, n).mapInArrow(run, "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decoded_crc32 long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return map_text(source, run, "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decoded_crc32 long")
