@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, map_text
+from .common import cut, free_name, map_text, release
 
 WINDOW = 20
 #: Words on either side of an anchor that are counted with it, and how far from the ends of a window it lies at least.
@@ -199,7 +199,8 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows at anchors with one of the given keys: id, rev, start, two fingerprints of all its words."""
+    """The windows at anchors with one of the given keys: id, rev, start, two fingerprints of all its words, and whether an
+    earlier one of the same block is equal. Only the others need comparing with other blocks."""
     for batch in batches:
         _, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist())
         starts = window_starts(offsets)
@@ -211,11 +212,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted[part] = np.isin(keys[part], own.values.to_numpy())
         starts = starts[wanted]
         doc = np.searchsorted(offsets, starts, "right") - 1
-        one, two = spans(names, WINDOW, 100), spans(names, WINDOW, 9000)
+        start = (starts - offsets[doc]).astype(np.int32)
+        one, two = spans(names, WINDOW, 100)[starts], spans(names, WINDOW, 9000)[starts] >> U(32)
+        ids, revs = batch.column("id").to_numpy()[doc], batch.column("rev").to_numpy()[doc]
+        order = np.lexsort((start, revs, ids, two, one))
+        later = np.zeros(len(order), bool)
+        later[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        # Equal rows (a document that is there twice) have equal places; neither is later.
+        same = later[order[1:]] & (ids[order[1:]] == ids[order[:-1]]) & (revs[order[1:]] == revs[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
+        for k in np.flatnonzero(same):
+            later[order[k + 1]] = later[order[k]]
         yield pa.RecordBatch.from_arrays([
-            batch.column("id").take(pa.array(doc)), batch.column("rev").take(pa.array(doc)), pa.array((starts - offsets[doc]).astype(np.int32)),
-            pa.array(one[starts].view(np.int64)), pa.array((two[starts] >> U(32)).astype(np.uint32).view(np.int32)),
-        ], ["id", "rev", "start", "one", "two"])
+            pa.array(ids), pa.array(revs), pa.array(start), pa.array(one.view(np.int64)), pa.array(two.astype(np.uint32).view(np.int32)), pa.array(later),
+        ], ["id", "rev", "start", "one", "two", "later"])
 
 
 def strip(words: list[bytes], starts: list[int] | None) -> list[bytes]:
@@ -254,14 +263,21 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     profile = cut(profile.select("id", "rev", "n_words", "words_sha256", (F.col("id") > F.col("first_id")).alias("copy")), "passages-profile")
     single = table.join(profile.where("copy").select("id", "rev"), ["id", "rev"], "left_anti")
     found = single.select("id", "rev", F.explode("keys").alias("key"))
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    again = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passages-again")
     keys = found.join(again.hint("shuffle_hash"), "key", "left_semi").groupBy("id", "rev").agg(F.collect_set("key").alias("keys"))
-    some = cut(known.join(cut(keys, "passages-keys").hint("shuffle_hash"), ["id", "rev"]), "passages-candidates")
-    windows = cut(map_text(some, _windows, "id long, rev int, start int, one long, two int"), "passages-windows")
+    keys = cut(keys, "passages-keys")
+    release(table)
+    some = cut(known.join(keys.hint("shuffle_hash"), ["id", "rev"]), "passages-candidates")
+    windows = cut(map_text(some, _windows, "id long, rev int, start int, one long, two int, later boolean"), "passages-windows")
+    # One exchange serves both the earliest places and the join with them: a block sends each window once, so the rows of
+    # the commonest window are as many as blocks.
     place = F.struct("id", "rev", "start")
-    earliest = windows.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(earliest.hint("shuffle_hash"), ["one", "two"]).where(place > F.col("earliest"))
+    open_ = windows.where("not later").drop("later").repartition("one", "two")
+    earliest = open_.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = open_.join(earliest.hint("shuffle_hash"), ["one", "two"]).where(place > F.col("earliest")).select("id", "rev", "start")
+    later = later.unionByName(windows.where("later").select("id", "rev", "start"))
     starts = cut(later.groupBy("id", "rev").agg(F.collect_list("start").alias("starts")), "passages-starts")
+    release(windows)
     cleaned = map_text(some.select("id", "rev", "text").join(starts.hint("shuffle_hash"), ["id", "rev"]), _cleaned, "id long, rev int, n_kept long, kept_sha256 string, kept_text string")
     return profile, cleaned.dropDuplicates(["id", "rev"])
 
