@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_light, dedup_by, match_key, squeeze, strip_marks
+from .text import clean_light, dedup_by, let, match_key, squeeze, strip_marks
 
 # The vocabularies below must be these words for the same labels to come out.
 WORK_MODES = {
@@ -48,7 +48,7 @@ CITIES = {
 }
 
 
-def _first_rule(key: Column, rules: dict[str, Column], default: str = "unknown") -> Column:
+def _first_rule(rules: dict[str, Column], default: str = "unknown") -> Column:
     out = None
     for name, test in rules.items():
         out = F.when(test, name) if out is None else out.when(test, name)
@@ -64,31 +64,25 @@ def any_of(key: Column, words: list[str]) -> Column:
 
 def work_mode(*texts: Column) -> Column:
     """hybrid, remote, onsite or unknown, the first of these whose words occur."""
-    key = match_key(F.concat_ws(" ", *texts))
-    return _first_rule(key, {m: key.rlike(p) for m, p in WORK_MODES.items()})
+    return let(match_key(F.concat_ws(" ", *texts)), lambda key: _first_rule({m: key.rlike(p) for m, p in WORK_MODES.items()}))
 
 
 def work_mode_source(*texts: Column) -> Column:
     """The words that decided ``work_mode``, null if none."""
-    key = match_key(F.concat_ws(" ", *texts))
-    found = [F.nullif(F.regexp_extract(key, p, 0), F.lit("")) for p in WORK_MODES.values()]
-    return F.coalesce(*found)
+    return let(match_key(F.concat_ws(" ", *texts)), lambda key: F.coalesce(*[F.when(key.rlike(p), F.regexp_extract(key, p, 0)) for p in WORK_MODES.values()]))
 
 
 def education_level(x: Column) -> Column:
     """The highest level mentioned."""
-    key = match_key(x)
-    return _first_rule(key, {level: any_of(key, ws) for level, ws in EDUCATION.items()})
+    return let(match_key(x), lambda key: _first_rule({level: any_of(key, ws) for level, ws in EDUCATION.items()}))
 
 
 def employment_type(x: Column) -> Column:
-    key = match_key(x)
-    return _first_rule(key, {t: any_of(key, ws) for t, ws in EMPLOYMENT.items()})
+    return let(match_key(x), lambda key: _first_rule({t: any_of(key, ws) for t, ws in EMPLOYMENT.items()}))
 
 
 def level_from_text(x: Column) -> Column:
-    key = match_key(x)
-    return _first_rule(key, {level: key.rlike(p) for level, p in LEVELS.items()})
+    return let(match_key(x), lambda key: _first_rule({level: key.rlike(p) for level, p in LEVELS.items()}))
 
 
 def level_from_experience(years: Column) -> Column:
@@ -131,6 +125,10 @@ def parse_pay(raw: Column, compat: bool = False) -> Column:
     """(clean, type, negotiable, low, high, bucket), in VND a month. Numbers take thousands groups whole;
     with ``compat`` a number has one separator at most."""
     text = squeeze(F.replace(F.lower(clean_light(raw)), F.lit("thoả"), F.lit("thỏa")))
+    return let(text, lambda t: _pay(t, compat))
+
+
+def _pay(text: Column, compat: bool) -> Column:
     pattern = r"\d+(?:[.,]\d+)?" if compat else r"\d+(?:[.,]\d+)*"
     nums = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})")), lambda t: number(t, compat)), lambda v: v.isNotNull())
     usd = text.rlike(r"usd|\$")
@@ -151,7 +149,10 @@ def parse_pay(raw: Column, compat: bool = False) -> Column:
 def parse_experience(raw: Column, compat: bool = False) -> Column:
     """(low, high, type) in years. By default "a - b years" is a range; with ``compat`` only a range with a unit on both
     sides is, and the last number of others decides."""
-    text = match_key(raw)
+    return let(match_key(raw), lambda t: _experience(t, compat))
+
+
+def _experience(text: Column, compat: bool) -> Column:
     num, unit = r"(\d+(?:\.\d+)?)", r"(thang|months?|nam|years?)"
     both = rf"{num}\s*{unit}\s*(?:-|den|toi|to)\s*{num}\s*{unit}"
     short = rf"{num}\s*(?:-|den|toi|to)\s*{num}\s*{unit}"
@@ -178,7 +179,10 @@ def parse_experience(raw: Column, compat: bool = False) -> Column:
 
 def parse_deadline(raw: Column, ref: Column) -> Column:
     """(date, days, type, expired): a date day/month/year, else a number of days from ``ref``."""
-    text = match_key(raw)
+    return let(match_key(raw), lambda t: _deadline(t, ref))
+
+
+def _deadline(text: Column, ref: Column) -> Column:
     p = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})"
     year = F.when(F.length(F.regexp_extract(text, p, 3)) == 2, F.concat(F.lit("20"), F.regexp_extract(text, p, 3))).otherwise(F.regexp_extract(text, p, 3))
     iso = F.concat_ws("-", year, F.lpad(F.regexp_extract(text, p, 2), 2, "0"), F.lpad(F.regexp_extract(text, p, 1), 2, "0"))
@@ -191,11 +195,11 @@ def parse_deadline(raw: Column, ref: Column) -> Column:
 
 def cities(x: Column, vocabulary: dict[str, list[str]] | None = None) -> Column:
     """The cities named, in vocabulary order."""
-    key = match_key(x)
-    found = []
-    for city, names in (vocabulary or CITIES).items():
-        found.append(F.when(key.rlike(rf"(?<![a-z0-9])({'|'.join(names)})(?![a-z0-9])"), city))
-    return F.filter(F.array(*found), lambda c: c.isNotNull())
+
+    def found(key: Column) -> Column:
+        return F.array(*[F.when(key.rlike(rf"(?<![a-z0-9])({'|'.join(names)})(?![a-z0-9])"), city) for city, names in (vocabulary or CITIES).items()])
+
+    return F.filter(let(match_key(x), found), lambda c: c.isNotNull())
 
 
 def city_text(x: Column) -> Column:
@@ -211,11 +215,10 @@ def clean_address(x: Column) -> Column:
 
 
 def split_addresses(x: Column, vocabulary: dict[str, list[str]] | None = None) -> Column:
-    """The parts of a text that begin with a city and a colon; what stands before the first is dropped."""
+    """The parts of a text, between ; | and line ends, that begin with a city and a colon; others are dropped."""
     names = "|".join(n for ns in (vocabulary or CITIES).values() for n in ns)
-    names = "|".join(sorted({names, *[c for c in (vocabulary or CITIES)]}, key=len))
-    parts = F.split(clean_address(x), rf"(?i)(?=\b(?:{names})\s*:)")
-    labelled = F.filter(parts, lambda p: p.rlike(rf"(?i)^(?:{names})\s*:"))
+    parts = F.filter(F.split(clean_address(x), r"\s*[;|\n]\s*"), lambda p: p != "")
+    labelled = F.filter(parts, lambda p: strip_marks(p).rlike(rf"^(?:{names})\s*:"))
     tidy = F.transform(labelled, lambda p: F.regexp_replace(F.trim(p), r"[\s,;|]+$", ""))
     with_more = F.filter(tidy, lambda p: ~p.rlike(r":\s*$"))
     return dedup_by(with_more, lambda p: strip_marks(p))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import match_key
+from .text import let, match_key
 
 # Words that say how much a skill matters, without accents.
 PREFERRED = ("preferred", "nice to have", "uu tien", "loi the", "plus", "bonus")
@@ -23,7 +23,7 @@ def alias_pattern(aliases: list[str]) -> str:
 
 def skills_in(key: Column, vocabulary: dict[str, list[str]]) -> Column:
     """The skills named in a normalised text, in vocabulary order."""
-    return F.filter(F.array(*[F.when(key.rlike(alias_pattern(a)), F.lit(s)) for s, a in vocabulary.items()]), lambda s: s.isNotNull())
+    return F.filter(let(key, lambda k: F.array(*[F.when(k.rlike(alias_pattern(a)), F.lit(s)) for s, a in vocabulary.items()])), lambda s: s.isNotNull())
 
 
 def split_segments(text: Column) -> Column:
@@ -39,6 +39,5 @@ def importance(segment_key: Column, source_field: Column) -> Column:
 
 def mention_ratio(text: Column, words: Column) -> Column:
     """The share of ``words`` that occur in ``text``; 0 without words."""
-    key = match_key(text)
-    hits = F.size(F.filter(words, lambda w: F.contains(key, match_key(w))))
+    hits = let(match_key(text), lambda key: F.size(F.filter(words, lambda w: F.contains(key, match_key(w)))))
     return F.coalesce(F.try_divide(hits.cast("double"), F.nullif(F.size(words), F.lit(0))), F.lit(0.0))

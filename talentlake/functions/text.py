@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,10 +27,15 @@ _FROM = "".join(_MARKED.values())
 _TO = "".join(k * len(v) for k, v in _MARKED.items())
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, with ``x`` standing in the expression once: what a rule uses many times is computed once, and
+    rules can be nested without their expressions growing by the product of their uses."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def norm_empty(x: Column) -> Column:
     """Trimmed text, null if it is blank or only says that there is no value."""
-    t = F.trim(x)
-    return F.when((t != "") & ~F.lower(t).isin(*EMPTY_TOKENS), t)
+    return let(F.trim(x), lambda t: F.when((t != "") & ~F.lower(t).isin(*EMPTY_TOKENS), t))
 
 
 def safe(x: Column) -> Column:
@@ -81,17 +88,20 @@ def dedup_list(xs: Column) -> Column:
 
 def dedup_by(xs: Column, key) -> Column:
     """The first element of each key, in order; ``key`` makes a column from an element."""
-    keys = F.transform(xs, key)
-    return F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    pairs = F.transform(xs, lambda x: F.struct(key(x).alias("k"), x.alias("v")))
+    first = lambda p: let(p["k"], lambda keys: F.filter(p, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+    return F.transform(let(pairs, first), lambda e: e["v"])
 
 
 def dedup_lines(x: Column, shortest: int = 12) -> Column:
     """Stripped lines without blank ones; a line of ``shortest`` characters or more that was there before goes."""
-    key = lambda line: F.regexp_replace(F.lower(line), r"\s+", " ")
     lines = F.filter(F.transform(F.split(x, "\n"), lambda line: F.trim(line)), lambda line: line != "")
-    keys = F.transform(lines, key)
-    kept = F.filter(lines, lambda line, i: (F.length(key(line)) < shortest) | (F.array_position(keys, key(line)) == i + 1))
-    return F.array_join(kept, "\n")
+    pairs = F.transform(lines, lambda line: F.struct(F.regexp_replace(F.lower(line), r"\s+", " ").alias("k"), line.alias("v")))
+
+    def kept(p: Column) -> Column:
+        return let(p["k"], lambda keys: F.filter(p, lambda e, i: (F.length(e["k"]) < shortest) | (F.array_position(keys, e["k"]) == i + 1)))
+
+    return F.array_join(F.transform(let(pairs, kept), lambda e: e["v"]), "\n")
 
 
 def truncate_words(x: Column, n: int) -> Column:
@@ -132,9 +142,12 @@ def match_key(x: Column) -> Column:
 
 def language_type(x: Column) -> Column:
     """empty, vi, en, mixed or other, by the letters that occur."""
-    t = F.lower(safe(x))
-    vi, en = t.rlike(f"[{VIETNAMESE}]"), t.rlike("[a-z]")
-    return F.when(t == "", "empty").when(vi & en, "mixed").when(vi, "vi").when(en, "en").otherwise("other")
+
+    def kind(t: Column) -> Column:
+        vi, en = t.rlike(f"[{VIETNAMESE}]"), t.rlike("[a-z]")
+        return F.when(t == "", "empty").when(vi & en, "mixed").when(vi, "vi").when(en, "en").otherwise("other")
+
+    return let(F.lower(safe(x)), kind)
 
 
 def alias_key(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_light, dedup_by, match_key, squeeze
+from .text import clean_light, dedup_by, let, match_key, squeeze
 
 # Our own compact vocabularies; every function takes others.
 SENIORITY = r"\b(senior|junior|middle|fresher|intern|lead|sr|jr|principal|head of)\b"
@@ -37,9 +37,13 @@ def cut_noise(x: Column) -> Column:
 
 def clean_brackets(x: Column, keep: tuple[str, ...] = KEEP_IN_BRACKETS) -> Column:
     """Without bracketed parts, but for those that name a technology."""
-    parts = F.regexp_extract_all(x, F.lit(r"(\([^()]*\)|\[[^\[\]]*\])"))
-    drop = F.filter(parts, lambda p: ~match_key(p).rlike("|".join(rf"\b{k}\b" for k in keep)))
-    return squeeze(F.aggregate(drop, x, lambda text, p: F.replace(text, p, F.lit(" "))))
+
+    def clean(t: Column) -> Column:
+        parts = F.regexp_extract_all(t, F.lit(r"(\([^()]*\)|\[[^\[\]]*\])"))
+        drop = F.filter(parts, lambda p: ~match_key(p).rlike("|".join(rf"\b{k}\b" for k in keep)))
+        return squeeze(F.aggregate(drop, t, lambda text, p: F.replace(text, p, F.lit(" "))))
+
+    return let(x, clean)
 
 
 def drop_codes(x: Column) -> Column:
@@ -50,8 +54,12 @@ def drop_codes(x: Column) -> Column:
 def segments(x: Column) -> Column:
     """Parts of a title between dashes; noise and repeats (but for seniority) dropped, all kept if nothing else is left."""
     all_ = F.filter(F.transform(F.split(x, r"\s*[-–|]\s+|\s+[-–|]\s*"), lambda s: F.trim(s)), lambda s: s != "")
-    good = F.filter(all_, lambda s: ~match_key(s).rlike(NOISE_SEGMENT))
-    return dedup_by(F.when(F.size(good) > 0, good).otherwise(all_), lambda s: squeeze(F.regexp_replace(match_key(s), SENIORITY, " ")))
+
+    def chosen(every: Column) -> Column:
+        good = F.filter(every, lambda s: ~match_key(s).rlike(NOISE_SEGMENT))
+        return let(good, lambda g: F.when(F.size(g) > 0, g).otherwise(every))
+
+    return dedup_by(let(all_, chosen), lambda s: squeeze(F.regexp_replace(match_key(s), SENIORITY, " ")))
 
 
 def display_title(x: Column) -> Column:
@@ -74,42 +82,51 @@ def canonical_title(x: Column, synonyms: dict[str, str] | None = None, keywords:
     """The role of a title: an exact synonym, else the longest synonym in it, else the first role with a keyword in it,
     else the title itself."""
     synonyms, keywords = synonyms or SYNONYMS, keywords or KEYWORDS
-    key = squeeze(F.regexp_replace(match_key(x), SENIORITY, " "))
     table = F.create_map(*[F.lit(v) for kv in synonyms.items() for v in kv])
-    out = F.coalesce(F.try_element_at(table, key), F.try_element_at(table, F.coalesce(longest_contained(key, list(synonyms)), F.lit("\0"))))
-    rule = F.lit(None).cast("string")
-    for role, words in reversed(keywords.items()):
+
+    def role(key: Column) -> Column:
+        out = F.coalesce(F.try_element_at(table, key), F.try_element_at(table, F.coalesce(longest_contained(key, list(synonyms)), F.lit("\0"))))
+        return F.coalesce(out, _keyword_rule(key, keywords, None))
+
+    return F.coalesce(let(squeeze(F.regexp_replace(match_key(x), SENIORITY, " ")), role), title_surface(x))
+
+
+def _keyword_rule(key: Column, rules: dict[str, list[str]], default: str | None) -> Column:
+    """The first rule one of whose words is in ``key``."""
+    out = F.lit(default).cast("string")
+    for name, words in reversed(rules.items()):
         test = F.lit(False)
         for w in words:
             test = test | F.contains(key, F.lit(w))
-        rule = F.when(test, role).otherwise(rule)
-    return F.coalesce(out, rule, title_surface(x))
+        out = F.when(test, name).otherwise(out)
+    return out
 
 
 def family_from_title(title: Column, families: dict[str, list[str]] | None = None) -> Column:
     """The first family one of whose words is in the title."""
-    key, out = match_key(title), F.lit("unknown")
-    for family, words in reversed((families or FAMILIES).items()):
-        test = F.lit(False)
-        for w in words:
-            test = test | F.contains(key, F.lit(w))
-        out = F.when(test, family).otherwise(out)
-    return out
+    return let(match_key(title), lambda key: _keyword_rule(key, families or FAMILIES, "unknown"))
 
 
 def family_from_description(text: Column, hints: dict[str, list[str]] | None = None) -> Column:
     """The family with the most hints in a text; the first of equals, unknown without any."""
-    key, scored = match_key(text), []
-    for i, (family, words) in enumerate((hints or FAMILY_HINTS).items()):
-        n = sum((F.contains(key, F.lit(w)).cast("int") for w in words), F.lit(0))
-        scored.append(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(family).alias("family")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["family"]).otherwise("unknown")
+
+    def best(key: Column) -> Column:
+        scored = []
+        for i, (family, words) in enumerate((hints or FAMILY_HINTS).items()):
+            n = sum((F.contains(key, F.lit(w)).cast("int") for w in words), F.lit(0))
+            scored.append(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(family).alias("family")))
+        return F.array_max(F.array(*scored))
+
+    return let(let(match_key(text), best), lambda b: F.when(b["n"] > 0, b["family"]).otherwise("unknown"))
 
 
 def job_family(title: Column, description: Column) -> Column:
     """(family, source): the title wins over the description."""
-    t, d = family_from_title(title), family_from_description(description)
+    both = F.struct(family_from_title(title).alias("t"), family_from_description(description).alias("d"))
+    return let(both, lambda b: _family_source(b["t"], b["d"]))
+
+
+def _family_source(t: Column, d: Column) -> Column:
     family = F.when(t != "unknown", t).otherwise(d)
     source = F.when((t != "unknown") & (t == d), "title+description").when((t != "unknown") & (d != "unknown"), "title_priority").when(t != "unknown", "title").when(d != "unknown", "description").otherwise("unknown")
     return F.struct(family.alias("family"), source.alias("source"))

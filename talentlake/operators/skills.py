@@ -59,12 +59,12 @@ def next_items(counts: DataFrame, role: str, item: str, top: int, more: int) ->
     """The ``more`` items that follow a role's top; where a role has too few, the globally most frequent ones it has not."""
     w = Window.partitionBy(role).orderBy(F.col("n").desc(), F.col(item))
     ranked = counts.withColumn("rank", F.row_number().over(w))
-    following = ranked.where(F.col("rank").between(top + 1, top + more)).select(role, item, F.lit(0).alias("source"), F.col("rank").alias("place"))
+    following = ranked.where(F.col("rank").between(top + 1, top + more)).select(role, item, F.lit(0).alias("from_all"), F.col("rank").alias("place"))
     total = counts.groupBy(item).agg(F.sum("n").alias("n"))
     leaders = total.orderBy(F.col("n").desc(), F.col(item)).limit(top + more + more)  # a fixed number of rows
     leaders = leaders.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(item))))
     fallback = counts.select(role).distinct().crossJoin(F.broadcast(leaders.select(item, "place")))
     taken = ranked.where(F.col("rank") <= top + more).select(role, item)
-    fallback = fallback.join(taken, [role, item], "left_anti").select(role, item, F.lit(1).alias("source"), "place")
-    order = Window.partitionBy(role).orderBy("source", "place")
+    fallback = fallback.join(taken, [role, item], "left_anti").select(role, item, F.lit(1).alias("from_all"), "place")
+    order = Window.partitionBy(role).orderBy("from_all", "place")
     return following.unionByName(fallback).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= more).select(role, item, "rank")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import evaluation, matching, relational, text
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _module in (text, relational, matching, evaluation):
+    QUERIES |= _module.R.queries
+    ORACLES |= _module.R.oracles
