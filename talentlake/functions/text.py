@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tokens that mean "no value", and glyphs that count as a dash.
 EMPTY_TOKENS = (
@@ -48,7 +49,7 @@ def first_usable(*xs: Column) -> Column:
     return F.coalesce(*[norm_empty(x) for x in xs])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Unicode composition; needed only where the data is not composed yet."""
     return x.str.normalize("NFC")
