@@ -74,3 +74,35 @@ def hybrid_rank(vector_side: DataFrame, graph_side: DataFrame, id_: str, w_vecto
     in_both = F.col("vector_score").isNotNull() & F.col("graph_score").isNotNull()
     order = Window.orderBy(score.desc(), in_both.desc(), F.col("graph_score").isNotNull().desc(), id_)
     return both.withColumns({"score": score, "rank": F.row_number().over(order)})
+
+
+def focus_filter(hits: DataFrame, group: str, focus: Column, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` hits of a question; only those with a focus hit, if there are at least max(2, min(k, 3)) of them."""
+    each = Window.partitionBy(group)
+    marked = hits.withColumn("_focused", focus).withColumn("_n", F.sum(F.col("_focused").cast("int")).over(each))
+    kept = marked.where(F.col("_focused") | (F.col("_n") < max(2, min(k, 3))))
+    return kept.withColumn("rank", F.row_number().over(each.orderBy(*order))).where(F.col("rank") <= k).drop("_focused", "_n")
+
+
+def focus_terms(*texts: Column, most: int = 60) -> Column:
+    """The distinct words of some texts, sorted, at most ``most``."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *texts)), "[^a-z0-9]+", " ")), " ")
+    return F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))), 1, most)
+
+
+def best_and_worst(df: DataFrame, key: str, scores_: dict[str, float], n: int = 2) -> DataFrame:
+    """key, kind (best or worst), name, share: the ``n`` strongest and weakest of some scores, as shares of their maxima."""
+    parts = F.array(*[F.struct((F.col(c).cast("double") / top).alias("share"), F.lit(c).alias("name")) for c, top in scores_.items()])
+    ordered = df.select(key, F.array_sort(parts).alias("p"))
+    pick = lambda kind, part: ordered.select(key, F.lit(kind).alias("kind"), F.explode(part).alias("e")).select(key, "kind", "e.name", "e.share")
+    return pick("worst", F.slice("p", 1, n)).unionByName(pick("best", F.slice("p", -n, n)))
+
+
+def domain_first(skills: Column, domain: Column) -> Column:
+    """Skills of the domain first, otherwise in their order."""
+    return F.concat(F.filter(skills, lambda s: F.array_contains(domain, s)), F.filter(skills, lambda s: ~F.array_contains(domain, s)))
+
+
+def hit_at_k(predicted: Column, truth: Column, k: int) -> Column:
+    """1 if any of the first ``k`` predicted is true."""
+    return F.arrays_overlap(F.slice(predicted, 1, k), truth).cast("int")

@@ -242,3 +242,36 @@ def grounded_share(spark, sf):
     """How many stated facts a text supports."""
     facts = F.array(F.lit("erin"), F.lit("para"), F.lit("zzzz"))
     return table(spark, sf, "documents").select("doc_id", F.round(mention_ratio(F.left("text", F.lit(400)), facts), 6).alias("share"))
+
+
+@R.add("""WITH f AS (SELECT label, vec_id, embedding[1] AS s, vec_id % 7 = 0 AS focused FROM embeddings), n AS (SELECT *, count(*) FILTER (WHERE focused) OVER (PARTITION BY label) AS c FROM f)
+          SELECT label, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM n WHERE focused OR c < 3) WHERE rank <= 4""")
+def focus_filter(spark, sf):
+    """The best hits of each question, focused ones only where there are enough."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding")[0].alias("s"))
+    return match.focus_filter(e, "label", F.col("vec_id") % 7 == 0, [F.col("s").desc(), F.col("vec_id")], 4).select("label", "vec_id", "rank")
+
+
+@R.add("""WITH u AS (SELECT o_orderkey, unnest(['price', 'day', 'cust']) AS name, unnest([o_totalprice / 500000, extract(day FROM o_orderdate) / 31.0::DOUBLE, (o_custkey % 100) / 100.0::DOUBLE]) AS share FROM orders),
+          r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY share, name) AS n FROM u)
+          SELECT o_orderkey, 'worst' AS kind, name, round(share, 8) AS share FROM r WHERE n <= 1 UNION ALL SELECT o_orderkey, 'best', name, round(share, 8) FROM r WHERE n = 3""")
+def best_and_worst(spark, sf):
+    """The strongest and the weakest part of each score."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.dayofmonth("o_orderdate").alias("day"), (F.col("o_custkey") % 100).alias("cust"))
+    return match.best_and_worst(o, "o_orderkey", {"price": 500000.0, "day": 31.0, "cust": 100.0}, 1).withColumn("share", F.round("share", 8))
+
+
+@R.add("""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)))[1:60], ',') AS terms FROM benchmark""")
+def focus_terms(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(match.focus_terms(F.col("text")), ",").alias("terms"))
+
+
+@R.add("""WITH p AS (SELECT n_regionkey AS cv_id, list(n_name ORDER BY n_nationkey) AS names FROM nation GROUP BY ALL)
+          SELECT cv_id, array_to_string(list_concat(list_filter(names, lambda n: n IN ('NATION_7', 'NATION_9')), list_filter(names, lambda n: n NOT IN ('NATION_7', 'NATION_9'))), ',') AS ordered,
+                 (len(list_intersect(names[1:2], ['NATION_1', 'NATION_5'])) > 0)::INTEGER AS hit FROM p""")
+def domain_first(spark, sf):
+    """Lists with a domain's entries first, and whether the first two hit."""
+    p = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("cv_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("p"))
+    names = F.col("p.n_name")
+    domain, truth = F.array(F.lit("NATION_7"), F.lit("NATION_9")), F.array(F.lit("NATION_1"), F.lit("NATION_5"))
+    return p.select("cv_id", F.array_join(match.domain_first(names, domain), ",").alias("ordered"), match.hit_at_k(names, truth, 2).alias("hit"))

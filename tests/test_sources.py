@@ -93,3 +93,32 @@ def test_hybrid_tie_prefers_both_lists(spark):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="missing columns: b"):
         tables.require_columns(spark.range(1).toDF("a"), ["a", "b"])
+
+
+def test_label_contract(spark):
+    from talentlake.operators import refdata
+
+    schema = "cv_id long, final_label_score double, grade string, subscore_skill double, subscore_experience double, subscore_achievement double, subscore_education double, subscore_formatting double, subscore_keywords double, label_source string, label_confidence double"
+    rows = [(1, 75.0, "B", 24.0, 18.0, 12.0, 8.0, 9.0, 4.0, "human", 0.9), (2, 75.0, "A", 35.0, 18.0, 12.0, 8.0, 9.0, 4.0, "human", 1.2), (3, 75.0, "B", 24.0, 18.0, 12.0, 8.0, 9.0, 4.0, "human", 0.9)]
+    errors = refdata.label_errors(spark.createDataFrame(rows, schema), spark.createDataFrame([(1,), (2,)], "cv_id long"), ["human"])
+    by_id = {i: {r.error for r in errors.collect() if r.cv_id == i} for i in (1, 2, 3)}
+    assert by_id[1] == set()
+    assert {"grade does not fit the score", "skill out of bounds", "confidence out of bounds", "subscores do not add up"} == by_id[2]
+    assert by_id[3] == {"no such record"}
+
+
+def test_cases_from_profiles(spark):
+    from talentlake.operators import refdata
+
+    profiles = spark.createDataFrame([("Data Analyst", ["sql", "excel"], ["python", "bi", "r"]), ("Tester", ["junit"], [])], "role_name string, common_skills array<string>, recommended_next_skills array<string>")
+    files = spark.createDataFrame([("cv_data_analyst_01.txt",), ("cv_tester.txt",), ("cv_data.txt",)], "file string")
+    out = {r.case_id: (r.file, r.expected_missing) for r in refdata.build_cases(profiles, files).collect()}
+    assert out == {"case_data_analyst": ("cv_data_analyst_01.txt", ["python", "bi"]), "case_tester": ("cv_tester.txt", ["junit"])}
+
+
+def test_records_are_normalised(spark):
+    from talentlake.operators import refdata
+
+    df = spark.createDataFrame([("unknown", "SQL, sql; Python|n/a")], "role string, skills string")
+    r = refdata.normalise_record(df, ["skills"], ["role"]).first()
+    assert (r.role, r.skills) == (None, ["SQL", "Python"])
