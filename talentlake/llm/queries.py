@@ -82,11 +82,11 @@ ORACLES: dict[str, str] = {
             FROM starts),
         gone AS (
             SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM marked WHERE nth > 1),
-        lists AS (SELECT doc_id, list(k) AS gone FROM gone GROUP BY doc_id)
-        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-               sha256(array_to_string(CASE WHEN gone IS NULL THEN ws
-                   ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
-        FROM w LEFT JOIN lists USING (doc_id)
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, count(gone.k)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY words.k) FILTER (WHERE gone.k IS NULL), '')) AS kept_sha256
+        FROM w LEFT JOIN words USING (doc_id) LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k
+        GROUP BY w.doc_id, len(ws)
     """,
     "op2_exact_dedup": """
         WITH d AS (
