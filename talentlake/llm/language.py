@@ -1,6 +1,6 @@
 """Language identification of spans.
 
-A word is a run of letters. The script of its first letter narrows the languages it may be in to those that used that
+A word is a run of letters (and numerals that are no digits). The script of its first letter narrows the languages it may be in to those that used that
 script in training. Its score in each of them is a naive-Bayes sum over hashed character n-grams, and Viterbi with a
 penalty for each switch of language labels the words of a document, which makes spans. A document's language is the
 one with the most letters.
@@ -174,7 +174,7 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*m.langs, "und"], object)
         known = Words(m)
         for batch in batches:
-            per = [WORD.findall(t.lower()) if t and m.langs else [] for t in batch.column("text").to_pylist()]
+            per = [WORD.findall(t.lower()) if t and m.langs and any(map(str.isalpha, t)) else [] for t in batch.column("text").to_pylist()]
             bounds = np.append(0, np.cumsum([len(w) for w in per])).astype(np.int64)
             words = [w for ws in per for w in ws]
             n = len(per)
