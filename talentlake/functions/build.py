@@ -52,3 +52,13 @@ def section_rows(sections: dict[str, Column], priorities: dict[str, float] | Non
 def detail_rows(**lists: Column) -> Column:
     """Parallel lists as one list of rows; shorter ones are padded with null."""
     return F.arrays_zip(*[v.alias(k) for k, v in lists.items()])
+
+
+def model_input(text: Column, empty: str = "[EMPTY]") -> Column:
+    """A text for an encoder; a mark where there is none."""
+    return F.coalesce(usable(text), F.lit(empty))
+
+
+def headcount(x: Column) -> Column:
+    """How many people a text asks for: the first number before a word for people; null without one."""
+    return F.regexp_extract(F.lower(F.coalesce(x, F.lit(""))), r"(\d+)\s*(?:người|nguoi|people|persons?|slots?|vacanc)", 1).try_cast("int")

@@ -81,3 +81,15 @@ def field_accuracy(df: DataFrame, field: str, kind: str, score: Column) -> DataF
     """The mean score by field and over all, in one pass with grouping sets: the overall row has null keys."""
     rows = df.select(field, kind, score.alias("score"))
     return rows.groupingSets([[field, kind], []], field, kind).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("accuracy"))
+
+
+def retrieval_metrics(hits: DataFrame, relevant: DataFrame, query: str, item: str, ks: list[int]) -> DataFrame:
+    """query, k, precision, recall, hit, mrr for each cut-off: hits(query, item, rank) against the set relevant(query, item)."""
+    total = relevant.groupBy(query).agg(F.countDistinct(item).alias("total"))
+    found = hits.join(relevant.select(query, item, F.lit(1).alias("good")).distinct(), [query, item], "left")
+    cuts = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
+    g = cuts.groupBy(query, "k").agg(F.count("good").alias("n"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"))
+    return g.join(total, query, "left").select(
+        query, "k", ratio(F.col("n"), F.col("k")).alias("precision"), ratio(F.col("n"), F.col("total")).alias("recall"),
+        (F.col("n") > 0).cast("double").alias("hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_usable, norm_empty
+from ..functions.text import clean_light, clean_strict, clean_structure, first_usable, match_key, norm_empty
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -105,3 +105,38 @@ def describe_by(df: DataFrame, by: str, value: Column) -> DataFrame:
 def page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
     """A page of a listing; at most 100 rows."""
     return df.orderBy(*order).offset(offset).limit(min(limit, 100))
+
+
+def clean_variants(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Four more columns for each text: _clean, _structured, _strict, _key. Unused ones are pruned from the plan."""
+    variants = {"clean": clean_light, "structured": clean_structure, "strict": clean_strict, "key": match_key}
+    return df.withColumns({f"{c}_{name}": f(F.col(c)) for c in columns for name, f in variants.items()})
+
+
+def any_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with text in at least one of the columns."""
+    return df.where(F.coalesce(*[norm_empty(F.col(c)) for c in columns]).isNotNull())
+
+
+def numbers(text: str) -> list[int]:
+    """A list such as "10,5,x,5" of cut-offs: its positive numbers, sorted, once each."""
+    return sorted({int(p) for p in text.split(",") if p.strip().isdigit() and int(p) > 0})
+
+
+KEYS = ("cv_id", "cv_key", "file_name", "source_path")
+
+
+def common_key(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> str:
+    """The first of the usual keys that both have."""
+    for k in keys:
+        if k in a.columns and k in b.columns:
+            return k
+    raise ValueError(f"no common key among {', '.join(keys)}")
+
+
+def join_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Predictions and truth by their common key, lower-cased and trimmed; other columns get _pred and _gt."""
+    k = common_key(predicted, truth)
+    key = F.lower(F.trim(F.col(k).cast("string"))).alias("key")
+    p = predicted.select(key, *[F.col(c).alias(f"{c}_pred") for c in predicted.columns if c != k])
+    return p.join(truth.select(key, *[F.col(c).alias(f"{c}_gt") for c in truth.columns if c != k]), "key")

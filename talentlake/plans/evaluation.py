@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import metrics
+from ..operators import metrics, tables
 from .base import Registry, table
 
 R = Registry()
@@ -149,3 +149,47 @@ def graph_case_check(spark, sf):
     g = n.select("n_nationkey", "n_regionkey").join(n.select("n_regionkey", "n_name"), "n_regionkey").groupBy(F.col("n_nationkey").alias("case_id")).agg(F.collect_set("n_name").alias("g"))
     must, never = F.array(F.lit("NATION_1")), F.array(F.lit("NATION_2"))
     return g.select("case_id", ((F.size(F.array_except(must, "g")) == 0) & ~F.arrays_overlap(never, "g")).alias("correct"))
+
+
+@R.add(f"""WITH rel AS (SELECT DISTINCT cv_id, job_id FROM ({_QRELS}) WHERE relevance >= 2), t AS (SELECT cv_id, count(*) AS total FROM rel GROUP BY ALL),
+           h AS (SELECT p.cv_id, p.job_id, p.rank, r.job_id IS NOT NULL AS good FROM ({_PRED}) p LEFT JOIN rel r USING (cv_id, job_id) WHERE method = 'F'),
+           g AS (SELECT cv_id, k, count(*) FILTER (WHERE good) AS n, min(rank) FILTER (WHERE good) AS f FROM h, (VALUES (1), (3)) v(k) WHERE rank <= k GROUP BY ALL)
+           SELECT k, count(*) AS queries, round(avg(n::DOUBLE / k), 6) AS precision, round(avg(coalesce(n::DOUBLE / total, 0)), 6) AS recall, round(avg((n > 0)::INT::DOUBLE), 6) AS hit, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr
+           FROM g LEFT JOIN t USING (cv_id) GROUP BY k""")
+def retrieval_metrics(spark, sf):
+    """Retrieval at one and three, over all queries."""
+    hits = _predictions(spark, sf).where("method = 'F'").select("cv_id", "job_id", "rank")
+    per = metrics.retrieval_metrics(hits, _qrels(spark, sf).where("relevance >= 2"), "cv_id", "job_id", [1, 3])
+    return per.groupBy("k").agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(m), 6).alias(m) for m in ("precision", "recall", "hit", "mrr")])
+
+
+@R.add("""SELECT n_nationkey::VARCHAR AS key, (lower(n_name) = lower(x))::INTEGER AS same FROM (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'none' ELSE lower(n_name) END AS x FROM nation)""")
+def extraction_accuracy(spark, sf):
+    """Predicted fields against the truth, by a key that differs in case and blanks."""
+    n = table(spark, sf, "nation")
+    predicted = n.select(F.concat(F.lit(" "), F.col("n_nationkey").cast("string"), F.lit(" ")).alias("cv_id"), F.when(F.col("n_nationkey") % 4 == 0, "none").otherwise(F.lower("n_name")).alias("role"))
+    both = tables.join_truth(predicted, n.select(F.col("n_nationkey").alias("cv_id"), F.col("n_name").alias("role")))
+    return both.select("key", (F.lower("role_pred") == F.lower("role_gt")).cast("int").alias("same"))
+
+
+@R.add("""SELECT l_returnflag AS method, count(*) AS n, round(avg(s), 6) AS skills_named, round(avg(c), 6) AS cites FROM (
+          SELECT l_returnflag, (contains(e, lower(l_shipdate::DATE::VARCHAR))::INT + contains(e, 'brand')::INT) / 2.0::DOUBLE AS s, (len(regexp_extract_all(e, '\\[chunk_id=(\\d+)\\]', 1)) > 0)::INT::DOUBLE AS c
+          FROM (SELECT *, 'order ' || l_orderkey || ' brand ' || CASE WHEN l_linenumber % 2 = 0 THEN '[chunk_id=' || l_partkey || ']' ELSE '' END AS e FROM lineitem)) GROUP BY ALL""")
+def explanation_grounding(spark, sf):
+    """How many named skills and citations explanations have, by method."""
+    e = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" brand "), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("[chunk_id="), F.col("l_partkey").cast("string"), F.lit("]"))).otherwise(""))
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("method"), e.alias("e"), F.to_date("l_shipdate").cast("string").alias("d"))
+    named = (F.contains("e", F.lower("d")).cast("int") + F.contains("e", F.lit("brand")).cast("int")) / F.lit(2.0)
+    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(named), 6).alias("skills_named"), F.round(F.avg((F.size(scores.citations(F.col("e"))) > 0).cast("double")), 6).alias("cites"))
+
+
+@R.add("""WITH a AS (SELECT c_mktsegment AS role, list_distinct(list(o_orderpriority)) AS s, max(o_orderdate) AS at FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY ALL),
+          b AS (SELECT c_mktsegment AS role, list_distinct(list(o_orderpriority)) AS s FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 490000 GROUP BY ALL)
+          SELECT role, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard, round((epoch(TIMESTAMP '2000-01-01') - epoch(a.at)) / 86400.0::DOUBLE, 6) AS age_days FROM a JOIN b USING (role)""")
+def benchmark_quality(spark, sf):
+    """How a role's benchmark agrees with what is asked for, and its age."""
+    both = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey")).withColumnRenamed("c_mktsegment", "role")
+    a = both.where("o_orderstatus = 'F'").groupBy("role").agg(F.collect_set("o_orderpriority").alias("a"), F.max("o_orderdate").alias("at"))
+    b = both.where("o_totalprice > 490000").groupBy("role").agg(F.collect_set("o_orderpriority").alias("b"))
+    days = F.timestamp_diff("SECOND", F.col("at"), F.lit("2000-01-01").cast("timestamp")) / F.lit(86400.0)
+    return a.join(b, "role").select("role", F.round(scores.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(days, 6).alias("age_days"))

@@ -275,3 +275,23 @@ def domain_first(spark, sf):
     names = F.col("p.n_name")
     domain, truth = F.array(F.lit("NATION_7"), F.lit("NATION_9")), F.array(F.lit("NATION_1"), F.lit("NATION_5"))
     return p.select("cv_id", F.array_join(match.domain_first(names, domain), ",").alias("ordered"), match.hit_at_k(names, truth, 2).alias("hit"))
+
+
+@R.add("""SELECT item_id, 64 AS size, TRUE AS unit, 1.0::DOUBLE AS self FROM benchmark""")
+def hash_encoder(spark, sf):
+    """Vectors without a model: their size, length and similarity to themselves."""
+    b = table(spark, sf, "benchmark").select("item_id", vector.hash_encode(F.col("text")).alias("v"))
+    return b.select("item_id", F.size("v").alias("size"), (F.abs(vector.norm(F.col("v")) - 1.0) < 1e-9).alias("unit"), F.round(vector.cosine(F.col("v"), F.col("v")), 6).alias("self"))
+
+
+@R.add(f"SELECT vec_id, round(least(greatest((1 - ({_D})) * 100, 0), 100), 2) AS percent FROM embeddings, {_Q}")
+def similarity_percent(spark, sf):
+    return _with_query(spark, sf).select("vec_id", vector.percent(vector.cosine_distance(F.col("embedding"), F.col("q"))).alias("percent"))
+
+
+@R.add(f"""SELECT cv_id, array_to_string(list_sort(list_filter((SELECT list_sort(list(DISTINCT p_brand)) FROM part), lambda s: NOT list_contains(h, s)))[1:5], ',') AS missing FROM (SELECT cv_id, list(skill) AS h FROM ({_OWNED}) GROUP BY ALL)""")
+def missing_skills(spark, sf):
+    """Skills of the catalog that a cv lacks, at most five."""
+    have = _owned(spark, sf).groupBy("cv_id").agg(F.collect_set("skill").alias("h"))
+    catalog = table(spark, sf, "part").agg(F.collect_set("p_brand").alias("all"))
+    return have.crossJoin(F.broadcast(catalog)).select("cv_id", F.array_join(F.slice(F.array_sort(F.array_except("all", "h")), 1, 5), ",").alias("missing"))  # one row

@@ -306,3 +306,25 @@ def answer_metrics(spark, sf):
     a, t = F.col("a"), F.col("t")
     keys = F.array(F.lit("cat"), F.lit("mat"), F.lit("dog"))
     return df.select("id", F.round(scores.token_f1(a, t), 6).alias("f1"), F.round(scores.rouge_l(a, t), 6).alias("rouge"), F.round(scores.bleu_2(a, t), 6).alias("bleu"), scores.keyword_accuracy(a, keys, 0.66).alias("keywords"))
+
+
+@R.add(values_sql([(1, "10,000,000 - 20,000,000", "1.5-3 years", "2 years", 2.0, 3), (2, "up to 5,000,000", "no experience required", "No requirement", 0.0, None), (3, "from 7", "from 4 years", "Unknown", 0.0, None)], "id, pay, experience, pattern, number, heads"))
+def briefs(spark, sf):
+    """Short forms of pay and experience, profile patterns, numbers and headcounts."""
+    rows = spark.createDataFrame([(1, 10e6, 20e6, 1.5, 3.0, "2 năm", "Tuyển 3 người"), (2, None, 5e6, 0.0, 0.0, "No experience", ""), (3, 7.0, None, 4.0, None, "", None)], "id int, a double, b double, c double, d double, x string, h string")
+    c = F.col
+    return rows.select("id", jobs.pay_brief(c("a"), c("b")).alias("pay"), jobs.experience_brief(c("c"), c("d")).alias("experience"), jobs.experience_pattern(c("x")).alias("pattern"), jobs.years_number(c("x")).alias("number"), build.headcount(c("h")).alias("heads"))
+
+
+@R.add("""SELECT page_id, lower(trim(regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}_\\s/+#.-]', ' ', 'g'), '\\s+', ' ', 'g'))) AS title_strict FROM (
+          SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages)""")
+def clean_variants(spark, sf):
+    """Cleaned variants of a field; only the one asked for is computed."""
+    p = table(spark, sf, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
+    return tables.clean_variants(tables.any_text(p, ["title"]), ["title"]).select("page_id", "title_strict")
+
+
+@R.add("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[EMPTY]' ELSE trim(left(text, 80)) END AS model_text FROM conversations""")
+def model_input(spark, sf):
+    t = F.when(F.col("turn") % 2 == 0, F.lit("unknown")).otherwise(F.left("text", F.lit(80)))
+    return table(spark, sf, "conversations").select("conv_id", "turn", build.model_input(t).alias("model_text"))
