@@ -38,9 +38,10 @@ def calibration(df: DataFrame, by: str, predicted: str, human: str, tolerance: f
     """Per group: Pearson, Spearman, MAE, RMSE, share within tolerance; 0 where a correlation is undefined."""
     ranked = average_rank(average_rank(df, [by], predicted, "_p"), [by], human, "_h")
     error = F.col(predicted) - F.col(human)
-    zero = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    # corr itself divides by zero in ANSI mode where a side is constant.
+    correlation = lambda a, b: F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
     return ranked.groupBy(by).agg(
-        zero(F.corr(predicted, human)).alias("pearson"), zero(F.corr("_p", "_h")).alias("spearman"), F.avg(F.abs(error)).alias("mae"),
+        correlation(predicted, human).alias("pearson"), correlation("_p", "_h").alias("spearman"), F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"), F.avg((F.abs(error) <= tolerance).cast("double")).alias("within"),
     )
 
