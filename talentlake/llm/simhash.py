@@ -26,8 +26,8 @@ from .components import components
 
 SHINGLE = 3
 RADIUS = 3
-#: Points that the upper tree is fitted on, and its leaves.
-SAMPLE, SHARDS = 4096, 32
+#: Residents of a shard; points that the upper tree is fitted on: SAMPLE a shard, but at least and at most so many.
+POINTS, SAMPLE, SAMPLE_RANGE = 1 << 16, 128, (1 << 12, 1 << 20)
 LEAF = 128
 
 
@@ -160,9 +160,12 @@ def spanning_forest(points: np.ndarray, home: np.ndarray, reach: int) -> tuple[n
     return linked, root[linked]
 
 
-def near_links(points: DataFrame, reach: int = RADIUS, shards: int = SHARDS) -> DataFrame:
-    """Edges (a, b) that connect the distinct ``points`` (fp) which chains of links of ``reach`` bits connect."""
-    sample = np.array([r[0] for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+def near_links(points: DataFrame, reach: int = RADIUS, shards: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the distinct ``points`` (fp) which chains of links of ``reach`` bits connect. The number of
+    shards follows that of the points unless it is given."""
+    shards = shards or 1 << max(0, (points.count() - 1) // POINTS).bit_length()
+    fitted = min(max(SAMPLE * shards, SAMPLE_RANGE[0]), SAMPLE_RANGE[1])
+    sample = np.array([r[0] for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(fitted).collect()], np.int64).view(np.uint64)
     tree = upper_tree(sample, shards, reach)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +182,7 @@ def near_links(points: DataFrame, reach: int = RADIUS, shards: int = SHARDS) ->
     return points.select("fp").mapInArrow(route, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(shard_edges, "a long, b long")
 
 
-def near_classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int = SHARDS) -> DataFrame:
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None) -> DataFrame:
     """doc_id, rev, fp and `least` (doc_id, rev) of every row: the first row, nulls last, of those its links reach."""
     known = cut(fingerprints(docs, shingle), "simhash-fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rev"))
@@ -190,18 +193,18 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, s
     return known.join(cut(named, "simhash-named"), "fp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int = SHARDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space. A text of fewer words than ``shingle`` is one
     shingle; null and empty texts have the fingerprint zero and are linked like others. A null doc_id counts in no
     component_id (null if no other is there). Equal rows get equal results; an empty table gives an empty result; extra
-    columns are ignored. ``shards`` should grow with the distinct fingerprints, some 100 000 a shard."""
+    columns are ignored. There are about POINTS distinct fingerprints a shard unless ``shards`` says otherwise."""
     rows = near_classes(docs, shingle, reach, shards)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int = SHARDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest doc_id.
 
     Rows that repeat both doc_id and text are one document and stay or go together; of rows that share a doc_id but not
