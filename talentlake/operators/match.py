@@ -68,7 +68,8 @@ def top_vectors(vectors: DataFrame, query: Column, k: int, vector: str, tie: str
 
 
 def hybrid_rank(vector_side: DataFrame, graph_side: DataFrame, id_: str, w_vector: float, w_graph: float) -> DataFrame:
-    """Both candidate lists by id, scored; equal scores prefer candidates in both lists, then those with graph evidence."""
+    """Both candidate lists (the best few of each side) by id, scored; equal scores prefer candidates in both lists, then those
+    with graph evidence."""
     both = vector_side.join(graph_side, id_, "full")
     score = F.round(hybrid(F.col("vector_score"), F.col("graph_score"), w_vector, w_graph), 9)
     in_both = F.col("vector_score").isNotNull() & F.col("graph_score").isNotNull()

@@ -178,13 +178,13 @@ def blended_query(spark, sf):
     return scored.orderBy(F.col("s").desc(), "vec_id").limit(20).select("vec_id", F.round("s", 6).alias("score"))
 
 
-@R.add(f"""WITH v AS (SELECT vec_id AS job_id, 1 - ({_D}) AS vs FROM embeddings, {_Q} ORDER BY {_D}, vec_id LIMIT 30), g AS (SELECT vec_id AS job_id, (label + 1) / 20.0 AS gs FROM embeddings WHERE vec_id % 5 = 0),
+@R.add(f"""WITH v AS (SELECT vec_id AS job_id, 1 - ({_D}) AS vs FROM embeddings, {_Q} ORDER BY {_D}, vec_id LIMIT 30), g AS (SELECT vec_id AS job_id, (label + 1) / 20.0 AS gs FROM embeddings ORDER BY label DESC, vec_id LIMIT 30),
            b AS (SELECT job_id, vs, gs, round(0.45 * coalesce(vs, 0) + 0.55 * coalesce(gs, 0), 9) AS s FROM v FULL JOIN g USING (job_id))
            SELECT job_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, (vs IS NOT NULL AND gs IS NOT NULL) DESC, (gs IS NOT NULL) DESC, job_id) AS rank FROM b""")
 def hybrid_rank(spark, sf):
-    """Vector and graph candidates in one order."""
+    """The best thirty vector and graph candidates in one order."""
     v = match.top_vectors(_with_query(spark, sf), F.col("q"), 30, "embedding", "vec_id").select(F.col("vec_id").alias("job_id"), (1.0 - F.col("distance")).alias("vector_score"))
-    g = table(spark, sf, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("job_id"), ((F.col("label") + 1) / F.lit(20.0)).alias("graph_score"))
+    g = table(spark, sf, "embeddings").orderBy(F.col("label").desc(), "vec_id").limit(30).select(F.col("vec_id").alias("job_id"), ((F.col("label") + 1) / F.lit(20.0)).alias("graph_score"))
     return match.hybrid_rank(v, g, "job_id", 0.45, 0.55).select("job_id", F.round("score", 6).alias("score"), "rank")
 
 
