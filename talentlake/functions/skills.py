@@ -23,12 +23,15 @@ def alias_pattern(aliases: list[str]) -> str:
 
 def skills_in(key: Column, vocabulary: dict[str, list[str]]) -> Column:
     """The skills named in a normalised text, in vocabulary order."""
-    return F.filter(let(key, lambda k: F.array(*[F.when(k.rlike(alias_pattern(a)), F.lit(s)) for s, a in vocabulary.items()])), lambda s: s.isNotNull())
+    every = alias_pattern([a for aliases in vocabulary.values() for a in aliases])
+    each = lambda k: F.array(*[F.when(k.rlike(alias_pattern(a)), F.lit(s)) for s, a in vocabulary.items()])
+    found = let(key, lambda k: F.when(k.rlike(every), each(k)).otherwise(F.array().cast("array<string>")))
+    return F.filter(found, lambda s: s.isNotNull())
 
 
 def split_segments(text: Column) -> Column:
     """Sentences of a list-like text: line ends, bullets, dashes between spaces, semicolons."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\n•;]|\s-\s|^-\s"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?m)[\n•;]|\s-\s|^-\s"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def importance(segment_key: Column, source_field: Column) -> Column:

@@ -136,9 +136,14 @@ def clean_model(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\f\r ]+", " "), r" *\n[ \n]*", "\n"))
 
 
+def plain_key(x: Column) -> Column:
+    """``match_key`` of text that is clean already."""
+    return squeeze(F.regexp_replace(strip_marks(x), r"(?U)[^\w\s/+\-#.]", " "))
+
+
 def match_key(x: Column) -> Column:
     """For comparing: ``clean_light`` without accents, lower case, word characters and / + - # . only."""
-    return squeeze(F.regexp_replace(strip_marks(clean_light(x)), r"(?U)[^\w\s/+\-#.]", " "))
+    return plain_key(clean_light(x))
 
 
 def language_type(x: Column) -> Column:

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.skills import importance, skills_in, split_segments
-from ..functions.text import match_key
+from ..functions.text import clean_light, match_key, plain_key
 
 
 def skill_records(df: DataFrame, key: list[str], fields: dict[str, Column], vocabulary: dict[str, list[str]], excerpt: int = 180) -> DataFrame:
     """key, skill, source_field, importance, excerpt: one row per skill, field and importance, with the first segment that
     names it. ``fields`` are the texts by source field."""
     texts = F.array(*[F.struct(F.lit(n).alias("source_field"), t.alias("text")) for n, t in fields.items()])
-    parts = df.select(*key, F.explode(texts).alias("f")).select(*key, "f.source_field", F.posexplode(split_segments(F.col("f.text"))).alias("pos", "segment"))
-    parts = parts.withColumn("seg_key", match_key(F.col("segment"))).where("seg_key <> ''")
+    parts = df.select(*key, F.explode(texts).alias("f")).select(*key, "f.source_field", F.posexplode(split_segments(clean_light(F.col("f.text")))).alias("pos", "segment"))
+    parts = parts.withColumn("seg_key", plain_key(F.col("segment"))).where("seg_key <> ''")
     found = parts.select(*key, "source_field", "pos", "segment", "seg_key", F.explode(skills_in(F.col("seg_key"), vocabulary)).alias("skill"))
     found = found.withColumn("importance", importance(F.col("seg_key"), F.col("source_field")))
     return found.groupBy(*key, "skill", "source_field", "importance").agg(F.left(F.min_by("segment", "pos"), F.lit(excerpt)).alias("excerpt"))
