@@ -16,8 +16,8 @@ from .common import SPACE_CLASS, SPACES, cut, free_name
 
 LEAST_ROWS = 200
 SPREAD = 6.0
-#: Rate -> slack beyond the fence, in the rate's own unit.
-RATES = {"symbols_per_word": 0.25, "shouting": 0.15, "dup_line_share": 0.3, "word_length": 4.0}
+#: Rate -> slack beyond the fence, in the rate's own unit; half of the lines repeated is ordinary in a text of a few lines.
+RATES = {"symbols_per_word": 0.25, "shouting": 0.15, "dup_line_share": 0.5, "word_length": 4.0, "stutter": 0.2}
 WINDOW = 5
 
 
@@ -60,6 +60,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[st
         names["symbols_per_word"]: F.coalesce(F.try_divide(col["n_symbols"], col["n_words"]), F.lit(0.0)),
         names["shouting"]: F.coalesce(F.try_divide(col["q_caps"], col["word_chars"]), F.lit(0.0)),
         names["word_length"]: F.coalesce(F.try_divide(col["word_chars"], col["n_words"]), F.lit(0.0)),
+        names["stutter"]: F.coalesce(F.try_divide(F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))), col["n_words"]), F.lit(0.0)),
     })
     return out.drop(*[names[t] for t in temps]), {k: names[k] for k in keys}
 
@@ -96,7 +97,7 @@ def _judged(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, dict[str, str
     rows = cut(counted.select(*carry, lang, source, *names.values()), "quality-counts")
     limits = thresholds(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.col(names[r]).alias(r) for r in RATES]))
     at = dict(zip(["lang", "source", *[f"fence_{r}" for r in RATES]], free_name(rows, *[f"t_{c}" for c in limits.columns]), strict=True))
-    limits = limits.select(*[F.col(c).alias(n) for c, n in at.items()])
+    limits = cut(limits.select(*[F.col(c).alias(n) for c, n in at.items()]), "quality-limits")  # so that Spark knows its size
     rows = rows.join(limits, rows[lang].eqNullSafe(limits[at["lang"]]) & rows[source].eqNullSafe(limits[at["source"]]), "left")
     good = ~F.col(names["base_failed"])
     for r in RATES:
@@ -116,7 +117,17 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``quality_report`` keeps, with all their columns and no others. Texts are
-    measured once: the counted rows are written to the shared folder and filtered from there."""
-    rows, _, (_, _, verdict) = _judged(docs, docs.columns)
-    return rows.where(F.col(verdict)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that ``quality_report`` keeps, with all their columns and no others.
+
+    Texts are measured once; the narrow verdicts are joined back by doc_id, a 64-bit hash of the text, lang and source, so
+    rows that agree in these share a verdict, as they do in the report."""
+    id_, mark = free_name(docs, "good_id", "good_text")
+    marked = docs.withColumns({id_: F.col("doc_id"), mark: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    rows, _, (lang, source, verdict) = _judged(marked.select(id_, mark, "text", *[c for c in ("lang", "source") if c in docs.columns]), [id_, mark])
+    good = rows.where(F.col(verdict)).select(F.col(id_).alias("g_id"), F.col(mark).alias("g_text"), F.col(lang).alias("g_lang"), F.col(source).alias("g_source"))
+    good = cut(good.distinct(), "quality-good").hint("shuffle_hash")
+    on = marked[id_].eqNullSafe(good["g_id"]) & (marked[mark] == good["g_text"])
+    for name, other in (("lang", "g_lang"), ("source", "g_source")):
+        if name in docs.columns:
+            on = on & marked[name].cast("string").eqNullSafe(good[other])
+    return marked.join(good, on, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
