@@ -119,15 +119,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality_report`` keeps, with all their columns and no others.
 
-    Texts are measured once; the narrow verdicts are joined back by doc_id, a 64-bit hash of the text, lang and source, so
-    rows that agree in these share a verdict, as they do in the report."""
-    id_, mark = free_name(docs, "good_id", "good_text")
-    marked = docs.withColumns({id_: F.col("doc_id"), mark: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    rows, _, (lang, source, verdict) = _judged(marked.select(id_, mark, "text", *[c for c in ("lang", "source") if c in docs.columns]), [id_, mark])
-    good = rows.where(F.col(verdict)).select(F.col(id_).alias("g_id"), F.col(mark).alias("g_text"), F.col(lang).alias("g_lang"), F.col(source).alias("g_source"))
-    good = cut(good.distinct(), "quality-good").hint("shuffle_hash")
-    on = marked[id_].eqNullSafe(good["g_id"]) & (marked[mark] == good["g_text"])
-    for name, other in (("lang", "g_lang"), ("source", "g_source")):
-        if name in docs.columns:
-            on = on & marked[name].cast("string").eqNullSafe(good[other])
-    return marked.join(good, on, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    Texts are measured once and written with their counts; the thresholds read the narrow columns only, and no
+    text is exchanged."""
+    own = [f"`{c}`" for c in docs.columns]
+    rows, _, (_, _, verdict) = _judged(docs, own)
+    return rows.where(F.col(verdict)).select(*own)
