@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from talentlake.llm import components, exact_dedup, html_text, language, packing, pieces, quality, recompression, sharding, simhash, transducer
+from talentlake.llm import components, exact_dedup, html_text, jaccard, language, packing, pieces, quality, recompression, sharding, simhash, transducer
 from talentlake.llm.queries import BYTE_BPE, PIECE_MODEL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -454,6 +454,54 @@ def test_all_visible_words_are_there(spark):
     assert html_text.page_text(pages.limit(0)).count() == 0
 
 
+# Near-dedup of the pipeline
+
+
+def jaccard_kept(rows):
+    """The ids that stay, by brute force over sets of 5-word shingles."""
+    sets = []
+    for _, t in rows:
+        words = WORD.findall(lower(t or ""))
+        sets.append({" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or {" ".join(words)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted(least.values())
+
+
+def test_near_stage_equals_brute_force(spark, unique, docs):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(6, 250))]
+        rows.append(" ".join(base))
+        for changed in (1, 2, 4, 5, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(changed, len(copy))):
+                copy[at] = "changed"
+            rows.append(" ".join(copy if changed % 2 else copy[: len(copy) * 9 // 10]))
+    made = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    for df in (made, unique, docs):
+        want = jaccard_kept([tuple(r) for r in df.select("doc_id", "text").collect()])
+        kept = corpus_pipeline.near_duplicates(spark, df, "")
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.collect()) == want
+
+
 # The pipeline
 
 
