@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count only straight after "="; elsewhere a quote is part of a name or of an unquoted value.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+|(?=>))|[^>=])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -28,6 +29,8 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = set("head script style template noscript title iframe noembed noframes object datalist link meta base param audio video canvas".split())
+#: What may stand in an open head; anything else, and text, closes it.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
@@ -78,6 +81,8 @@ def build_tree(html: str) -> Node:
     def text(part: str) -> None:
         if not part:
             return
+        if stack[-1].tag == "head" and part.strip():
+            stack.pop()
         if stack[-1].tag in TABLE_ONLY and part.strip():
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "table":
@@ -106,6 +111,10 @@ def build_tree(html: str) -> Node:
         attrs = attributes(m[3])
         if tag in ("html", "body"):
             root.attrs = {**attrs, **root.attrs}
+            if tag == "body":
+                end({"head"}, {"template"})
+            continue
+        if tag == "head" and len(stack) > 1:
             continue
         if tag in CLOSES_P:
             end({"p"}, FENCE | {"button"})
@@ -115,7 +124,7 @@ def build_tree(html: str) -> Node:
             row = Node("tr", {})
             stack[-1].kids.append(row)
             stack.append(row)
-        if tag != "head" and stack[-1].tag == "head" and tag not in UNSEEN and tag not in VOID:
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
         node = Node(tag, attrs)
         stack[-1].kids.append(node)

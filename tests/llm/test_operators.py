@@ -420,6 +420,15 @@ def test_rendering(html, want):
     assert html_text.extract(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<head><title>t</title><body>Some text<br>more", "Some text\nmore"), ("<head><title>t</title>bare text", "bare text"), ("<head>a<br>b", "a\nb"),
+    ("<p title=don't>shown text</p><p>it's more</p>", "shown text\n\nit's more"), ("<p title='a>b' lang=\"c>d\">y", "y"), ("<p a=b'c title = \"e>f\">z", "z"),
+    ("<a href=>q</a>", "q"), ("<p 'a>b</p>it's", "b\n\nit's"), ("<body>a<head>b", "ab"),
+])
+def test_open_heads_and_stray_quotes(html, want):
+    assert html_text.extract(html) == want
+
+
 def test_deep_pages_do_not_recurse():
     assert html_text.extract("<div>" * 50_000 + "x").strip() == "x"
 
