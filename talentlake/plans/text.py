@@ -29,6 +29,17 @@ def text_strict(spark, sf):
     return docs.where(F.size(lines) == F.size(F.array_distinct(keys))).select("doc_id", text.clean_strict(F.col("text")).alias("strict"))
 
 
+@R.add("""WITH l AS (SELECT doc_id, i, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM (
+                  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+                  FROM (SELECT doc_id, replace(replace(replace(text, '–', '-'), '—', '-'), '•', '-') AS text FROM documents))),
+          r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) AS nth FROM l WHERE line <> ''),
+          j AS (SELECT d.doc_id, coalesce(string_agg(line, ' ' ORDER BY i) FILTER (WHERE nth = 1 OR length(line) < 12), '') AS text FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id)
+          SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s/+#.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS strict FROM j""")
+def text_strict_whole(spark, sf):
+    """Strict cleaning of all documents, those with repeated lines too."""
+    return table(spark, sf, "documents").select("doc_id", text.clean_strict(F.col("text")).alias("strict"))
+
+
 @R.add("""WITH l AS (SELECT doc_id, i, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
           r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(line), '\\s+', ' ', 'g') ORDER BY i) AS nth FROM l WHERE line <> '')

@@ -39,3 +39,8 @@ def test_twin(spark, duck, name):
     left = sorted([tuple(map(plain, r)) for r in ours.select(*columns).collect()], key=str)
     right = sorted([tuple(map(plain, r)) for r in theirs.project(", ".join(f'"{c}"' for c in columns)).fetchall()], key=str)
     assert left == right
+
+
+def test_strict_cleaning_covers_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert catalog.QUERIES["text_strict_whole"](spark, SF).count() == docs.count() > catalog.QUERIES["text_strict"](spark, SF).count()
