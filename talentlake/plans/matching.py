@@ -244,6 +244,13 @@ def grounded_share(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(mention_ratio(F.left("text", F.lit(400)), facts), 6).alias("share"))
 
 
+@R.add("""SELECT doc_id, round((contains(k, 'erin')::INT + contains(k, 'para')::INT + contains(k, 'zzzz')::INT) / 3.0::DOUBLE, 6) AS share FROM (SELECT doc_id, strip_accents(lower(text)) AS k FROM documents)""")
+def grounded_share_whole(spark, sf):
+    """How many stated facts a whole text supports."""
+    facts = F.array(F.lit("erin"), F.lit("para"), F.lit("zzzz"))
+    return table(spark, sf, "documents").select("doc_id", F.round(mention_ratio(F.col("text"), facts), 6).alias("share"))
+
+
 @R.add("""WITH f AS (SELECT label, vec_id, embedding[1] AS s, vec_id % 7 = 0 AS focused FROM embeddings), n AS (SELECT *, count(*) FILTER (WHERE focused) OVER (PARTITION BY label) AS c FROM f)
           SELECT label, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM n WHERE focused OR c < 3) WHERE rank <= 4""")
 def focus_filter(spark, sf):

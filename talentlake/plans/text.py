@@ -339,3 +339,9 @@ def clean_variants(spark, sf):
 def model_input(spark, sf):
     t = F.when(F.col("turn") % 2 == 0, F.lit("unknown")).otherwise(F.left("text", F.lit(80)))
     return table(spark, sf, "conversations").select("conv_id", "turn", build.model_input(t).alias("model_text"))
+
+
+@R.add("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[EMPTY]' ELSE trim(text) END AS model_text FROM conversations""")
+def model_input_whole(spark, sf):
+    t = F.when(F.col("turn") % 2 == 0, F.lit("unknown")).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", build.model_input(t).alias("model_text"))
