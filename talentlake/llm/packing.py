@@ -5,7 +5,8 @@ hash to groups of some GROUP pieces; each group is packed by best-fit decreasing
 lower bound for the sequences that its pieces need. A group that meets its bound is certified. Groups with a gap put the
 pieces of their sequences that are not full into a pool, as do the certified ones with their emptiest sequence (each
 rounds up once); the pool is dealt anew and packed again. A round that does not save sequences is not taken, and is the
-last. No task sees more than a group; the driver sees counts.
+last, as is the last of ``rounds``; each piece says whether its group met its bound. No task sees more than a group; the
+driver sees counts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -32,8 +32,8 @@ ROUNDS = 4
 
 class Encoder:
     """Ids of a tokenizers file. Where its merges are numbered as their tokens (as in public byte-level files) the same
-    ids come from the faster tiktoken; its rare failures (a run of white space that exhausts its pattern engine) and
-    other files go to the tokenizers library."""
+    ids come from the faster tiktoken; its rare failures (a run of white space that exhausts its pattern engine), texts of
+    over a million characters and other files go to the tokenizers library, which gives the same ids."""
 
     def __init__(self, path: str):
         self.slow, self.fast = Tokenizer.from_file(path), None
@@ -142,20 +142,27 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def _pack(items: DataFrame, capacity: int, round_: int, groups: int) -> DataFrame:
-    """Items dealt to ``groups`` and packed: sequence_id, offset, and pool (its sequence may be packed anew)."""
+    """Items dealt to ``groups`` and packed: sequence_id, offset, certified, and pool (its sequence may be packed anew).
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=False, kind="stable").reset_index(drop=True)
-        sizes = frame["length"].to_numpy()
+    Items are read from a written table, so a row's number is the same when a task runs again; it keeps rows with one id,
+    or none, from meeting in one group."""
+
+    def one(table: pa.Table) -> pa.Table:
+        by = [("length", "descending"), ("ids_crc32", "ascending"), ("start", "ascending"), ("piece", "ascending"), ("doc_id", "ascending")]
+        table = table.sort_by(by)
+        sizes = table.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(sizes, capacity)
         room, gap = np.array(room), len(room) > lower_bound(sizes, capacity)
         pool = (room > 0) if gap else (np.arange(len(room)) == int(room.argmax())) & (room > 0)
-        group = int(frame["grp"].iloc[0])
-        return frame.assign(sequence_id=(np.int64(round_) << 56) + (np.int64(group) << 24) + bins, offset=offsets, pool=pool[bins])
+        ids = (np.int64(round_) << 56) + (np.int64(table.column("grp")[0].as_py()) << 24) + bins
+        new = {"sequence_id": ids, "offset": offsets, "certified": np.full(len(bins), not gap), "pool": pool[bins]}
+        for name, values in new.items():
+            table = table.append_column(name, pa.array(values))
+        return table
 
-    dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(groups)).cast("int"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, grp int, sequence_id long, offset long, pool boolean"
-    return dealt.groupBy("grp").applyInPandas(one, schema)
+    dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups)).cast("int"))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, grp int, sequence_id long, offset long, certified boolean, pool boolean"
+    return dealt.groupBy("grp").applyInArrow(one, schema)
 
 
 def _sequences(packed: DataFrame) -> tuple[int, int, int]:
@@ -166,15 +173,16 @@ def _sequences(packed: DataFrame) -> tuple[int, int, int]:
     return row["all"], row["pool"], row["rows"]
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    columns = [*pieces.columns, "sequence_id", "offset"]
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+    """``pieces`` (doc_id, piece, start, length, ids_crc32; a written table) with sequence_id, offset and certified: whether
+    the group that the piece was packed with needs no fewer sequences. Groups are packed at most ``rounds`` times."""
+    columns = [*pieces.columns, "sequence_id", "offset", "certified"]
     full = pieces.where(F.col("length") >= capacity)
-    out = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(*columns)
+    out = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "certified": F.lit(True)}).select(*columns)
     items = pieces.where(F.col("length") < capacity)
     current, round_ = cut(_pack(items, capacity, 1, max(1, -(-items.count() // group))), "packing-round"), 1
     _, pool, rows = _sequences(current)
-    while pool > 1 and round_ < ROUNDS:
+    while pool > 1 and round_ < rounds:
         round_ += 1
         again = cut(_pack(current.where("pool").select(*pieces.columns), capacity, round_, -(-rows // group)), "packing-round")
         used, next_pool, rows = _sequences(again)
@@ -187,7 +195,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) ->
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """All documents packed into sequences of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset, one row per piece.
+    sequence_id, offset, certified (see ``pack_pieces``), one row per piece.
 
     A document is its ids and ``end_id``; null text counts as empty and so is one token. Special strings in a text are
     special tokens, as the tokenizers library has it by default. Rows with one doc_id are separate documents; a null
@@ -196,7 +204,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (array), doc_ids and lengths in place order."""
+    """The packed sequences themselves: sequence_id, ids (array), doc_ids and lengths in place order.
+
+    Repeated rows stand in it as often as they are there, null ids as null; an empty table gives an empty result."""
     pieces = cut(pieces_of(docs, path, capacity, end_id, with_ids=True), "packing-ids")
     placed = pack_pieces(pieces.drop("ids"), capacity)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
