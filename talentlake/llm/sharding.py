@@ -4,7 +4,7 @@ The tree is grown level by level. In each level every node takes the metadata di
 widest and is cut where the bytes on both sides are in proportion to the leaves they still get. The cut is
 found by counting bytes in equal bins and counting again inside the bin that holds it; the driver sees at
 most ``shards`` x ``BINS`` sums at once, whatever the number of rows. Ties, such as a source with a third of
-all rows, are split by a hash of the id, which is the low half of every coordinate.
+all rows, are split by a hash of the row, which is the low half of every coordinate.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 BINS = 1024
-#: A coordinate is COARSE bits of the metadata value, then FINE bits of a hash of the id.
+#: A coordinate is COARSE bits of the metadata value, then FINE bits of a hash of the row.
 COARSE, FINE = 20, 32
 SLOT_BUCKETS = 1024
 DIMENSIONS = ("source", "lang", "size", "doc_id")
@@ -54,8 +54,10 @@ def _scaled(docs: DataFrame, size: Column) -> DataFrame:
     for name, value in numeric.items():
         low[name], high[name] = F.min(value).alias(f"low_{name}"), F.max(value).alias(f"high_{name}")
     edges = docs.agg(*low.values(), *high.values()).first()
-    tie = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << FINE))
-    out = [F.col("doc_id").alias("id"), size.alias("bytes"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long")).alias("crc")]
+    crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long"))
+    # The row's number tells rows apart that share id and text; the caller writes the table, so it does not change.
+    tie = F.pmod(F.xxhash64("doc_id", crc, F.monotonically_increasing_id()), F.lit(1 << FINE))
+    out = [F.col("doc_id").alias("id"), size.alias("bytes"), crc.alias("crc"), (F.monotonically_increasing_id() % SLOT_BUCKETS).alias("nth_row")]
     for name in DIMENSIONS:
         if name in numeric:
             a, b = edges[f"low_{name}"] or 0.0, edges[f"high_{name}"] or 0.0
@@ -129,19 +131,23 @@ def grow(rows: DataFrame, shards: int, slack: float) -> Node:
     return root
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slack: float = 0.002) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int | None = 24, slack: float = 0.002, target_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     ``size`` is the bytes of the text in UTF-8 plus 8. Shards get near equal bytes, as the cuts are exact to
-    ``slack`` of a shard or one row. ``slot`` numbers the rows of a shard from 0 without gaps.
+    ``slack`` of a shard or one row; with ``target_bytes`` there are as many as leaves of at most so many bytes need.
+    ``slot`` numbers the rows of a shard from 0 without gaps.
 
-    Null text has no bytes; null metadata sits at the low end of its dimension; missing lang or source columns
-    count as null. Equal rows are told apart by nothing, so rows that share a doc_id stay together. An empty
-    table gives an empty result. Extra columns are ignored."""
+    The law is about bytes alone: rows with equal texts, a group that may hold a third of all bytes, are spread like any
+    others, and so are rows that share a doc_id or have none. Null text has no bytes; null metadata sits at the low end
+    of its dimension; missing lang or source columns count as null. An empty table gives an empty result. Extra columns
+    are ignored."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8)).cast("long")
     rows = cut(_scaled(docs, size), "shard-rows")
-    placed = rows.select("id", "bytes", "crc", grow(rows, shards, slack).shard().cast("int").alias("shard"))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "crc"), F.lit(SLOT_BUCKETS)).cast("int"))
+    if target_bytes is not None:
+        shards = max(1, -(-(rows.agg(F.sum("bytes")).first()[0] or 0) // target_bytes))
+    placed = rows.select("id", "bytes", "crc", "nth_row", grow(rows, shards, slack).shard().cast("int").alias("shard"))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "nth_row"), F.lit(SLOT_BUCKETS)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
