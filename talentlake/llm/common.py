@@ -24,10 +24,12 @@ _own_folder: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) one folder of this process is used instead."""
+    Only where that is unset and Spark runs within one machine (tests, a laptop) a folder of this process is used instead."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="talentlake-"))
     return "file://" + _own_folder[0]
@@ -35,20 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there and
-    a lost executor costs nothing that was computed before. Spark drops the shuffle files of plans that the driver's
-    collector has found unused, so the collector is asked to look."""
+    a lost executor costs nothing that was computed before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path
     return table
 
 
-def release(table: DataFrame) -> None:
-    """Delete a table that ``cut`` has written, once all that was made of it has been written itself."""
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, once all that was made of them has been written itself. Spark drops the
+    shuffle files of plans that the driver's collector has found unused, so it is asked to look here, where large ones
+    have just become so; a session without a JVM of its own leaves both to the end of the job."""
+    for table in tables:
+        _delete(table)
+    jvm = getattr(tables[0].sparkSession, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
+def _delete(table: DataFrame) -> None:
     spark = table.sparkSession
+    if getattr(spark, "_jvm", None) is None:
+        return
     path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
