@@ -8,7 +8,8 @@ out best first.
 No piece reaches over a place where a word begins, so the lattice falls into segments, and a document's score is the sum
 over them. Each distinct segment is solved once: Viterbi runs over many side by side, forwards for the best segmentation
 and backwards for what its second best loses. Only the segments of a document that lose least can differ from the best in
-its N best; those are searched by A-star, and the sums of their lists are merged best first.
+its N best; those are searched by A-star, and the sums of their lists are merged best first. A segment of over LONG characters
+(a text without spaces) is not laid out whole: its edges are made block by block where Viterbi or the search needs them.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN_PENALTY = 10.0
 KNOWN_SEGMENTS = 400_000
+LONG, BLOCK = 20_000, 4096
 TRIE_BITS = 18
 NO_EDGE, UNKNOWN = -2, -1
 
@@ -119,7 +121,7 @@ class Lattice:
     """The lattices of many segments, one after another. Places are numbered through, with one more at each segment's end;
     row p of ``ids`` and ``scores`` has the edges that end at p, by their length less one."""
 
-    def __init__(self, model: Pieces, segments: list[str]):
+    def __init__(self, model: Pieces, segments: list[str], solve: bool = True):
         self.model, self.segments = model, segments
         points = np.frombuffer("".join(s + "\0" for s in segments).encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -143,7 +145,8 @@ class Lattice:
         self.ids[lone, 0] = UNKNOWN
         self.scores = np.where(self.ids >= 0, model.score[self.ids], -np.inf)
         self.scores[lone, 0] = model.unknown_score
-        self._solve(n, np.repeat(np.arange(len(segments)), sizes + 1))
+        if solve:
+            self._solve(n, np.repeat(np.arange(len(segments)), sizes + 1))
 
     def _solve(self, n: int, owner: np.ndarray) -> None:
         back = np.arange(1, self.model.longest + 1)
@@ -195,26 +198,82 @@ class Lattice:
         return ids, np.bincount(owner, minlength=len(self.segments))
 
     def n_best(self, k: int, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of segment ``k``, as (score, ids), best first: A-star from its end."""
-        first, size, text = int(self.first[k]), int(self.last[k] - self.first[k]), self.segments[k]
-        rows = slice(first, first + size + 1)
-        ids, scores, forward = self.ids[rows].tolist(), self.scores[rows].tolist(), self.forward[rows].tolist()
-        queue, count, found = [(-forward[size], 0, size, 0.0, None)], 0, []
-        while queue and len(found) < n:
-            _, _, place, done, chain = heapq.heappop(queue)
-            if place == 0:
-                out = []
-                while chain is not None:
-                    edge, at, chain = chain
-                    out += self.model.spelled(edge, text[at])
-                found.append((done, out))
-                continue
-            for length in range(1, min(place, self.model.longest) + 1):
-                edge = ids[place][length - 1]
-                if edge != NO_EDGE:
-                    g, count = done + scores[place][length - 1], count + 1
-                    heapq.heappush(queue, (-(forward[place - length] + g), count, place - length, g, (edge, place - length, chain)))
-        return found
+        """The ``n`` best segmentations of segment ``k``, as (score, ids), best first."""
+        rows = slice(int(self.first[k]), int(self.last[k]) + 1)
+        ids, scores = self.ids[rows].tolist(), self.scores[rows].tolist()
+        return a_star(self.model, self.segments[k], self.forward[rows].tolist(), lambda place: (ids[place], scores[place]), n)
+
+
+def a_star(model: Pieces, text: str, forward: list[float] | np.ndarray, edges, n: int) -> list[tuple[float, list[int]]]:
+    """The ``n`` best segmentations of ``text``, as (score, ids), best first, from its end to its start; ``edges`` gives the ids
+    and scores of what ends at a place, ``forward`` the best score of each prefix.
+
+    Of equal paths the one nearest to the start goes on first, so ties do not widen the search; and as at most ``n`` of the
+    best paths run through any one way to a place, a place is left for good when it has been taken up ``n`` times. Of the
+    ways on from a place the next one waits in the queue until the one before it is taken."""
+    size, count, found, taken = len(text), 0, [], {}
+    queue = [(-float(forward[size]), size, 0, 0.0, None, None, 0)]  # a path that comes to a place, and the ways beside its last edge
+    while queue and len(found) < n:
+        _, place, _, done, chain, ways, nth = heapq.heappop(queue)
+        if ways is not None and nth + 1 < len(ways[2]):
+            before, rest, ordered = ways
+            value, target, edge, score = ordered[nth + 1]
+            count += 1
+            heapq.heappush(queue, (-(before + value), target, count, before + score, (edge, target, rest), ways, nth + 1))
+        if place == 0:
+            out = []
+            while chain is not None:
+                edge, at, chain = chain
+                out.append(model.spelled(edge, text[at]))
+            found.append((done, [i for part in out for i in part]))
+            continue
+        times = taken[place] = taken.get(place, 0) + 1
+        if times > n:
+            continue
+        ids, scores = edges(place)
+        most = min(place, model.longest)
+        on = [(float(forward[place - k - 1]) + scores[k], place - k - 1, ids[k], scores[k]) for k in range(most) if ids[k] != NO_EDGE]
+        on.sort(key=lambda way: (-way[0], way[1]))
+        value, target, edge, score = on[0]
+        count += 1
+        heapq.heappush(queue, (-(done + value), target, count, done + score, (edge, target, chain), (done, chain, on), 0))
+    return found
+
+
+class LongLattice:
+    """The lattice of one long segment, of which a few blocks are laid out at a time."""
+
+    def __init__(self, model: Pieces, segment: str):
+        self.model, self.segment = model, segment
+        self.block = lru_cache(8)(self._block)
+        self.forward = np.full(len(segment) + 1, -np.inf)
+        self.forward[0] = 0.0
+        best = [0.0]  # of the last places, the nearest one last
+        for start in range(0, len(segment), BLOCK):
+            ids, scores = self.block(start // BLOCK)
+            values = []
+            for row in scores:
+                now = max(map(float.__add__, reversed(best), row))
+                values.append(now)
+                best.append(now)
+                if len(best) > 4 * model.longest:
+                    del best[: -model.longest]
+            self.forward[start + 1 : start + 1 + len(values)] = values
+
+    def _block(self, k: int) -> tuple[list[list[int]], list[list[float]]]:
+        """Ids and scores of the edges that end at the places k * BLOCK + 1 to (k + 1) * BLOCK."""
+        most, low = self.model.longest, k * BLOCK
+        back = min(low, most)
+        part = Lattice(self.model, [self.segment[low - back : low + BLOCK]], solve=False)
+        rows = slice(back + 1, min(back + BLOCK, len(part.segments[0])) + 1)
+        return part.ids[rows].tolist(), part.scores[rows].tolist()
+
+    def edges(self, place: int) -> tuple[list[int], list[float]]:
+        ids, scores = self.block((place - 1) // BLOCK)
+        return ids[(place - 1) % BLOCK], scores[(place - 1) % BLOCK]
+
+    def n_best(self, n: int) -> list[tuple[float, list[int]]]:
+        return a_star(self.model, self.segment, self.forward, self.edges, n)
 
 
 class Segments(dict):
@@ -231,7 +290,7 @@ class Segments(dict):
         self.bytes: list[bytes] = []
         self.lists: dict[tuple[str, int], list[tuple[float, np.ndarray, bytes]]] = {}
 
-    def learn(self, segments: set[str]) -> None:
+    def learn(self, segments: set[str], n: int = 2) -> None:
         new = list(segments.difference(self))
         if new and len(self) > KNOWN_SEGMENTS:
             self._empty()
@@ -240,6 +299,13 @@ class Segments(dict):
             return
         solved = []
         for part in blocks(new):  # the tables of a part go when it is solved
+            if len(part[0]) > LONG:
+                found = LongLattice(self.model, part[0]).n_best(max(n, 2))
+                self._keep(part[0], max(n, 2), found)
+                (best, ids), *second = found
+                loss = best - second[0][0] if second else np.inf
+                solved.append((np.array(ids, np.int32), np.array([len(ids)]), np.array([best]), np.array([loss])))
+                continue
             lattice = Lattice(self.model, part)
             solved.append((*lattice.best_ids(), lattice.best, lattice.loss))
         ids, counts, best, loss = (np.concatenate(x) for x in zip(*solved))
@@ -254,21 +320,25 @@ class Segments(dict):
     def search(self, segments: set[str], n: int) -> None:
         """The ``n`` best of each of ``segments``, if they are not known yet."""
         for part in blocks([s for s in segments if (s, n) not in self.lists]):
-            lattice = Lattice(self.model, part)
+            long = len(part[0]) > LONG
+            lattice = LongLattice(self.model, part[0]) if long else Lattice(self.model, part)
             for k, segment in enumerate(part):
-                found = lattice.n_best(k, n)
-                self.lists[segment, n] = [(score, np.array(ids, np.int32), b"".join(map(self.model.plain.__getitem__, ids))) for score, ids in found]
+                found = lattice.n_best(n) if long else lattice.n_best(k, n)
+                self._keep(segment, n, found)
+
+    def _keep(self, segment: str, n: int, found: list[tuple[float, list[int]]]) -> None:
+        self.lists[segment, n] = [(score, np.array(ids, np.int32), b"".join(map(self.model.plain.__getitem__, ids))) for score, ids in found]
 
 
 def blocks(segments: list[str], places: int = 200_000) -> Iterator[list[str]]:
-    """``segments`` in parts of at most ``places`` characters, one at least."""
+    """``segments`` in parts of at most ``places`` characters; one of over LONG is a part of its own."""
     part, held = [], 0
     for s in segments:
-        if part and held + len(s) + 1 > places:
+        if part and (len(s) > LONG or held + len(s) + 1 > places):
             yield part
             part, held = [], 0
         part.append(s)
-        held += len(s) + 1
+        held += places if len(s) > LONG else len(s) + 1
     if part:
         yield part
 
@@ -276,7 +346,7 @@ def blocks(segments: list[str], places: int = 200_000) -> Iterator[list[str]]:
 def encode_documents(known: Segments, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray, str]]]:
     """The ``n`` best segmentations of each text, as (score, ids, decoded text)."""
     split = [SEGMENT.findall(known.model.prepare(t)) for t in texts]
-    known.learn({s for ss in split for s in ss})
+    known.learn({s for ss in split for s in ss}, n)
     places, chosen = [], []
     for segments in split:
         at = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
