@@ -5,12 +5,15 @@ by its last token, which is the one vocabulary suffix whose predecessor's last t
 keeps, for every vocabulary prefix that the bytes read may still continue, the last token before it and how many tokens
 that was behind the present count. Reading a byte emits the change of the token count, so that the emissions of a
 pre-token add up to its tokens. States are determinized when first needed and kept in a transition table that all later
-blocks of the worker use; a table that has grown too large is begun anew.
+blocks of the worker use; a table that has grown too large is begun anew with the states that are still in use, also in
+the middle of a text.
 
 A block of texts is one stream of bytes in which marks say where pre-tokens begin. It is cut into chunks, which run side
-by side (NumPy lanes). The state map of a chunk is constant from its first mark on, so chunks run from there at once;
-then the maps are composed in a scan: the exit of a chunk enters the head of the next one. Only chunks within a single
-pre-token longer than CHUNK wait for one another.
+by side (NumPy lanes). The state map of a chunk with a mark is constant, as it passes the start there; that of a chunk inside
+a long pre-token is not. A scan composes the maps: first all are evaluated at the start state, then in rounds each at what
+the chunk before it hands on, all chunks at once, and again only where that has changed. A tokenizer forgets where it began
+after a few tokens, so the exits of the first evaluation are mostly right already and two or three rounds settle any number of
+chunks; the last round, in which nothing changes, proves the result whatever the text.
 """
 
 from __future__ import annotations
@@ -143,6 +146,7 @@ class Transducer:
     def reset(self) -> None:
         start = ((0, -1, 0),)
         self.states, self.number = [start], {start: 0}
+        self.most, self.held = MOST_STATES, []
         self.beside: dict[tuple[int, int], bool] = {}
         self.bits, self.used = 20, 0
         self.keys = np.full(1 << self.bits, -1, np.int64)
@@ -174,6 +178,16 @@ class Transducer:
             self.states.append(state_)
         return number, change
 
+    def compact(self, *held: np.ndarray) -> None:
+        """Begin the table anew with the states in ``held`` (numbers, none below 0), which are renumbered in place."""
+        used = np.unique(np.concatenate([[0], *(h[h >= 0] for h in held)]))
+        kept, arrays = [self.states[k] for k in used.tolist()], self.held
+        self.reset()
+        self.states, self.number, self.held = kept, {s: i for i, s in enumerate(kept)}, arrays
+        self.most = max(MOST_STATES, 2 * len(kept))
+        for h in held:
+            h[h >= 0] = np.searchsorted(used, h[h >= 0])
+
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.int64(-7046029254386353131)) >> np.int64(64 - self.bits)) & np.int64((1 << self.bits) - 1)
 
@@ -229,14 +243,18 @@ class Transducer:
             to, emit = self.advance(np.where(marks[at], 0, now[:k]), stream[at])
             now[:k] = to
             counts[:k] += emit
+            if len(self.states) > self.most:
+                self.compact(now, *self.held)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         return now[back], counts[back]
 
+    def _at(self, stream: np.ndarray, marks: np.ndarray, begin: np.ndarray, end: np.ndarray, chunks: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``run`` of what lies between ``begin`` and ``end`` of some chunks."""
+        return self.run(stream, marks, begin[chunks], end[chunks] - begin[chunks], states)
+
     def count(self, stream: np.ndarray, marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Tokens of every text; text i is stream[bounds[i]:bounds[i + 1]]."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
         size = np.diff(bounds)
         chunks = -(-size // CHUNK)
         owner = np.repeat(np.arange(len(size)), chunks)
@@ -246,17 +264,21 @@ class Transducer:
         marked = np.append(np.flatnonzero(marks), len(stream))
         first = np.minimum(marked[np.searchsorted(marked, begin)], end)
         body = np.flatnonzero(first < end)
-        exits, counts = np.full(len(owner), -1, np.int32), np.zeros(len(owner), np.int64)
-        exits[body], counts[body] = self.run(stream, marks, first[body], (end - first)[body], np.zeros(len(body), np.int32))
-        # The scan: heads whose entry is known run together; a chunk without a mark passes its exit on.
-        todo = np.flatnonzero(first > begin)
-        while len(todo):
-            ready = todo[exits[todo - 1] >= 0]
-            out, more = self.run(stream, marks, begin[ready], (first - begin)[ready], exits[ready - 1])
-            counts[ready] += more
-            whole = first[ready] == end[ready]
-            exits[ready[whole]] = out[whole]
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
+        # Exits, and the entries that the heads (what stands before the first mark) have been evaluated at.
+        exits, entries = np.full(len(owner), -1, np.int32), np.full(len(owner), -1, np.int32)
+        self.held = [exits, entries]
+        counts, in_head = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        exits[body], counts[body] = self._at(stream, marks, first, end, body, np.zeros(len(body), np.int32))
+        heads = np.flatnonzero(first > begin)
+        whole = heads[first[heads] == end[heads]]
+        exits[whole], _ = self._at(stream, marks, begin, end, whole, np.zeros(len(whole), np.int32))
+        while len(now := heads[entries[heads] != exits[heads - 1]]):
+            entries[now] = exits[now - 1]
+            out, in_head[now] = self._at(stream, marks, begin, first, now, entries[now])
+            passes = first[now] == end[now]
+            exits[now[passes]] = out[passes]
+        self.held = []
+        counts += in_head
         return np.bincount(owner, counts, len(size)).astype(np.int64)
 
 
