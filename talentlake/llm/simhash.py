@@ -8,6 +8,10 @@ leave. Each two points within RADIUS meet in the home leaf of either, so links a
 
 Within a shard links are joined into trees at once (a spanning forest), so a dense group of n points gives under n
 edges, and Spark finds the components of those.
+
+``drop_near_duplicates`` has a second mode for a stated similarity of word shingles, which 64 bits cannot decide: there the
+points are sets of shingles, the distance is Jaccard's, and shards are those of ``jaccard``; vantage points and triangle bounds
+prune in the same way.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, map_text
 from .components import components
+from .jaccard import drop_similar
 
 SHINGLE = 3
 RADIUS = 3
@@ -204,11 +209,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest doc_id.
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest doc_id. Links are
+    fingerprints within ``reach`` bits or, with ``similarity`` (a fraction), a Jaccard similarity of so much over shingles.
 
     Rows that repeat both doc_id and text are one document and stay or go together; of rows that share a doc_id but not
     the text, a hash of the text decides; null ids come last."""
+    if similarity is not None:
+        return drop_similar(docs, shingle, similarity)
     id_, rev = free_name(docs, "near_id", "near_rev")
     rows = near_classes(docs, shingle, reach, shards)
     stays = rows.where(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("rev") == F.col("least.rev")))
