@@ -47,12 +47,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` has written, once all that was made of them has been written itself. Spark drops the
-    shuffle files of plans that the driver's collector has found unused, so it is asked to look here, where large ones
-    have just become so; a session without a JVM of its own leaves both to the end of the job."""
+    """Delete tables that ``cut`` has written, once all that was made of them has been written itself, and free shuffles."""
     for table in tables:
         _delete(table)
-    jvm = getattr(tables[0].sparkSession, "_jvm", None)
+    free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of plans that the driver's collector has found unused. It is asked to look where large
+    ones have just become so; a session without a JVM of its own leaves them to the end of the job."""
+    jvm = getattr(spark, "_jvm", None)
     if jvm is not None:
         jvm.System.gc()
 
