@@ -15,16 +15,19 @@ REQUIRED = ("required", "must have", "bat buoc", "yeu cau", "can co", "thanh tha
 RANK = {"preferred": 3, "required": 2, "mentioned": 1}
 
 
-def alias_pattern(aliases: list[str]) -> str:
-    """Any of ``aliases``, not inside a longer word; works for names such as c++, c# and .net."""
+def alias_pattern(aliases: list[str], compat: bool = False) -> str:
+    """Any of ``aliases``, not inside a longer word; works for names such as c++, c# and .net. ``compat`` asks for word
+    boundaries instead, which names that begin or end with a sign hardly ever have."""
     body = "|".join(re.escape(a) for a in sorted(aliases, key=len, reverse=True))
+    if compat:
+        return rf"(?U)\b(?:{body})\b"
     return rf"(?U)(?<![\w])(?:{body})(?![\w])"
 
 
-def skills_in(key: Column, vocabulary: dict[str, list[str]]) -> Column:
+def skills_in(key: Column, vocabulary: dict[str, list[str]], compat: bool = False) -> Column:
     """The skills named in a normalised text, in vocabulary order."""
-    every = alias_pattern([a for aliases in vocabulary.values() for a in aliases])
-    each = lambda k: F.array(*[F.when(k.rlike(alias_pattern(a)), F.lit(s)) for s, a in vocabulary.items()])
+    every = alias_pattern([a for aliases in vocabulary.values() for a in aliases], compat)
+    each = lambda k: F.array(*[F.when(k.rlike(alias_pattern(a, compat)), F.lit(s)) for s, a in vocabulary.items()])
     found = let(key, lambda k: F.when(k.rlike(every), each(k)).otherwise(F.array().cast("array<string>")))
     return F.filter(found, lambda s: s.isNotNull())
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -20,7 +22,14 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Of length one; the zero vector stays zero."""
-    return F.transform(doubles(a), lambda x: x / F.greatest(norm(a), F.lit(1e-12)))
+    return let(F.greatest(norm(a), F.lit(1e-12)), lambda n: F.transform(doubles(a), lambda x: x / n))
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """The mean of those of ``vectors`` (an array of equally long ones) whose place in ``mask`` is not 0; null if there is none."""
+    seen = F.filter(F.zip_with(vectors, mask, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda x: x["m"] != 0)
+    total = F.aggregate(F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0))), doubles(F.get(seen, F.lit(0))["v"]), lambda s, x: F.zip_with(s, doubles(x["v"]), lambda a, b: a + b))
+    return let(F.size(seen).cast("double"), lambda n: F.transform(total, lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import hybrid, match_weight, ratio
+from ..functions.text import let
 from ..functions.vector import cosine_distance
 
 
@@ -30,6 +31,97 @@ def recommend(owned: DataFrame, required: DataFrame, jobs: DataFrame, k: int, ce
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def recommend_all(
+    cvs: DataFrame, owned: DataFrame, required: DataFrame, jobs: DataFrame, targets: DataFrame, k: int, certified: DataFrame
+) -> DataFrame:
+    """The ``k`` best of all jobs for each cv: cv_id, job_id, has_match, matched, total, coverage, cert_matches, score, rank.
+
+    cvs(cv_id, years), owned(cv_id, skill), certified(cv_id, skill), targets(cv_id, role), required(job_id, skill, importance) and
+    jobs(job_id, title, job_family, min_years). Score: 2, 1 or 0.5 a match by importance, 2 x coverage, 0.2 if a target role
+    stands in the job's family or title, 0.1 if the years suffice or 0.05 if the job asks for none (0 if the cv's are
+    unknown), 0.05 a certified skill. Jobs with a match come first, equal ones by job_id.
+
+    Only pairs with a common skill are joined. A cv with fewer than ``k`` of them is filled up from jobs without one, whose
+    score has a handful of values: of each role (or none) and each demand of years the first 2 x ``k`` jobs are enough."""
+    roles = targets.select("cv_id", F.lower("role").alias("role")).where("role <> ''").distinct()
+    facts = cvs.select("cv_id", "years").join(roles.groupBy("cv_id").agg(F.collect_set("role").alias("roles")), "cv_id", "left")
+    skills = owned.select("cv_id", F.lower("skill").alias("skill"), F.lit(1).alias("own"), F.lit(0).alias("cert"))
+    skills = skills.unionByName(certified.select("cv_id", F.lower("skill").alias("skill"), F.lit(0).alias("own"), F.lit(1).alias("cert")))
+    skills = skills.groupBy("cv_id", "skill").agg(F.max("own").alias("own"), F.max("cert").alias("cert"))
+    need = required.select("job_id", F.lower("skill").alias("skill"), "importance")
+    totals = need.groupBy("job_id").agg(F.count("skill").alias("total"))
+    pairs = skills.join(need, "skill").groupBy("cv_id", "job_id").agg(
+        F.sum("own").alias("matched"), F.sum(F.col("own") * match_weight(F.col("importance"))).alias("weighted"), F.sum("cert").alias("cert_matches")
+    )
+    described = jobs.select("job_id", F.lower("job_family").alias("family"), F.lower("title").alias("heading"), "min_years")
+    fills = F.exists(F.col("roles"), lambda r: F.contains(F.col("family"), r) | F.contains(F.col("heading"), r))
+    scored = pairs.join(described, "job_id").join(facts, "cv_id").join(totals, "job_id", "left")
+    scored = scored.withColumn("in_role", F.coalesce(fills, F.lit(False))).drop("family", "heading", "roles")
+
+    # Jobs without a common skill for the cvs that need them: `place` is a job's place among those of one role and one demand.
+    enough = pairs.groupBy("cv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = facts.join(enough, "cv_id", "left_anti")
+    first = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("job_id"))).where(F.col("place") <= 2 * k).drop("place")
+    named = described.join(roles.select("role").distinct(), F.contains(F.col("family"), F.col("role")) | F.contains(F.col("heading"), F.col("role")))
+    of_role = first(named.select("role", "job_id", "min_years"), ["role", "min_years"])
+    of_role = short.select("cv_id", "years", F.explode("roles").alias("role")).join(of_role, "role").select("cv_id", "years", "job_id", "min_years", F.lit(True).alias("in_role"))
+    of_any = first(described.select("job_id", "min_years"), ["min_years"])
+    rest = first(_by_years(short.select("years").distinct(), of_any), ["years", "bonus"])
+    rest = short.join(rest.withColumnRenamed("years", "y"), F.col("years").eqNullSafe(F.col("y")))
+    rest = rest.join(described.drop("min_years"), "job_id").withColumn("in_role", F.coalesce(fills, F.lit(False)))
+    extra = of_role.unionByName(rest.select("cv_id", "years", "job_id", "min_years", "in_role")).distinct().join(pairs, ["cv_id", "job_id"], "left_anti")
+    extra = extra.join(totals, "job_id", "left").withColumns({"matched": F.lit(0).cast("long"), "weighted": F.lit(0.0), "cert_matches": F.lit(0).cast("long")})
+
+    every = scored.unionByName(extra).withColumn("total", F.coalesce("total", F.lit(0)))
+    every = every.withColumn("coverage", ratio(F.col("matched"), F.col("total"))).withColumn("has_match", (F.col("matched") > 0).cast("int"))
+    bonus = F.when(F.col("in_role"), 0.2).otherwise(0.0) + years_bonus(F.col("years"), F.col("min_years"))
+    every = every.withColumn("score", F.round(F.col("weighted") + 2.0 * F.col("coverage") + bonus + 0.05 * F.col("cert_matches"), 9))
+    keys = [F.col(c).desc() for c in ("has_match", "score", "matched", "coverage", "cert_matches")]
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("cv_id").orderBy(*keys, "job_id"))).where(F.col("rank") <= k)
+    return ranked.select("cv_id", "job_id", "has_match", "matched", "total", "coverage", "cert_matches", "score", "rank")
+
+
+def years_bonus(years: Column, least: Column) -> Column:
+    """0.1 if ``years`` suffice, 0.05 if nothing is asked for, 0 if they are too few or unknown."""
+    return F.when(years.isNull(), 0.0).when(least.isNull(), 0.05).when(years >= least, 0.1).otherwise(0.0)
+
+
+def _by_years(years: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(years, job_id, min_years, bonus): distinct numbers of years with the few jobs of each demand."""
+    return years.join(jobs, F.lit(True)).withColumn("bonus", years_bonus(F.col("years"), F.col("min_years")))
+
+
+def infer_roles(cvs: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best roles of each cv: cv_id, role, confidence, rank, selected_role, requires_confirmation.
+
+    cvs(cv_id, skills, target_role, signal, preferred), profiles(role, skills, keywords: arrays), of which there are as many as
+    roles; they are spread over the cvs by Spark's own size check. Confidence: 0.65 of the profile's skills that the cv has,
+    0.2 of its keywords of three letters or more that stand in the signal text, 0.15 if the target role is the role. The
+    preferred role is selected if there is a profile of it, else the best; below 0.45 without a preference the choice needs
+    confirmation."""
+    own = profiles.select(F.col("role"), F.col("skills").alias("needed"), F.filter("keywords", lambda w: F.length(w) >= 3).alias("words"))
+    pairs = cvs.join(own, F.lit(True))
+    signal = F.lower(F.coalesce("signal", F.lit("")))
+    hits = let(signal, lambda s: F.size(F.filter("words", lambda w: F.contains(s, w))))
+    same = lambda a, b: F.coalesce(F.lower(F.trim(a)) == F.lower(F.trim(b)), F.lit(False))
+    fit = 0.65 * ratio(F.size(F.array_intersect("needed", F.coalesce("skills", F.array()))), F.size("needed")) + 0.2 * ratio(hits, F.size("words"))
+    fit = F.round(F.least(F.greatest(fit + 0.15 * same(F.col("target_role"), F.col("role")).cast("int"), F.lit(0.0)), F.lit(1.0)), 4)
+    each = Window.partitionBy("cv_id")
+    wish = F.coalesce(F.trim("preferred"), F.lit("")) != ""
+    rows = pairs.withColumn("confidence", fit).withColumn("wished", same(F.col("preferred"), F.col("role")) & wish)
+    rows = rows.withColumn("rank", F.row_number().over(each.orderBy(F.col("confidence").desc(), "role")))
+    best = F.max_by(F.struct("role", "confidence"), F.struct(F.col("wished").cast("int"), -F.col("rank"))).over(each)
+    rows = rows.withColumn("best", best).where(F.col("rank") <= k)
+    return rows.select("cv_id", "role", "confidence", "rank", F.col("best.role").alias("selected_role"), ((F.col("best.confidence") < 0.45) & ~wish).alias("requires_confirmation"))
+
+
+def hit_details(hits: DataFrame, details: DataFrame, url: str, content: str, text: str) -> DataFrame:
+    """``hits`` with the details of their job by ``url`` (null where it is not known) and `shown`: the job's ``text``, or the
+    hit's own ``content`` where that is missing or empty."""
+    joined = hits.join(details.dropDuplicates([url]), url, "left")
+    return joined.withColumn("shown", F.when(F.coalesce(F.col(text), F.lit("")) != "", F.col(text)).otherwise(F.coalesce(F.col(content), F.lit(""))))
+
+
 def role_jobs(targets: DataFrame, jobs: DataFrame, family: str = "job_family", title: str = "title") -> DataFrame:
     """(cv_id, role, job_id) where the job's family is the role or its title contains it: an equi join and, for titles, a join
     with the distinct roles only."""

@@ -10,8 +10,11 @@ from ..functions.scores import ratio
 
 def ranking_metrics(predictions: DataFrame, qrels: DataFrame, group: list[str], item: str, k: int) -> DataFrame:
     """Per list (``group``): precision, recall, hit, reciprocal rank and NDCG at ``k``. predictions(group, item, rank),
-    qrels(group without method, item, relevance). NDCG's ideal order is that of the retrieved gains."""
+    qrels(group without method, item, relevance). NDCG's ideal order is that of the retrieved gains. Of repeated judgements
+    the last one counts by the column ``order`` if qrels have it, else the highest; an item that a list repeats counts each time."""
     keys = [g for g in group if g in qrels.columns]
+    last = F.max_by("relevance", "order") if "order" in qrels.columns else F.max("relevance")
+    qrels = qrels.groupBy(*keys, item).agg(last.alias("relevance"))
     total = qrels.where("relevance > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("relevant"))
     rows = predictions.where(F.col("rank") <= k).join(qrels, [*keys, item], "left").withColumn("rel", F.coalesce("relevance", F.lit(0)))
     gain = F.pow(F.lit(2.0), F.col("rel")) - 1.0

@@ -20,6 +20,13 @@ def skill_records(df: DataFrame, key: list[str], fields: dict[str, Column], voca
     return found.groupBy(*key, "skill", "source_field", "importance").agg(F.left(F.min_by("segment", "pos"), F.lit(excerpt)).alias("excerpt"))
 
 
+def skill_lists(records: DataFrame, key: list[str], importance: str | None = None) -> DataFrame:
+    """key, skills: the distinct skills of the records of each key, sorted; with ``importance`` only those of that importance. A
+    key whose records are all of another importance has an empty list."""
+    wanted = F.lit(True) if importance is None else F.col("importance") == importance
+    return records.groupBy(*key).agg(F.sort_array(F.collect_set(F.when(wanted, F.col("skill")))).alias("skills"))
+
+
 def role_skill_stats(records: DataFrame, role: str) -> DataFrame:
     """How many skill records each role has of each skill and importance."""
     return records.groupBy(role, "skill", "importance").agg(F.count(F.lit(1)).alias("job_count"))

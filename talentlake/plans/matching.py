@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, vector
-from ..functions.skills import mention_ratio
+from ..functions.skills import mention_ratio, skills_in
+from ..functions.text import match_key
 from ..operators import match, skills
 from .base import SKILLS, STOPWORDS, Registry, table
 
@@ -302,3 +303,99 @@ def missing_skills(spark, sf):
     have = _owned(spark, sf).groupBy("cv_id").agg(F.collect_set("skill").alias("h"))
     catalog = table(spark, sf, "part").agg(F.collect_set("p_brand").alias("all"))
     return have.crossJoin(F.broadcast(catalog)).select("cv_id", F.array_join(F.slice(F.array_sort(F.array_except("all", "h")), 1, 5), ",").alias("missing"))  # one row
+
+
+# The full recommender: nations as cvs with years and certificates, suppliers as jobs that may ask for years or nothing.
+_CVS = "SELECT n_nationkey AS cv_id, CASE WHEN n_nationkey % 6 < 5 THEN n_nationkey % 6 END AS years FROM nation"
+_CERTIFIED = "SELECT DISTINCT n_nationkey AS cv_id, p_brand AS skill FROM nation JOIN part ON p_partkey % 25 = n_nationkey WHERE p_size = 7"
+_FEW = f"SELECT cv_id, skill FROM ({_OWNED}) WHERE cv_id % 3 <> 0"
+_FULL_JOBS = f"SELECT job_id, job_family, title, CASE WHEN job_id % 7 > 0 THEN job_id % 7 END AS min_years FROM ({_JOBS})"
+_ASKED = f"SELECT * FROM ({_REQUIRED}) WHERE job_id % 4 <> 1"
+
+
+@R.add(f"""WITH p AS (SELECT c.cv_id, j.job_id, c.years, j.min_years, sum((o.skill IS NOT NULL)::INT) AS matched, count(q.skill) AS total,
+             sum(CASE WHEN o.skill IS NULL THEN 0 WHEN importance = 'required' THEN 2 WHEN importance = 'preferred' THEN 1 ELSE 0.5 END)::DOUBLE AS w, sum((e.skill IS NOT NULL)::INT) AS cert_matches,
+             max((contains(lower(job_family), lower(role)) OR contains(lower(title), lower(role)))::INT) AS in_role
+           FROM ({_CVS}) c CROSS JOIN ({_FULL_JOBS}) j LEFT JOIN ({_TARGETS}) t ON t.cv_id = c.cv_id LEFT JOIN ({_ASKED}) q ON q.job_id = j.job_id
+           LEFT JOIN ({_FEW}) o ON o.cv_id = c.cv_id AND o.skill = q.skill LEFT JOIN ({_CERTIFIED}) e ON e.cv_id = c.cv_id AND e.skill = q.skill GROUP BY ALL),
+           s AS (SELECT *, (matched > 0)::INTEGER AS has_match, coalesce(matched::DOUBLE / nullif(total, 0), 0) AS coverage FROM p),
+           r AS (SELECT *, round(w + 2 * coverage + CASE WHEN in_role = 1 THEN 0.2 ELSE 0 END + CASE WHEN years IS NULL THEN 0 WHEN min_years IS NULL THEN 0.05 WHEN years >= min_years THEN 0.1 ELSE 0 END + 0.05 * cert_matches, 9) AS score FROM s)
+           SELECT cv_id, job_id, has_match, matched::BIGINT AS matched, total, round(coverage, 6) AS coverage, cert_matches::BIGINT AS cert_matches, round(score, 6) AS score, rank FROM (
+             SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY has_match DESC, score DESC, matched DESC, coverage DESC, cert_matches DESC, job_id) AS rank FROM r) WHERE rank <= 40""")
+def graph_recommend_all(spark, sf):
+    """The forty best of all jobs for each cv, with role, experience and certificate bonuses, and jobs without a match."""
+    n, p = table(spark, sf, "nation"), table(spark, sf, "part").where("p_size = 7")
+    cvs = n.select(F.col("n_nationkey").alias("cv_id"), F.when(F.col("n_nationkey") % 6 < 5, F.col("n_nationkey") % 6).alias("years"))
+    certified = n.join(p, F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("n_nationkey").alias("cv_id"), F.col("p_brand").alias("skill")).distinct()
+    jobs = _jobs(spark, sf).withColumn("min_years", F.when(F.col("job_id") % 7 > 0, F.col("job_id") % 7))
+    required = _required(spark, sf).where("job_id % 4 <> 1")
+    out = match.recommend_all(cvs, _owned(spark, sf).where("cv_id % 3 <> 0"), required, jobs, _targets(spark, sf), 40, certified)
+    return out.withColumns({"coverage": F.round("coverage", 6), "score": F.round("score", 6)})
+
+
+_INFER_CVS = f"""SELECT n_nationkey AS cv_id, list_distinct(list(skill) FILTER (WHERE skill IS NOT NULL)) AS skills, CASE n_nationkey % 4 WHEN 0 THEN ' machinery' WHEN 1 THEN 'BUILDING' END AS target_role,
+               any_value(lower(p_name || ' ' || p_type)) AS signal, CASE n_nationkey % 5 WHEN 0 THEN 'automobile' WHEN 1 THEN 'none such' END AS preferred
+               FROM nation JOIN part ON p_partkey = n_nationkey LEFT JOIN ({_OWNED}) ON cv_id = n_nationkey GROUP BY n_nationkey"""
+_INFER_PROFILES = """SELECT c_mktsegment AS role, list_distinct(list(p_brand)) AS skills, list_distinct(list(split_part(p_name, ' ', 1))) AS keywords FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+                     JOIN part ON l_partkey = p_partkey WHERE p_size <= 3 AND l_quantity >= 49 GROUP BY ALL"""
+
+
+@R.add(f"""WITH p AS (SELECT c.*, p.role, p.skills AS needed, list_filter(p.keywords, lambda w: length(w) >= 3) AS words FROM ({_INFER_CVS}) c CROSS JOIN ({_INFER_PROFILES}) p),
+           s AS (SELECT cv_id, role, coalesce(trim(preferred), '') AS wish, round(0.65 * len(list_intersect(needed, coalesce(skills, [])))::DOUBLE / len(needed)
+                   + 0.2 * coalesce(len(list_filter(words, lambda w: contains(signal, w)))::DOUBLE / nullif(len(words), 0), 0) + 0.15 * coalesce(lower(trim(target_role)) = lower(trim(role)), false)::INT, 4) AS confidence FROM p),
+           r AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY confidence DESC, role) AS rank FROM s),
+           b AS (SELECT *, first_value(role) OVER w AS selected_role, first_value(confidence) OVER w AS best FROM r WINDOW w AS (PARTITION BY cv_id ORDER BY (wish <> '' AND lower(role) = lower(wish)) DESC, rank))
+           SELECT cv_id, role, confidence, rank, selected_role, best < 0.45 AND wish = '' AS requires_confirmation FROM b WHERE rank <= 3""")
+def role_inference_full(spark, sf):
+    """The three best roles of each cv by skills, keywords and title, the one selected, and whether that needs confirmation."""
+    n, part = table(spark, sf, "nation"), table(spark, sf, "part")
+    cvs = n.join(part, F.col("p_partkey") == F.col("n_nationkey")).select(
+        F.col("n_nationkey").alias("cv_id"), F.when(F.col("n_nationkey") % 4 == 0, " machinery").when(F.col("n_nationkey") % 4 == 1, "BUILDING").alias("target_role"),
+        F.concat_ws(" ", "p_name", "p_type").alias("signal"), F.when(F.col("n_nationkey") % 5 == 0, "automobile").when(F.col("n_nationkey") % 5 == 1, "none such").alias("preferred"),
+    )
+    cvs = cvs.join(_owned(spark, sf).groupBy("cv_id").agg(F.collect_set("skill").alias("skills")), "cv_id", "left")
+    l, p = table(spark, sf, "lineitem").where("l_quantity >= 49"), part.where("p_size <= 3")
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    sold = l.join(p, l["l_partkey"] == p["p_partkey"]).join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    profiles = sold.groupBy(F.col("c_mktsegment").alias("role")).agg(F.collect_set("p_brand").alias("skills"), F.collect_set(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("keywords"))
+    return match.infer_roles(cvs, profiles, 3)
+
+
+@R.add("""WITH e AS (SELECT vec_id // 4 AS grp, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0), u AS (SELECT grp, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+          m AS (SELECT grp, i, avg(x) AS x FROM u GROUP BY ALL) SELECT grp, count(*) AS size, round(sum(x), 6) AS total, round(sum(x * i), 5) AS moment FROM m GROUP BY grp""")
+def mean_pooling(spark, sf):
+    """Four token vectors in one, those that are masked left out."""
+    e = table(spark, sf, "embeddings").select(F.expr("vec_id div 4").alias("grp"), F.struct("vec_id", "embedding").alias("e"))
+    lists = e.groupBy("grp").agg(F.array_sort(F.collect_list("e")).alias("es"))  # four each
+    mask = F.transform("es.vec_id", lambda k: (k % 3 != 0).cast("int"))
+    pooled = lists.select("grp", vector.mean_pool(F.col("es.embedding"), mask).alias("v")).where("v is not null")
+    moment = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return pooled.select("grp", F.size("v").cast("long").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(moment, 5).alias("moment"))
+
+
+@R.add(f"""SELECT doc_id, coalesce(string_agg(DISTINCT skill, ',' ORDER BY skill) FILTER (WHERE importance = 'required'), '') AS required, string_agg(DISTINCT skill, ',' ORDER BY skill) AS skills FROM ({RECORDS_SQL}) GROUP BY doc_id""")
+def skill_lists(spark, sf):
+    """The skills of each job, all of them and the required ones."""
+    records = _records(spark, sf)
+    required = skills.skill_lists(records, ["doc_id"], "required").select("doc_id", F.array_join("skills", ",").alias("required"))
+    return skills.skill_lists(records, ["doc_id"]).select("doc_id", F.array_join("skills", ",").alias("skills")).join(required, "doc_id")
+
+
+@R.add(f"""SELECT doc_id, coalesce(string_agg(DISTINCT skill, ',' ORDER BY skill), '') AS skills FROM (SELECT doc_id, {_KEY.format("text")} AS key FROM documents) LEFT JOIN (VALUES ('Erin', 'erin'), ('Edon', 'edon'), ('Dotted', '.edon')) v(skill, alias)
+           ON regexp_matches(key, '(^|[^a-z0-9_ß])' || replace(alias, '.', '\\.') || '($|[^a-z0-9_ß])') AND alias NOT LIKE '.%' GROUP BY doc_id""")
+def skills_compat(spark, sf):
+    """Skills by word boundaries: a name that begins with a sign is not found after a space."""
+    found = skills_in(match_key(F.col("text")), {"Edon": ["edon"], "Erin": ["erin"], "Dotted": [".edon"]}, compat=True)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.filter(found, lambda s: s != "Dotted")), ",").alias("skills"))
+
+
+@R.add("""WITH h AS (SELECT vec_id, label, 'http://job/' || (vec_id % 300)::VARCHAR AS url, 'chunk ' || vec_id::VARCHAR AS content FROM embeddings),
+          d AS (SELECT 'http://job/' || p_partkey::VARCHAR AS url, CASE WHEN p_size > 10 THEN p_name END AS requirements, p_size AS years FROM part WHERE p_partkey < 250)
+          SELECT vec_id, url, years, CASE WHEN coalesce(requirements, '') <> '' THEN requirements ELSE content END AS shown FROM h LEFT JOIN d USING (url)""")
+def hit_details(spark, sf):
+    """Retrieved chunks with the details of their jobs, or their own content where a job is not known or says nothing."""
+    url = lambda k: F.concat(F.lit("http://job/"), k.cast("string"))
+    hits = table(spark, sf, "embeddings").select("vec_id", url(F.col("vec_id") % 300).alias("url"), F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("content"))
+    part = table(spark, sf, "part").where("p_partkey < 250")
+    details = part.select(url(F.col("p_partkey")).alias("url"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("requirements"), F.col("p_size").alias("years"))
+    return match.hit_details(hits, details, "url", "content", "requirements").select("vec_id", "url", "years", "shown")

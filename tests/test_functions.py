@@ -76,3 +76,26 @@ def test_empty_sets_agree(spark):
 
 def test_drift(spark):
     assert [one(spark, scores.drift(F.lit(a), F.lit(b))) for a, b in ((0.0, 0.0), (0.0, 3.0), (2.0, 3.0))] == [0.0, 1.0, 0.5]
+
+
+def test_repeated_judgements_count_once(spark):
+    from talentlake.operators.metrics import ranking_metrics
+
+    predictions = spark.createDataFrame([("m", 1, 10, 1), ("m", 1, 11, 2)], "method string, cv_id int, job_id int, rank int")
+    qrels = spark.createDataFrame([(1, 10, 3, 1), (1, 10, 2, 2), (1, 11, 0, 1)], "cv_id int, job_id int, relevance int, order int")
+    got = ranking_metrics(predictions, qrels, ["method", "cv_id"], "job_id", 2).first()
+    assert (got["precision"], got["recall"], got["hit"], got["mrr"], got["ndcg"]) == (0.5, 1.0, 1.0, 1.0, 1.0)
+
+
+def test_recommend_fills_up_with_jobs_without_a_match(spark):
+    from talentlake.operators.match import recommend_all
+
+    frame = spark.createDataFrame
+    cvs = frame([(1, 3), (2, None)], "cv_id int, years int")
+    owned, targets = frame([(1, "SQL")], "cv_id int, skill string"), frame([(1, "data"), (2, "none")], "cv_id int, role string")
+    certified = frame([(2, "java")], "cv_id int, skill string")
+    required = frame([(10, "sql", "required"), (10, "java", "preferred"), (11, "java", "required")], "job_id int, skill string, importance string")
+    jobs = frame([(10, "Dev", "it", 5), (11, "Dev", "it", None), (12, "Data Lead", "it", 2), (13, "Cook", "food", None)], "job_id int, title string, job_family string, min_years int")
+    got = {(r["cv_id"], r["rank"]): (r["job_id"], r["has_match"], round(r["score"], 6)) for r in recommend_all(cvs, owned, required, jobs, targets, 4, certified).collect()}
+    assert [got[1, k] for k in (1, 2, 3, 4)] == [(10, 1, 3.0), (12, 0, 0.3), (11, 0, 0.05), (13, 0, 0.05)]
+    assert [got[2, k] for k in (1, 2, 3, 4)] == [(10, 0, 0.05), (11, 0, 0.05), (12, 0, 0.0), (13, 0, 0.0)]
