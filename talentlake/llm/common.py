@@ -41,6 +41,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    free_shuffles(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path
     return table
