@@ -20,11 +20,13 @@ RECORDS_SQL = f"""SELECT DISTINCT doc_id, source, skill, CASE WHEN regexp_matche
           WHEN field = 'requirements' THEN 'required' WHEN regexp_matches(key, '\\b(required|must have|bat buoc|yeu cau|can co|thanh thao)\\b') THEN 'required' ELSE 'mentioned' END AS importance, field AS source_field
           FROM (SELECT doc_id, source, field, {_KEY.format("segment")} AS key FROM (
                 SELECT doc_id, source, field, unnest(regexp_split_to_array(text, '[\\n•;]|\\s-\\s')) AS segment FROM (
-                  SELECT doc_id, source, 'description' AS field, text FROM documents UNION ALL SELECT doc_id, source, 'requirements', left(text, 400) FROM documents))), {_VOCABULARY} WHERE {_HIT}"""
+                  SELECT doc_id, source, 'description' AS field, text FROM documents UNION ALL SELECT doc_id, source, 'requirements', array_to_string(list_filter(string_split(text, chr(10)), lambda l: contains(l, ',')), chr(10)) FROM documents))), {_VOCABULARY} WHERE {_HIT}"""
 
 
 def _records(spark, sf) -> DataFrame:
-    fields = {"description": F.col("text"), "requirements": F.left("text", F.lit(400))}
+    # Lines with enumerations stand for requirements.
+    asked = F.array_join(F.filter(F.split("text", "\n"), lambda line: F.contains(line, F.lit(","))), "\n")
+    fields = {"description": F.col("text"), "requirements": asked}
     return skills.skill_records(table(spark, sf, "documents"), ["doc_id", "source"], fields, SKILLS)
 
 
@@ -238,11 +240,11 @@ def cv_score(spark, sf):
     return g.select("cv_id", F.round(s, 6).alias("score"), scores.grade(s).alias("grade"))
 
 
-@R.add("""SELECT doc_id, round((contains(k, 'erin')::INT + contains(k, 'para')::INT + contains(k, 'zzzz')::INT) / 3.0::DOUBLE, 6) AS share FROM (SELECT doc_id, strip_accents(lower(left(text, 400))) AS k FROM documents)""")
+@R.add("""SELECT doc_id, round((contains(k, 'erin')::INT + contains(k, 'para')::INT + contains(k, 'zzzz')::INT) / 3.0::DOUBLE, 6) AS share FROM (SELECT doc_id, strip_accents(lower(text)) AS k FROM documents)""")
 def grounded_share(spark, sf):
     """How many stated facts a text supports."""
     facts = F.array(F.lit("erin"), F.lit("para"), F.lit("zzzz"))
-    return table(spark, sf, "documents").select("doc_id", F.round(mention_ratio(F.left("text", F.lit(400)), facts), 6).alias("share"))
+    return table(spark, sf, "documents").select("doc_id", F.round(mention_ratio(F.col("text"), facts), 6).alias("share"))
 
 
 @R.add("""SELECT doc_id, round((contains(k, 'erin')::INT + contains(k, 'para')::INT + contains(k, 'zzzz')::INT) / 3.0::DOUBLE, 6) AS share FROM (SELECT doc_id, strip_accents(lower(text)) AS k FROM documents)""")

@@ -17,29 +17,26 @@ def text_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.squeeze_lower(F.col("text")).alias("key"))
 
 
-@R.add("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s/+#.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS strict
-          FROM (SELECT doc_id, replace(replace(replace(text, '–', '-'), '—', '-'), '•', '-') AS text FROM documents
-                WHERE len(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) >= 12))
-                    = len(list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) >= 12), lambda l: lower(trim(l))))))""")
-def text_strict(spark, sf):
-    """Strict cleaning of the documents without repeated lines (``line_dedup`` covers those)."""
-    docs = table(spark, sf, "documents")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) >= 12)
-    keys = F.transform(lines, lambda x: F.lower(F.trim(x)))
-    return docs.where(F.size(lines) == F.size(F.array_distinct(keys))).select("doc_id", text.clean_strict(F.col("text")).alias("strict"))
-
-
-@R.add("""WITH l AS (SELECT doc_id, i, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM (
+STRICT_SQL = """WITH l AS (SELECT doc_id, i, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM (
                   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
                   FROM (SELECT doc_id, replace(replace(replace(text, '–', '-'), '—', '-'), '•', '-') AS text FROM documents))),
           r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) AS nth FROM l WHERE line <> ''),
           j AS (SELECT d.doc_id, coalesce(string_agg(line, ' ' ORDER BY i) FILTER (WHERE nth = 1 OR length(line) < 12), '') AS text FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id)
-          SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s/+#.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS strict FROM j""")
-def text_strict_whole(spark, sf):
+          SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s/+#.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS strict FROM j"""
+
+
+@R.add(STRICT_SQL)
+def text_strict(spark, sf):
     """Strict cleaning of all documents, those with repeated lines too."""
     return table(spark, sf, "documents").select("doc_id", text.clean_strict(F.col("text")).alias("strict"))
 
 
+@R.add(STRICT_SQL)
+def text_strict_whole(spark, sf):
+    """Another name of ``text_strict``."""
+    return text_strict(spark, sf)
+
+
 @R.add("""WITH l AS (SELECT doc_id, i, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
           r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(line), '\\s+', ' ', 'g') ORDER BY i) AS nth FROM l WHERE line <> '')
@@ -62,11 +59,11 @@ def lang_type(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.language_type(F.col("text")).alias("kind"))
 
 
-@R.add("""SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+@R.add("""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
                  CASE WHEN length(text) > 220 THEN left(text, 217) || '...' ELSE text END AS preview, left(text, 300) AS excerpt FROM documents""")
 def slug_preview(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", text.slug(F.left(t, F.lit(200))).alias("slug"), text.preview(t).alias("preview"), text.excerpt(t).alias("excerpt"))
+    return table(spark, sf, "documents").select("doc_id", text.slug(t).alias("slug"), text.preview(t).alias("preview"), text.excerpt(t).alias("excerpt"))
 
 
 @R.add("""SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
@@ -119,13 +116,13 @@ def chunks(spark, sf):
 
 
 SECTION_SQL = """WITH s AS (SELECT doc_id, 'description' AS section, 4.5::DOUBLE AS priority, text FROM documents WHERE length(text) > 0
-            UNION ALL SELECT doc_id, 'title', 3.0::DOUBLE, left(text, 60) FROM documents WHERE length(text) > 0),
+            UNION ALL SELECT doc_id, 'title', 3.0::DOUBLE, source FROM documents WHERE length(source) > 0),
           c AS (SELECT doc_id, section, priority, text, unnest(range(1, 2 + greatest(0, (length(text) - 81) // 620)))::INTEGER AS chunk_order FROM s)
           SELECT doc_id, section, priority, chunk_order, trim(substr(text, ((chunk_order - 1) * 620 + 1)::BIGINT, 700)) AS chunk FROM c"""
 
 
 def _sections(spark, sf):
-    sections = {"description": F.col("text"), "title": F.left("text", F.lit(60))}
+    sections = {"description": F.col("text"), "title": F.col("source")}
     return table(spark, sf, "documents").select("doc_id", F.explode(build.section_rows(sections)).alias("s")).select("doc_id", "s.*")
 
 
@@ -335,13 +332,16 @@ def clean_variants(spark, sf):
     return tables.clean_variants(tables.any_text(p, ["title"]), ["title"]).select("page_id", "title_strict")
 
 
-@R.add("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[EMPTY]' ELSE trim(left(text, 80)) END AS model_text FROM conversations""")
+MODEL_INPUT_SQL = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[EMPTY]' ELSE trim(text) END AS model_text FROM conversations"""
+
+
+@R.add(MODEL_INPUT_SQL)
 def model_input(spark, sf):
-    t = F.when(F.col("turn") % 2 == 0, F.lit("unknown")).otherwise(F.left("text", F.lit(80)))
+    t = F.when(F.col("turn") % 2 == 0, F.lit("unknown")).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", build.model_input(t).alias("model_text"))
 
 
-@R.add("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[EMPTY]' ELSE trim(text) END AS model_text FROM conversations""")
+@R.add(MODEL_INPUT_SQL)
 def model_input_whole(spark, sf):
-    t = F.when(F.col("turn") % 2 == 0, F.lit("unknown")).otherwise(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", build.model_input(t).alias("model_text"))
+    """Another name of ``model_input``."""
+    return model_input(spark, sf)
