@@ -1,33 +1,32 @@
 """Substring dedup by recompression.
 
-Words are named by 64-bit fingerprints. A round of recompression first names the inside of long runs of one
+Words are named by 64-bit fingerprints. A level of recompression first names the inside of long runs of one
 symbol and then names pairs: every symbol falls into a left or right class by a hash of its name, and a left
-symbol followed by a right one becomes one symbol. Names are fingerprints of what they stand for, so all tasks
-give equal pairs equal names without exchanging a table, and the parse of a passage is the same wherever
-it occurs, but for a few symbols at its edges.
+symbol followed by a right one becomes one symbol. A name depends on nothing but what it stands for, so the parse of a
+passage is the same wherever it occurs, but for a few symbols at its edges.
 
 What a window of WINDOW words can know of the parse is tracked exactly: for each start (and each end) the first
-(last) symbol boundary that the words inside settle, level by level. Of the settled symbols in the middle of a window
-the one with the least hash gives its anchor, so equal windows have equal anchors, and neighbouring windows mostly share
-one. Then, on Spark:
-
-1. documents with equal word sequences (equal top symbols) are settled as a whole: all but the first lose what
-   windows cover, which is everything,
-2. anchors are counted by the words around them, and those that occur once are gone,
-3. only windows at anchors that are left are compared, by two independent fingerprints of all their words; the
-   earliest of equal windows stays.
-
-Every exchange holds a few bytes per anchor; only documents with a repeated anchor are read again.
+(last) symbol boundary that the words inside settle, level by level. The anchor of a window is the widest of the settled
+symbols of the highest level that has any, so equal windows have equal anchors, and neighbouring windows mostly share one.
+Then, on Spark:
+
+1. documents with equal word sequences are settled as a whole: all but the first lose what windows cover, which is
+   everything,
+2. rounds: for each of ROUNDS levels in turn the symbols that are anchors are counted over all documents. A window whose
+   anchor occurs once has no equal and goes; the documents that keep a window go into the next round, whose symbols are longer,
+3. windows with shared anchors are reduced to those that share a fingerprint of all their words,
+4. the words of these decide: the earliest of equal windows stays. Names and fingerprints that collide cost time only.
+
+Every exchange of rounds and fingerprints holds a few bytes per anchor or window; only documents with a shared anchor are read again.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, free_name, map_text, release
 
 WINDOW = 20
-#: Words on either side of an anchor that are counted with it, and how far from the ends of a window it lies at least.
-AROUND = 4
-#: Rounds for anchors: after two, every window of words that do not repeat at once has settled symbols in its middle.
-LEVELS = 2
+#: The levels of recompression after which the symbols of all documents are counted.
+ROUNDS = (2, 4)
 KNOWN_WORDS = 300_000
 U = np.uint64
 
@@ -80,13 +77,13 @@ def spans(names: np.ndarray, width: int, salt: int) -> np.ndarray:
         power = mix(power[: max(0, len(power) - size // 2)], power[size // 2 :], salt + size)
 
 
-def split_words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, their names, and the offset of each text among them."""
+def split_words(texts: list[bytes | None], bits: int = 64) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text, their names of so many bits, and the offset of each text among them."""
     words = [t.split() if t else [] for t in texts]
     offsets = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=offsets[1:])
     names = np.fromiter((_names[w] for ws in words for w in ws), U, int(offsets[-1]))
-    return words, names, offsets
+    return words, names >> U(64 - bits) if bits < 64 else names, offsets
 
 
 def window_starts(offsets: np.ndarray) -> np.ndarray:
@@ -98,17 +95,39 @@ def window_starts(offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def anchors(names: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The anchor of the window at each of ``starts``, a place among ``names``."""
+def least(rank: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the least of ``rank[first]`` to ``rank[last]``, the leftmost of equals, for each pair of bounds."""
+    out = np.empty(len(first), np.int64)
+    power = np.log2(last - first + 1).astype(np.int64)
+    table = np.arange(len(rank))  # at i, in turn: the least of one, two, four ... ranks from i on
+    for k in range(int(power.max(initial=0)) + 1):
+        now = np.flatnonzero(power == k)
+        a, b = table[first[now]], table[last[now] - (1 << k) + 1]
+        out[now] = np.where(rank[a] <= rank[b], a, b)
+        a, b = table[: -(1 << k)], table[1 << k :]
+        table = np.append(np.where(rank[a] <= rank[b], a, b), table[-(1 << k) :])
+    return out
+
+
+def anchors(names: np.ndarray, offsets: np.ndarray, starts: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of the window at each of ``starts`` after so many levels: its place among ``names`` and its symbol."""
     n = len(names)
-    anchor = starts + AROUND
+    place_of, symbol_of = np.zeros(len(starts), np.int64), np.zeros(len(starts), U)
     sym, at = names, np.arange(n, dtype=np.int64)
     first = np.zeros(n + 1, bool)
     first[offsets[offsets < n]] = True
     first[n] = True
     left, right = starts.copy(), starts + WINDOW
     live = np.arange(len(starts))
-    for level in range(LEVELS):
+
+    def settle(sym: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, windows: np.ndarray) -> None:
+        if len(windows):
+            width = np.minimum(np.diff(np.append(at, n)), 255).astype(U)
+            best = least(((U(255) - width) << U(56)) | (mix(sym, 0, 4000) >> U(8)), left, right - 1)
+            place_of[windows], symbol_of[windows] = at[best], sym[best]
+
+    for level in range(levels):
+        before = sym, at, left, right, live
         # Runs: between its first and last symbol a run of four or more becomes one symbol.
         m = len(sym)
         begins = np.ones(m, bool)
@@ -152,79 +171,102 @@ def anchors(names: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.nd
         place = np.cumsum(stays) - 1
         left, right = place[left], place[right - 1] + 1
         sym, at, first = sym[stays], at[stays], np.append(first[:m][stays], True)
-    # Of the settled symbols in the middle of the window, the start of the one with the least hash.
-    if len(live):
-        rank = mix(sym, 0, 4000)
-        is_edge = np.zeros(n + 2, np.int64)
-        is_edge[at + 1] = 1
-        next_edge = np.cumsum(is_edge)  # at x: how many symbols start before x, so the first that starts there or later
-        first_one = np.maximum(left, next_edge[starts[live] + AROUND])
-        last_one = np.minimum(right, next_edge[starts[live] + WINDOW - AROUND + 1]) - 1
-        some = first_one <= last_one
-        live, first_one, last_one = live[some], first_one[some], last_one[some]
-        power = np.log2(last_one - first_one + 1).astype(np.int64)
-        table = np.arange(len(rank))  # at i, in turn: the least of one, two, four ... symbols from i on
-        for k in range(int(power.max(initial=0)) + 1):
-            now = np.flatnonzero(power == k)
-            a, b = table[first_one[now]], table[last_one[now] - (1 << k) + 1]
-            anchor[live[now]] = at[np.where(rank[a] <= rank[b], a, b)]
-            a, b = table[: -(1 << k)], table[1 << k :]
-            table = np.append(np.where(rank[a] <= rank[b], a, b), table[-(1 << k) :])
-    return anchor
-
-
-def anchor_keys(names: np.ndarray) -> np.ndarray:
-    """At i, the key of an anchor at i + AROUND: a fingerprint of the words around it."""
-    return spans(names, 2 * AROUND, 7).view(np.int64)
+        # Windows without a settled symbol at this level have their anchor at the one before.
+        gone = np.ones(len(starts), bool)
+        gone[live] = False
+        gone = gone[before[4]]
+        settle(*before[:2], *(x[gone] for x in before[2:]))
+    settle(sym, at, left, right, live)
+    return place_of, symbol_of.view(np.int64)
 
 
 #: Stands for a null doc_id: smaller than any other.
 NO_ID = -(2**63)
 
 
-def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist())
-        starts = window_starts(offsets)
-        places = np.unique(anchors(names, offsets, starts))
-        keys = anchor_keys(names)[places - AROUND]
-        doc = np.searchsorted(offsets, places, "right") - 1
-        bounds = np.zeros(len(words) + 1, np.int32)
-        np.cumsum(np.bincount(doc, minlength=len(words)), out=bounds[1:])
-        yield pa.RecordBatch.from_arrays([
-            batch.column("id"), batch.column("rev"), pa.array([len(w) for w in words], pa.int64()),
-            pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]),
-            pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)),
-        ], ["id", "rev", "n_words", "words_sha256", "keys"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows at anchors with one of the given keys: id, rev, start, two fingerprints of all its words, and whether an
-    earlier one of the same block is equal. Only the others need comparing with other blocks."""
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def _keep_known(batch: pa.RecordBatch, starts: np.ndarray, offsets: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Those of ``starts`` whose anchor is one of the symbols that their document lists under ``keys``."""
+    wanted = np.zeros(len(starts), bool)
+    edges = np.searchsorted(starts, offsets)
+    for k, own in enumerate(batch.column("keys")):
+        part = slice(edges[k], edges[k + 1])
+        wanted[part] = np.isin(symbols[part], own.values.to_numpy())
+    return starts[wanted]
+
+
+def _round(levels: int, earlier: int | None, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task of a round: the anchors of each document's windows after ``levels``, those at several places twice. A later
+    round looks only at windows whose anchor after ``earlier`` levels was shared; the first one describes the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist(), bits)
+            starts = window_starts(offsets)
+            if earlier is not None:
+                starts = _keep_known(batch, starts, offsets, anchors(names, offsets, starts, earlier)[1])
+            places, symbols = anchors(names, offsets, starts, levels)
+            places, some = np.unique(places, return_index=True)
+            edges = np.searchsorted(places, offsets)
+            found = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                keys, times = np.unique(symbols[some[a:b]], return_counts=True)
+                found.append(np.repeat(keys, np.minimum(times, 2)))
+            columns = {"id": batch.column("id"), "rev": batch.column("rev"), "keys": _lists(found, pa.int64())}
+            if earlier is None:
+                columns |= {"n_words": pa.array([len(w) for w in words], pa.int64()), "words_sha256": pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _windows(levels: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows with a shared anchor: id, rev, start, a fingerprint of all its words, and whether an
+    earlier one of the same block has the same words. Only the others need comparing with other blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist(), bits)
+            starts = window_starts(offsets)
+            starts = _keep_known(batch, starts, offsets, anchors(names, offsets, starts, levels)[1])
+            doc = np.searchsorted(offsets, starts, "right") - 1
+            start = (starts - offsets[doc]).astype(np.int32)
+            print_ = spans(names, WINDOW, 100)[starts]
+            ids, revs = batch.column("id").to_numpy()[doc], batch.column("rev").to_numpy()[doc]
+            order = np.lexsort((start, revs, ids, print_))
+            later = np.zeros(len(order), bool)
+            vocabulary = set().union(*words)
+            if len(order) and len({_names[w] >> (64 - bits) for w in vocabulary}) == len(vocabulary):
+                # Names tell the words of this block apart, so equal names are equal words.
+                heads = np.append(True, print_[order[1:]] != print_[order[:-1]])
+                head = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
+                same = np.ones(len(order), bool)
+                for k in range(WINDOW):
+                    same &= names[starts[order] + k] == names[starts[head] + k]
+                # Equal rows (a document that is there twice) have equal places; neither is later.
+                same &= (ids[order] != ids[head]) | (revs[order] != revs[head]) | (start[order] != start[head])
+                later[order] = same
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids), pa.array(revs), pa.array(start), pa.array(print_.view(np.int64)), pa.array(later),
+            ], ["id", "rev", "start", "print", "later"])
+
+    return run
+
+
+def _window_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the windows at the given starts, some thousand windows at a time."""
     for batch in batches:
-        _, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist())
-        starts = window_starts(offsets)
-        keys = anchor_keys(names)[anchors(names, offsets, starts) - AROUND]
-        wanted = np.zeros(len(starts), bool)
-        edges = np.searchsorted(starts, offsets)
-        for k, own in enumerate(batch.column("keys")):
-            part = slice(edges[k], edges[k + 1])
-            wanted[part] = np.isin(keys[part], own.values.to_numpy())
-        starts = starts[wanted]
-        doc = np.searchsorted(offsets, starts, "right") - 1
-        start = (starts - offsets[doc]).astype(np.int32)
-        one, two = spans(names, WINDOW, 100)[starts], spans(names, WINDOW, 9000)[starts] >> U(32)
-        ids, revs = batch.column("id").to_numpy()[doc], batch.column("rev").to_numpy()[doc]
-        order = np.lexsort((start, revs, ids, two, one))
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-        # Equal rows (a document that is there twice) have equal places; neither is later.
-        same = later[order[1:]] & (ids[order[1:]] == ids[order[:-1]]) & (revs[order[1:]] == revs[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
-        for k in np.flatnonzero(same):
-            later[order[k + 1]] = later[order[k]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(ids), pa.array(revs), pa.array(start), pa.array(one.view(np.int64)), pa.array(two.astype(np.uint32).view(np.int32)), pa.array(later),
-        ], ["id", "rev", "start", "one", "two", "later"])
+        for row in batch.to_pylist():
+            words, starts = row["text"].encode().split(), row["starts"]
+            for k in range(0, len(starts), 5000):
+                part = starts[k : k + 5000]
+                texts = pa.array([b" ".join(words[s : s + WINDOW]) for s in part], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * len(part), pa.int64()), pa.array([row["rev"]] * len(part), pa.int32()), pa.array(part, pa.int32()), texts], ["id", "rev", "start", "words"])
 
 
 def strip(words: list[bytes], starts: list[int] | None) -> list[bytes]:
@@ -252,47 +294,63 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("rev"), text.alias("text"))
 
 
-def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _shared(table: DataFrame, name: str) -> DataFrame:
+    """id, rev, keys: of the symbols that the documents list, those that occur more than once in all of them."""
+    found = table.select("id", "rev", F.explode("keys").alias("key"))
+    again = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"{name}-again")
+    keys = found.join(again.hint("shuffle_hash"), "key", "left_semi").groupBy("id", "rev").agg(F.collect_set("key").alias("keys"))
+    return cut(keys, f"{name}-keys")
+
+
+def repeated_passages(docs: DataFrame, name_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(profile, cleaned). profile has a row per document: id, rev, n_words, words_sha256, copy (its whole word
     sequence is that of an earlier document). cleaned has a row for each document that is no copy and loses words:
-    id, rev, n_kept, kept_sha256, kept_text."""
+    id, rev, n_kept, kept_sha256, kept_text. Names of fewer bits give the same result (tests)."""
     known = _keyed(docs)
-    table = cut(map_text(known, _document_rows, "id long, rev int, n_words long, words_sha256 string, keys array<long>"), "passages-table")
-    least = table.groupBy("words_sha256").agg(F.min("id").alias("first_id"))
-    profile = table.select("id", "rev", "n_words", "words_sha256").join(least, "words_sha256")
+    table = cut(map_text(known, _round(ROUNDS[0], None, name_bits), "id long, rev int, keys array<long>, n_words long, words_sha256 string"), "passages-table")
+    first = table.groupBy("words_sha256").agg(F.min("id").alias("first_id"))
+    profile = table.select("id", "rev", "n_words", "words_sha256").join(first, "words_sha256")
     profile = cut(profile.select("id", "rev", "n_words", "words_sha256", (F.col("id") > F.col("first_id")).alias("copy")), "passages-profile")
     single = table.join(profile.where("copy").select("id", "rev"), ["id", "rev"], "left_anti")
-    found = single.select("id", "rev", F.explode("keys").alias("key"))
-    again = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passages-again")
-    keys = found.join(again.hint("shuffle_hash"), "key", "left_semi").groupBy("id", "rev").agg(F.collect_set("key").alias("keys"))
-    keys = cut(keys, "passages-keys")
+    keys = _shared(single, "passages-1")
     release(table)
-    some = cut(known.join(keys.hint("shuffle_hash"), ["id", "rev"]), "passages-candidates")
-    windows = cut(map_text(some, _windows, "id long, rev int, start int, one long, two int, later boolean"), "passages-windows")
-    # One exchange serves both the earliest places and the join with them: a block sends each window once, so the rows of
-    # the commonest window are as many as blocks.
+    some = cut(known.join(keys.hint("shuffle_hash"), ["id", "rev"]), "passages-candidates-1")
+    for k, (earlier, levels) in enumerate(zip(ROUNDS, ROUNDS[1:]), 2):
+        table = cut(map_text(some, _round(levels, earlier, name_bits), "id long, rev int, keys array<long>"), f"passages-{k}-table")
+        keys = _shared(table, f"passages-{k}")
+        fewer = cut(some.drop("keys").join(keys.hint("shuffle_hash"), ["id", "rev"]), f"passages-candidates-{k}")
+        release(table, some)
+        some = fewer
+    windows = cut(map_text(some, _windows(ROUNDS[-1], name_bits), "id long, rev int, start int, print long, later boolean"), "passages-windows")
+    # A block sends each window once, so the rows of the commonest one are as many as blocks, here and where words decide.
+    open_ = windows.where("not later").drop("later").repartition("print")
+    again = open_.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    starts = open_.join(again.hint("shuffle_hash"), "print", "left_semi").groupBy("id", "rev").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    starts = cut(starts, "passages-open")
+    texts = some.select("id", "rev", "text")
+    words = cut(map_text(texts.join(starts.hint("shuffle_hash"), ["id", "rev"]), _window_words, "id long, rev int, start int, words string"), "passages-words")
     place = F.struct("id", "rev", "start")
-    open_ = windows.where("not later").drop("later").repartition("one", "two")
-    earliest = open_.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = open_.join(earliest.hint("shuffle_hash"), ["one", "two"]).where(place > F.col("earliest")).select("id", "rev", "start")
+    dealt = words.repartition("words")
+    earliest = dealt.groupBy("words").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = dealt.join(earliest.hint("shuffle_hash"), "words").where(place > F.col("earliest")).select("id", "rev", "start")
     later = later.unionByName(windows.where("later").select("id", "rev", "start"))
     starts = cut(later.groupBy("id", "rev").agg(F.collect_list("start").alias("starts")), "passages-starts")
-    release(windows)
-    cleaned = map_text(some.select("id", "rev", "text").join(starts.hint("shuffle_hash"), ["id", "rev"]), _cleaned, "id long, rev int, n_kept long, kept_sha256 string, kept_text string")
+    release(windows, words)
+    cleaned = map_text(texts.join(starts.hint("shuffle_hash"), ["id", "rev"]), _cleaned, "id long, rev int, n_kept long, kept_sha256 string, kept_text string")
     return profile, cleaned.dropDuplicates(["id", "rev"])
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def passage_report(docs: DataFrame) -> DataFrame:
+def passage_report(docs: DataFrame, name_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     Null text has no words. A null doc_id comes before all others. Rows that repeat doc_id and text count as one
     document, so neither removes the other, and both get its row; rows that share a doc_id but not the text are
     ordered by a hash of the text. Documents of under WINDOW words lose nothing. An empty table gives an empty
     result; extra columns are ignored."""
-    profile, cleaned = repeated_passages(docs)
+    profile, cleaned = repeated_passages(docs, name_bits)
     rows = profile.join(cleaned.drop("kept_text"), ["id", "rev"], "left")
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
     kept = F.when(gone, 0).otherwise(F.coalesce(F.col("n_kept"), F.col("n_words")))

@@ -214,6 +214,32 @@ def test_passages(spark, odd, unique, docs, empty):
     assert recompression.passage_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 5])
+def test_passages_with_colliding_names(spark, unique, bits):
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(70)]
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    rows += [(50 + i, f"{rows[i][1]} {' '.join(passage[i : 45 + i])} {rows[i + 1][1]}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompression.passage_report(df, name_bits=bits).collect()}
+    assert got == passages_truth(rows)
+    assert sum(r[1] for r in got.values()) > 100
+
+
+def test_anchors_depend_on_the_window_alone():
+    rng = np.random.default_rng(5)
+    for kinds in (2, 5, 1000):
+        passage = rng.integers(0, kinds, 60).astype(np.uint64)
+        found = []
+        for before in (0, 3, 17):
+            names = np.concatenate([rng.integers(0, kinds, before).astype(np.uint64), passage, rng.integers(0, kinds, 9).astype(np.uint64)])
+            offsets = np.array([0, len(names)])
+            for levels in (0, 2, 4):
+                places, symbols = recompression.anchors(names, offsets, before + np.arange(41), levels)
+                found.append((levels, tuple(places - before), tuple(symbols)))
+        assert len(set(found)) == 3
+
+
 def test_drop_passages(odd):
     out = recompression.drop_passages(odd)
     assert out.columns == odd.columns
