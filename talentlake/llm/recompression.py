@@ -12,10 +12,10 @@ Then, on Spark:
 
 1. documents with equal word sequences are settled as a whole: all but the first lose what windows cover, which is
    everything,
-2. rounds: for each of ROUNDS levels in turn the symbols that are anchors are counted over all documents. A window whose
-   anchor occurs once has no equal and goes; the documents that keep a window go into the next round, whose symbols are longer,
-3. windows with shared anchors are reduced to those that share a fingerprint of all their words,
-4. the words of these decide: the earliest of equal windows stays. Names and fingerprints that collide cost time only.
+2. rounds: after each of the levels in ``rounds`` the symbols that are anchors are counted over all documents. A window whose
+   anchor occurs once has no equal and goes; the documents that keep a window go into the next round, if there is one,
+3. a fingerprint of all words proposes for each window with a shared anchor the earliest equal one,
+4. words are compared over all that is proposed. Names and fingerprints that collide cost time only.
 
 Every exchange of rounds and fingerprints holds a few bytes per anchor or window; only documents with a shared anchor are read again.
 """
@@ -35,7 +35,7 @@ from .common import cut, free_name, map_text, release
 
 WINDOW = 20
 #: The levels of recompression after which the symbols of all documents are counted.
-ROUNDS = (2, 4)
+ROUNDS = (4,)
 KNOWN_WORDS = 300_000
 U = np.uint64
 
@@ -258,15 +258,36 @@ def _windows(levels: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document's later windows so many that every other one lies within two that point to the same passage: of a
+    run of neighbours that point to neighbours each WINDOW-th and the last."""
+    for batch in batches:
+        for k, (rev, id_) in enumerate(zip(batch.column("rev").to_pylist(), batch.column("id").to_pylist())):
+            rows = batch.column("later")[k].values
+            start, eid, erev, estart = (rows.field(c).to_numpy() for c in ("start", "eid", "erev", "estart"))
+            order = np.argsort(start, kind="stable")
+            start, eid, erev, estart = start[order], eid[order], erev[order], estart[order]
+            fresh = np.ones(len(start), bool)
+            fresh[1:] = (np.diff(start) != 1) | (np.diff(estart) != 1) | (eid[1:] != eid[:-1]) | (erev[1:] != erev[:-1])
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(start)), 0))
+            pick = ((np.arange(len(start)) - begin) % WINDOW == 0) | np.append(fresh[1:], True)
+            n = int(pick.sum())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([id_] * n, pa.int64()), pa.array([rev] * n, pa.int32()), pa.array(start[pick]), pa.array(eid[pick]), pa.array(erev[pick]), pa.array(estart[pick]),
+            ], ["id", "rev", "start", "eid", "erev", "estart"])
+
+
 def _window_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the windows at the given starts, some thousand windows at a time."""
+    """The words of the windows at the given places, some thousand windows at a time, each with what comes with its place."""
     for batch in batches:
-        for row in batch.to_pylist():
-            words, starts = row["text"].encode().split(), row["starts"]
-            for k in range(0, len(starts), 5000):
-                part = starts[k : k + 5000]
-                texts = pa.array([b" ".join(words[s : s + WINDOW]) for s in part], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * len(part), pa.int64()), pa.array([row["rev"]] * len(part), pa.int32()), pa.array(part, pa.int32()), texts], ["id", "rev", "start", "words"])
+        extra = [c for c in batch.schema.names if c not in ("text", "places")]
+        for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            words, own = text.split(), batch.column("places")[k].values
+            for i in range(0, len(own), 5000):
+                part = own.slice(i, 5000)
+                texts = pa.array([b" ".join(words[s : s + WINDOW]) for s in part.field("start").to_pylist()], pa.binary()).cast(pa.string())
+                same = [pa.array([batch.column(c)[k].as_py()] * len(part), batch.column(c).type) for c in extra]
+                yield pa.RecordBatch.from_arrays([*same, *part.flatten(), texts], [*extra, *[f.name for f in part.type], "words"])
 
 
 def strip(words: list[bytes], starts: list[int] | None) -> list[bytes]:
@@ -302,12 +323,46 @@ def _shared(table: DataFrame, name: str) -> DataFrame:
     return cut(keys, f"{name}-keys")
 
 
-def repeated_passages(docs: DataFrame, name_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def _words_of(texts: DataFrame, places: DataFrame, *labels: str) -> DataFrame:
+    """The words of the windows at ``places`` (id, rev, start and labels)."""
+    kinds = dict(places.dtypes)
+    lists = places.groupBy("id", "rev").agg(F.collect_set(F.struct("start", *labels)).alias("places"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", "rev", "start", *labels)) + ", words string"
+    return map_text(texts.join(lists.hint("shuffle_hash"), ["id", "rev"]), _window_words, schema)
+
+
+def _later(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, rev, start of the ``windows`` (id, rev, start, print) that an earlier one equals word for word.
+
+    Fingerprints propose the earliest place of each window, and words are compared at windows that cover all proposed. If any
+    two differ, some names or fingerprints collide, and all windows with a shared fingerprint are grouped by their words."""
+    # A block sends each window once, so the rows of the commonest one are as many as blocks, here and where words decide.
+    dealt = windows.repartition("print")
+    place = F.struct("id", "rev", "start")
+    first = dealt.groupBy("print").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = dealt.join(first.hint("shuffle_hash"), "print").where(place > F.col("earliest"))
+    pointer = F.struct("start", F.col("earliest.id").alias("eid"), F.col("earliest.rev").alias("erev"), F.col("earliest.start").alias("estart"))
+    proposed = cut(pairs.groupBy("id", "rev").agg(F.collect_list(pointer).alias("later")), "passages-proposed")
+    cover = cut(proposed.mapInArrow(_cover, "id long, rev int, start int, eid long, erev int, estart int"), "passages-cover")
+    sources = cover.select(F.col("eid").alias("id"), F.col("erev").alias("rev"), F.col("estart").alias("start"), "eid", "erev", "estart").distinct()
+    words = _words_of(texts, cover.unionByName(sources), "eid", "erev", "estart")
+    compared = words.groupBy("eid", "erev", "estart").agg(F.min("words").alias("low"), F.max("words").alias("high"))
+    if compared.where("low <> high").isEmpty():
+        release(cover)
+        return proposed.select("id", "rev", F.explode("later.start").alias("start"))
+    shared = windows.join(first.select("print").hint("shuffle_hash"), "print", "left_semi").select("id", "rev", "start")
+    words = cut(_words_of(texts, shared), "passages-words")
+    release(cover, proposed)
+    earliest = words.groupBy("words").agg(F.min(place).alias("earliest"))
+    return words.join(earliest, "words").where(place > F.col("earliest")).select("id", "rev", "start")
+
+
+def repeated_passages(docs: DataFrame, name_bits: int = 64, rounds: tuple[int, ...] = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(profile, cleaned). profile has a row per document: id, rev, n_words, words_sha256, copy (its whole word
     sequence is that of an earlier document). cleaned has a row for each document that is no copy and loses words:
     id, rev, n_kept, kept_sha256, kept_text. Names of fewer bits give the same result (tests)."""
     known = _keyed(docs)
-    table = cut(map_text(known, _round(ROUNDS[0], None, name_bits), "id long, rev int, keys array<long>, n_words long, words_sha256 string"), "passages-table")
+    table = cut(map_text(known, _round(rounds[0], None, name_bits), "id long, rev int, keys array<long>, n_words long, words_sha256 string"), "passages-table")
     first = table.groupBy("words_sha256").agg(F.min("id").alias("first_id"))
     profile = table.select("id", "rev", "n_words", "words_sha256").join(first, "words_sha256")
     profile = cut(profile.select("id", "rev", "n_words", "words_sha256", (F.col("id") > F.col("first_id")).alias("copy")), "passages-profile")
@@ -315,27 +370,18 @@ def repeated_passages(docs: DataFrame, name_bits: int = 64) -> tuple[DataFrame,
     keys = _shared(single, "passages-1")
     release(table)
     some = cut(known.join(keys.hint("shuffle_hash"), ["id", "rev"]), "passages-candidates-1")
-    for k, (earlier, levels) in enumerate(zip(ROUNDS, ROUNDS[1:]), 2):
+    for k, (earlier, levels) in enumerate(zip(rounds, rounds[1:]), 2):
         table = cut(map_text(some, _round(levels, earlier, name_bits), "id long, rev int, keys array<long>"), f"passages-{k}-table")
         keys = _shared(table, f"passages-{k}")
         fewer = cut(some.drop("keys").join(keys.hint("shuffle_hash"), ["id", "rev"]), f"passages-candidates-{k}")
         release(table, some)
         some = fewer
-    windows = cut(map_text(some, _windows(ROUNDS[-1], name_bits), "id long, rev int, start int, print long, later boolean"), "passages-windows")
-    # A block sends each window once, so the rows of the commonest one are as many as blocks, here and where words decide.
-    open_ = windows.where("not later").drop("later").repartition("print")
-    again = open_.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    starts = open_.join(again.hint("shuffle_hash"), "print", "left_semi").groupBy("id", "rev").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    starts = cut(starts, "passages-open")
+    windows = cut(map_text(some, _windows(rounds[-1], name_bits), "id long, rev int, start int, print long, later boolean"), "passages-windows")
     texts = some.select("id", "rev", "text")
-    words = cut(map_text(texts.join(starts.hint("shuffle_hash"), ["id", "rev"]), _window_words, "id long, rev int, start int, words string"), "passages-words")
-    place = F.struct("id", "rev", "start")
-    dealt = words.repartition("words")
-    earliest = dealt.groupBy("words").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = dealt.join(earliest.hint("shuffle_hash"), "words").where(place > F.col("earliest")).select("id", "rev", "start")
+    later = _later(windows.where("not later").drop("later"), texts)
     later = later.unionByName(windows.where("later").select("id", "rev", "start"))
     starts = cut(later.groupBy("id", "rev").agg(F.collect_list("start").alias("starts")), "passages-starts")
-    release(windows, words)
+    release(windows)
     cleaned = map_text(texts.join(starts.hint("shuffle_hash"), ["id", "rev"]), _cleaned, "id long, rev int, n_kept long, kept_sha256 string, kept_text string")
     return profile, cleaned.dropDuplicates(["id", "rev"])
 
@@ -343,14 +389,14 @@ def repeated_passages(docs: DataFrame, name_bits: int = 64) -> tuple[DataFrame,
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def passage_report(docs: DataFrame, name_bits: int = 64) -> DataFrame:
+def passage_report(docs: DataFrame, name_bits: int = 64, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     Null text has no words. A null doc_id comes before all others. Rows that repeat doc_id and text count as one
     document, so neither removes the other, and both get its row; rows that share a doc_id but not the text are
     ordered by a hash of the text. Documents of under WINDOW words lose nothing. An empty table gives an empty
     result; extra columns are ignored."""
-    profile, cleaned = repeated_passages(docs, name_bits)
+    profile, cleaned = repeated_passages(docs, name_bits, rounds)
     rows = profile.join(cleaned.drop("kept_text"), ["id", "rev"], "left")
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
     kept = F.when(gone, 0).otherwise(F.coalesce(F.col("n_kept"), F.col("n_words")))

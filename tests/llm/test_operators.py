@@ -214,14 +214,14 @@ def test_passages(spark, odd, unique, docs, empty):
     assert recompression.passage_report(empty).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1, 5])
-def test_passages_with_colliding_names(spark, unique, bits):
+@pytest.mark.parametrize(("bits", "rounds"), [(3, (2,)), (64, (2, 4))])
+def test_passages_with_colliding_names_and_more_rounds(spark, bits, rounds):
     rng = random.Random(3)
     passage = [f"p{k}" for k in range(70)]
     rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(rng.randint(0, 60)))) for i in range(40)]
     rows += [(50 + i, f"{rows[i][1]} {' '.join(passage[i : 45 + i])} {rows[i + 1][1]}") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompression.passage_report(df, name_bits=bits).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompression.passage_report(df, name_bits=bits, rounds=rounds).collect()}
     assert got == passages_truth(rows)
     assert sum(r[1] for r in got.values()) > 100
 
