@@ -4,17 +4,28 @@ All work on ``text.match_key`` of a field, so accents and case do not matter."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import clean_light, dedup_by, let, match_key, squeeze, strip_marks
 
-# The vocabularies below must be these words for the same labels to come out.
+# The words below must be these for the same labels to come out. Those of WORK_MODES and single words of LEVELS are whole words.
 WORK_MODES = {
-    "hybrid": r"\b(hybrid|hybird|linh hoat|ket hop onsite va remote|ket hop online va offline|ket hop truc tiep va tu xa)\b|\bremote \d+ (days/month|ngay/tu[a-z]*)\b|\b[0-9]+\s*(days/month|ngay/tu[a-z]*)\b",
-    "remote": r"\b(remote|wfh|work from home|fully remote|lam viec tu xa|lam viec online|lam online|lam viec tai nha|tai nha)\b",
-    "onsite": r"\b(onsite|on site|work onsite|work on site|in office|tai van phong|lam viec tai cong ty|lam viec truc tiep|lam viec co dinh tai vp)\b",
-}
+    "hybrid": [
+        "hybrid", "hybird", "hybrid working", "linh hoat", "ket hop onsite va remote", "ket hop online va offline", "ket hop truc tiep va tu xa",
+    ],
+    "remote": [
+        "remote", "wfh", "work from home", "fully remote", "lam viec tu xa", "lam viec online", "lam online", "lam viec tai nha", "tai nha",
+    ],
+    "onsite": [
+        "onsite", "on site", "work onsite", "work on site", "in office", "tai van phong", "lam viec tai cong ty", "lam viec truc tiep",
+        "lam viec co dinh tai vp",
+    ],
+}
+#: A number of days a month or week, with or without "remote" before it, is hybrid work.
+DAY_UNITS = ["days/month", "ngay/tu[a-z]*"]
 EDUCATION = {
     "phd": ["tien si", "phd", "doctor", "doctoral"],
     "master": ["thac si", "master", "mba", "cao hoc"],
@@ -31,14 +42,14 @@ EMPLOYMENT = {
     "temporary": ["temporary", "thoi vu", "ngan han"],
 }
 LEVELS = {
-    "director": r"\bdirector\b|\bhead\b|giam doc",
-    "manager": r"\bmanager\b|truong phong|pho phong|quan ly|giam sat",
-    "lead": r"\blead\b|\bleader\b|truong nhom",
-    "senior": r"\bsenior\b|\bsr\b|cao cap",
-    "middle": r"\bmiddle\b|\bmid\b",
-    "junior": r"\bjunior\b|\bjr\b|nhan vien",
-    "fresher": r"\bfresher\b|moi tot nghiep",
-    "intern": r"\bintern\b|\binternship\b|thuc tap",
+    "director": ["director", "head", "giam doc"],
+    "manager": ["manager", "truong phong", "pho phong", "quan ly", "giam sat"],
+    "lead": ["lead", "leader", "team lead", "truong nhom"],
+    "senior": ["senior", "sr", "cao cap", "chuyen vien cao cap"],
+    "middle": ["middle", "mid", "mid senior", "middle senior"],
+    "junior": ["junior", "jr", "nhan vien"],
+    "fresher": ["fresher", "moi tot nghiep"],
+    "intern": ["intern", "internship", "thuc tap", "thuc tap sinh"],
 }
 USD_RATE = 25_000
 # Our own short list of cities; pass another mapping for more.
@@ -62,14 +73,27 @@ def any_of(key: Column, words: list[str]) -> Column:
     return test
 
 
+def phrases(words: list[str], *more: str, loose: bool = False) -> str:
+    """A pattern for any of ``words`` as whole words, longer ones first, or of the patterns ``more``. With ``loose`` a phrase of
+    several words may end inside a longer word."""
+    guard = lambda w: re.escape(w) if loose and " " in w else rf"\b{re.escape(w)}\b"
+    return "|".join([*map(guard, sorted(words, key=len, reverse=True)), *more])
+
+
+def mode_patterns() -> dict[str, str]:
+    """A pattern for each work mode, in the order in which they are tried."""
+    days = rf"\b(?:remote\s+)?\d+\s*(?:{'|'.join(DAY_UNITS)})\b"
+    return {mode: phrases(words, days) if mode == "hybrid" else phrases(words) for mode, words in WORK_MODES.items()}
+
+
 def work_mode(*texts: Column) -> Column:
     """hybrid, remote, onsite or unknown, the first of these whose words occur."""
-    return let(match_key(F.concat_ws(" ", *texts)), lambda key: _first_rule({m: key.rlike(p) for m, p in WORK_MODES.items()}))
+    return let(match_key(F.concat_ws(" ", *texts)), lambda key: _first_rule({m: key.rlike(p) for m, p in mode_patterns().items()}))
 
 
 def work_mode_source(*texts: Column) -> Column:
     """The words that decided ``work_mode``, null if none."""
-    return let(match_key(F.concat_ws(" ", *texts)), lambda key: F.coalesce(*[F.when(key.rlike(p), F.regexp_extract(key, p, 0)) for p in WORK_MODES.values()]))
+    return let(match_key(F.concat_ws(" ", *texts)), lambda key: F.coalesce(*[F.when(key.rlike(p), F.regexp_extract(key, p, 0)) for p in mode_patterns().values()]))
 
 
 def education_level(x: Column) -> Column:
@@ -82,7 +106,7 @@ def employment_type(x: Column) -> Column:
 
 
 def level_from_text(x: Column) -> Column:
-    return let(match_key(x), lambda key: _first_rule({level: key.rlike(p) for level, p in LEVELS.items()}))
+    return let(match_key(x), lambda key: _first_rule({level: key.rlike(phrases(words, loose=True)) for level, words in LEVELS.items()}))
 
 
 def level_from_experience(years: Column) -> Column:

@@ -41,8 +41,8 @@ def recommend_all(
     stands in the job's family or title, 0.1 if the years suffice or 0.05 if the job asks for none (0 if the cv's are
     unknown), 0.05 a certified skill. Jobs with a match come first, equal ones by job_id.
 
-    Only pairs with a common skill are joined. A cv with fewer than ``k`` of them is filled up from jobs without one, whose
-    score has a handful of values: of each role (or none) and each demand of years the first 2 x ``k`` jobs are enough."""
+    Only pairs with a common skill are joined. A cv with fewer than ``k`` matches (a certified skill that it does not own is none) is filled
+    up from jobs without one, whose score has a handful of values: of each role (or none) and each demand of years the first 2 x ``k`` jobs are enough."""
     roles = targets.select("cv_id", F.lower("role").alias("role")).where("role <> ''").distinct()
     facts = cvs.select("cv_id", "years").join(roles.groupBy("cv_id").agg(F.collect_set("role").alias("roles")), "cv_id", "left")
     skills = owned.select("cv_id", F.lower("skill").alias("skill"), F.lit(1).alias("own"), F.lit(0).alias("cert"))
@@ -59,7 +59,7 @@ def recommend_all(
     scored = scored.withColumn("in_role", F.coalesce(fills, F.lit(False))).drop("family", "heading", "roles")
 
     # Jobs without a common skill for the cvs that need them: `place` is a job's place among those of one role and one demand.
-    enough = pairs.groupBy("cv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    enough = pairs.where("matched > 0").groupBy("cv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = facts.join(enough, "cv_id", "left_anti")
     first = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("job_id"))).where(F.col("place") <= 2 * k).drop("place")
     named = described.join(roles.select("role").distinct(), F.contains(F.col("family"), F.col("role")) | F.contains(F.col("heading"), F.col("role")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
+from ..storage import staged
+from .ordinals import average_ranks
 
 
 def ranking_metrics(predictions: DataFrame, qrels: DataFrame, group: list[str], item: str, k: int) -> DataFrame:
@@ -31,21 +33,28 @@ def ranking_metrics(predictions: DataFrame, qrels: DataFrame, group: list[str],
     )
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1, equal values at their mean."""
-    order, ties = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return df.withColumn(out, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
-
-
 def calibration(df: DataFrame, by: str, predicted: str, human: str, tolerance: float) -> DataFrame:
-    """Per group: Pearson, Spearman, MAE, RMSE, share within tolerance; 0 where a correlation is undefined."""
-    ranked = average_rank(average_rank(df, [by], predicted, "_p"), [by], human, "_h")
-    error = F.col(predicted) - F.col(human)
-    # corr itself divides by zero in ANSI mode where a side is constant.
-    correlation = lambda a, b: F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
-    return ranked.groupBy(by).agg(
-        correlation(predicted, human).alias("pearson"), correlation("_p", "_h").alias("spearman"), F.avg(F.abs(error)).alias("mae"),
-        F.sqrt(F.avg(error * error)).alias("rmse"), F.avg((F.abs(error) <= tolerance).cast("double")).alias("within"),
+    """Per group: Pearson, Spearman (average ranks), MAE, RMSE, share within tolerance; 0 where a correlation is undefined.
+
+    Rows without either score do not count. Equal pairs of scores are counted first and weigh as many; ranks come from
+    ``ordinals.average_ranks``, so no group has to fit into one task."""
+    pairs = df.where(F.col(predicted).isNotNull() & F.col(human).isNotNull())
+    cells = staged(pairs.groupBy(F.col(by).alias("_g"), F.col(predicted).cast("double").alias("_x"), F.col(human).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w")), "calibration")
+    for value, rank in (("_x", "_rx"), ("_y", "_ry")):
+        ranks = average_ranks(pairs.select(F.col(by).alias("_h"), F.col(predicted if value == "_x" else human).cast("double").alias("_v")), ["_h"], "_v", rank).drop("n")
+        cells = cells.join(ranks, F.col("_g").eqNullSafe(F.col("_h")) & (F.col(value) == F.col("_v"))).drop("_h", "_v")
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w"))
+    centres = cells.groupBy("_g").agg(*[mean(c).alias(f"{c}_m") for c in ("_x", "_y", "_rx", "_ry")]).withColumnRenamed("_g", "_k")
+    d = cells.join(centres, F.col("_g").eqNullSafe(F.col("_k")))
+    w, error = F.col("_w"), F.col("_x") - F.col("_y")
+
+    def correlation(a: str, b: str) -> Column:
+        x, y = F.col(a) - F.col(f"{a}_m"), F.col(b) - F.col(f"{b}_m")
+        return F.coalesce(F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))), F.lit(0.0))
+
+    return d.groupBy(F.col("_g").alias(by)).agg(
+        correlation("_x", "_y").alias("pearson"), correlation("_rx", "_ry").alias("spearman"), (F.sum(w * F.abs(error)) / F.sum(w)).alias("mae"),
+        F.sqrt(F.sum(w * error * error) / F.sum(w)).alias("rmse"), (F.sum(w * (F.abs(error) <= tolerance).cast("double")) / F.sum(w)).alias("within"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import drift as drift_of
 from ..functions.scores import grade, ratio
-from ..operators import refdata, tables
+from ..operators import ordinals, refdata, tables
 from .base import Registry, table
 
 R = Registry()
@@ -182,12 +182,9 @@ def freshness(spark, sf):
 
 @R.add("""SELECT source || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS case_id, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)""")
 def unique_case_ids(spark, sf):
-    """Repeated names get a running number."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = table(spark, sf, "documents").select("source", "doc_id", n.alias("n"))
-    return d.select(F.concat("source", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("case_id"), "doc_id")
+    """Repeated names get a running number, in as many tasks as there are ranges of documents."""
+    d = table(spark, sf, "documents").select("source", "doc_id")
+    return ordinals.unique_ids(d, "source", ["doc_id"], "case_id").select("case_id", "doc_id")
 
 
 @R.add("SELECT (i // 10 + 1)::BIGINT AS cv_id, (i % 40 + 1)::BIGINT AS job_id FROM range(1000) t(i)")
