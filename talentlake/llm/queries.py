@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language, merkle, packing, pieces, quality, recompression, sharding, simhash, transducer
+from . import exact_dedup, html_text, language, merkle, packing, pieces, quality, recompression, resampling, sharding, simhash, transducer
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_report(_table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
+    "op11_importance_resampling": op11_importance_resampling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
