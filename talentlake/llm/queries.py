@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language, merkle, packing, pieces, quality, recompression, resampling, sharding, simhash, transducer
+from . import exact_dedup, html_text, language, merkle, minhash, packing, pieces, quality, recompression, resampling, sharding, simhash, transducer
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=5, least=(85, 100))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
