@@ -87,22 +87,26 @@ def dedup_list(xs: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
+def heads(pairs: Column) -> Column:
+    """Of structs (k, v) the first of each key, in order, with whether it is: structs (i, k, v, first). Sorted by key and place,
+    a first one is where the key changes, so a list of n costs n log n."""
+    placed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    marked = lambda s: F.transform(s, lambda p, j: F.struct(p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v"), ((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(p["k"])).alias("first")))
+    return F.array_sort(let(F.array_sort(placed), marked))
+
+
 def dedup_by(xs: Column, key) -> Column:
-    """The first element of each key, in order; ``key`` makes a column from an element."""
+    """The first element of each key, in order; ``key`` makes a column from an element. Elements with a null key go."""
     pairs = F.transform(xs, lambda x: F.struct(key(x).alias("k"), x.alias("v")))
-    first = lambda p: let(p["k"], lambda keys: F.filter(p, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
-    return F.transform(let(pairs, first), lambda e: e["v"])
+    return F.transform(F.filter(heads(pairs), lambda e: e["first"] & e["k"].isNotNull()), lambda e: e["v"])
 
 
 def dedup_lines(x: Column, shortest: int = 12) -> Column:
     """Stripped lines without blank ones; a line of ``shortest`` characters or more that was there before goes."""
     lines = F.filter(F.transform(F.split(x, "\n"), lambda line: F.trim(line)), lambda line: line != "")
     pairs = F.transform(lines, lambda line: F.struct(F.regexp_replace(F.lower(line), r"\s+", " ").alias("k"), line.alias("v")))
-
-    def kept(p: Column) -> Column:
-        return let(p["k"], lambda keys: F.filter(p, lambda e, i: (F.length(e["k"]) < shortest) | (F.array_position(keys, e["k"]) == i + 1)))
-
-    return F.array_join(F.transform(let(pairs, kept), lambda e: e["v"]), "\n")
+    kept = F.filter(heads(pairs), lambda e: (F.length(e["k"]) < shortest) | e["first"])
+    return F.array_join(F.transform(kept, lambda e: e["v"]), "\n")
 
 
 def truncate_words(x: Column, n: int) -> Column:

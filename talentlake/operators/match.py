@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import hybrid, match_weight, ratio
 from ..functions.text import let
 from ..functions.vector import cosine_distance
+from .dictionary import contained
 
 
 def recommend(owned: DataFrame, required: DataFrame, jobs: DataFrame, k: int, certified: DataFrame | None = None) -> DataFrame:
@@ -62,8 +63,9 @@ def recommend_all(
     enough = pairs.where("matched > 0").groupBy("cv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = facts.join(enough, "cv_id", "left_anti")
     first = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("job_id"))).where(F.col("place") <= 2 * k).drop("place")
-    named = described.join(roles.select("role").distinct(), F.contains(F.col("family"), F.col("role")) | F.contains(F.col("heading"), F.col("role")))
-    of_role = first(named.select("role", "job_id", "min_years"), ["role", "min_years"])
+    texts = described.select(F.explode(F.array_distinct(F.array("family", "heading"))).alias("text"), "job_id", "min_years")
+    named = texts.join(contained(texts, "text", roles, "role"), "text").select("role", "job_id", "min_years").distinct()
+    of_role = first(named, ["role", "min_years"])
     of_role = short.select("cv_id", "years", F.explode("roles").alias("role")).join(of_role, "role").select("cv_id", "years", "job_id", "min_years", F.lit(True).alias("in_role"))
     of_any = first(described.select("job_id", "min_years"), ["min_years"])
     rest = first(_by_years(short.select("years").distinct(), of_any), ["years", "bonus"])
@@ -87,8 +89,12 @@ def years_bonus(years: Column, least: Column) -> Column:
 
 
 def _by_years(years: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(years, job_id, min_years, bonus): distinct numbers of years with the few jobs of each demand."""
-    return years.join(jobs, F.lit(True)).withColumn("bonus", years_bonus(F.col("years"), F.col("min_years")))
+    """(years, job_id, min_years, bonus): distinct numbers of years with the few jobs of each demand, which are spread over one
+    row (2 k for each demand) and exploded again."""
+    one = lambda c: F.pmod(F.hash(c), F.lit(1)).alias("_one")  # noqa: E731  a key that all rows share
+    demands = jobs.groupBy(one("min_years")).agg(F.collect_list(F.struct("job_id", "min_years")).alias("_jobs"))
+    spread = years.select("years", one("years")).join(demands, "_one").select("years", F.explode("_jobs").alias("_j")).select("years", "_j.*")
+    return spread.withColumn("bonus", years_bonus(F.col("years"), F.col("min_years")))
 
 
 def infer_roles(cvs: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
@@ -123,11 +129,10 @@ def hit_details(hits: DataFrame, details: DataFrame, url: str, content: str, tex
 
 
 def role_jobs(targets: DataFrame, jobs: DataFrame, family: str = "job_family", title: str = "title") -> DataFrame:
-    """(cv_id, role, job_id) where the job's family is the role or its title contains it: an equi join and, for titles, a join
-    with the distinct roles only."""
+    """(cv_id, role, job_id) where the job's family is the role or its title contains it: an equi join and, for titles, a join of
+    distinct titles and roles on their q-grams."""
     equal = targets.join(jobs, targets["role"] == jobs[family]).select("cv_id", "role", "job_id")
-    roles = targets.select("role").distinct()
-    inside = jobs.join(roles, F.contains(F.col(title), F.col("role"))).select("job_id", "role")
+    inside = jobs.select("job_id", F.col(title).alias("_title")).join(contained(jobs.select(F.col(title).alias("_title")), "_title", targets, "role"), "_title").select("job_id", "role")
     return equal.unionByName(targets.join(inside, "role").select("cv_id", "role", "job_id")).distinct()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import drift, grade
 from ..functions.text import clean_list, norm_empty, slug
+from .ordinals import numbered
 from .tables import violations
 
 SUBSCORES = {"skill": 30, "experience": 25, "achievement": 20, "education": 10, "formatting": 10, "keywords": 5}
@@ -87,7 +88,12 @@ def build_cases(profiles: DataFrame, files: DataFrame) -> DataFrame:
     return match_roles(profiles, files).join(profiles, "role_name").select(F.concat(F.lit("case_"), slug(F.col("role_name"))).alias("case_id"), "role_name", "file", few.alias("expected_missing"))
 
 
-def template(spark, cvs: int, jobs: int, per_cv: int) -> DataFrame:
-    """cv_id, job_id pairs to judge: ``per_cv`` jobs for each cv, wrapping around."""
-    i = F.col("id")
-    return spark.range(cvs * per_cv).select((F.floor(i / per_cv) + 1).cast("long").alias("cv_id"), (i % jobs + 1).alias("job_id"))
+def template(cvs: DataFrame, jobs: DataFrame, per_cv: int) -> DataFrame:
+    """(cv_id, job_id) pairs to judge: ``per_cv`` jobs for each cv in the order of ids, beginning where the cv before ended and going
+    round all jobs. Places come from ``ordinals.numbered``; a table without jobs gives no pairs."""
+    placed = numbered(cvs.select("cv_id"), [], ["cv_id"], "_cv", "template-cvs")
+    held = numbered(jobs.select("job_id"), [], ["job_id"], "_place", "template-jobs")
+    total = held.agg(F.count(F.lit(1)).alias("_n"))
+    wanted = placed.crossJoin(F.broadcast(total)).where("_n > 0").select("cv_id", F.explode(F.sequence(F.lit(0), F.lit(per_cv - 1))).alias("_i"), "_cv", "_n")
+    wanted = wanted.select("cv_id", (((F.col("_cv") - 1) * per_cv + F.col("_i")) % F.col("_n") + 1).alias("_place"))
+    return wanted.join(held, "_place").select("cv_id", "job_id")

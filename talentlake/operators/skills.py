@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.skills import importance, skills_in, split_segments
+from ..functions.skills import importance, split_segments
 from ..functions.text import clean_light, match_key, plain_key
+from .dictionary import occurrences
 
 
-def skill_records(df: DataFrame, key: list[str], fields: dict[str, Column], vocabulary: dict[str, list[str]], excerpt: int = 180) -> DataFrame:
+def skill_records(df: DataFrame, key: list[str], fields: dict[str, Column], vocabulary: dict[str, list[str]] | DataFrame, excerpt: int = 300) -> DataFrame:
     """key, skill, source_field, importance, excerpt: one row per skill, field and importance, with the first segment that
-    names it. ``fields`` are the texts by source field."""
+    names it. ``fields`` are the texts by source field; the vocabulary is a mapping or a table (name, alias) of any size."""
     texts = F.array(*[F.struct(F.lit(n).alias("source_field"), t.alias("text")) for n, t in fields.items()])
     parts = df.select(*key, F.explode(texts).alias("f")).select(*key, "f.source_field", F.posexplode(split_segments(clean_light(F.col("f.text")))).alias("pos", "segment"))
     parts = parts.withColumn("seg_key", plain_key(F.col("segment"))).where("seg_key <> ''")
-    found = parts.select(*key, "source_field", "pos", "segment", "seg_key", F.explode(skills_in(F.col("seg_key"), vocabulary)).alias("skill"))
-    found = found.withColumn("importance", importance(F.col("seg_key"), F.col("source_field")))
-    return found.groupBy(*key, "skill", "source_field", "importance").agg(F.left(F.min_by("segment", "pos"), F.lit(excerpt)).alias("excerpt"))
+    parts = parts.withColumn("importance", importance(F.col("seg_key"), F.col("source_field"))).withColumn("segment", F.left("segment", F.lit(excerpt)))
+    found = occurrences(parts, F.col("seg_key"), vocabulary).withColumnRenamed("name", "skill")
+    return found.groupBy(*key, "skill", "source_field", "importance").agg(F.min_by("segment", "pos").alias("excerpt"))
 
 
 def skill_lists(records: DataFrame, key: list[str], importance: str | None = None) -> DataFrame:
@@ -32,9 +33,13 @@ def role_skill_stats(records: DataFrame, role: str) -> DataFrame:
     return records.groupBy(role, "skill", "importance").agg(F.count(F.lit(1)).alias("job_count"))
 
 
-def catalog_support(df: DataFrame, role: str, text: Column, vocabulary: dict[str, list[str]], least_mentions: int = 1, least_roles: int = 1) -> DataFrame:
-    """skill, mentions (rows that name it), roles: those with enough of either."""
-    found = df.select(role, F.explode(skills_in(match_key(text), vocabulary)).alias("skill"))
+def catalog_support(
+    df: DataFrame, role: str, text: Column, vocabulary: dict[str, list[str]] | DataFrame, least_mentions: int = 1, least_roles: int = 1
+) -> DataFrame:
+    """skill, mentions (rows that name it), roles: those with enough of either. Names are found by ``dictionary.occurrences``, so the
+    vocabulary may have any size."""
+    rows = df.select(F.col(role), F.monotonically_increasing_id().alias("_row"), match_key(text).alias("_key"))
+    found = occurrences(rows, F.col("_key"), vocabulary).select("_row", role, F.col("name").alias("skill")).distinct()
     support = found.groupBy("skill").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct(role).alias("roles"))
     return support.where((F.col("mentions") >= least_mentions) | (F.col("roles") >= least_roles))
 

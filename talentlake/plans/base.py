@@ -32,25 +32,3 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def values(spark: SparkSession, rows: list[str]) -> DataFrame:
-    """(id, x) of inline texts; ids from 1."""
-    return spark.createDataFrame([(i, r) for i, r in enumerate(rows, 1)], "id int, x string")
-
-
-def values_sql(rows: list[tuple], columns: str) -> str:
-    """A SQL table of literal rows."""
-
-    def lit(v: object) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return "TRUE" if v else "FALSE"
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        if isinstance(v, float):
-            return f"{v!r}::DOUBLE"
-        return str(v)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({columns})"

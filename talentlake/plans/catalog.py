@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import evaluation, matching, relational, text
+from . import composed, evaluation, matching, relational, text, vocabularies
 from .base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (text, relational, matching, evaluation):
+for _module in (text, relational, matching, evaluation, composed, vocabularies):
     QUERIES |= _module.R.queries
     ORACLES |= _module.R.oracles

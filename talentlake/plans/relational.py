@@ -185,31 +185,3 @@ def unique_case_ids(spark, sf):
     """Repeated names get a running number, in as many tasks as there are ranges of documents."""
     d = table(spark, sf, "documents").select("source", "doc_id")
     return ordinals.unique_ids(d, "source", ["doc_id"], "case_id").select("case_id", "doc_id")
-
-
-@R.add("SELECT (i // 10 + 1)::BIGINT AS cv_id, (i % 40 + 1)::BIGINT AS job_id FROM range(1000) t(i)")
-def pair_template(spark, sf):
-    """Pairs to judge: ten jobs for each of a hundred cvs."""
-    return refdata.template(spark, 100, 40, 10)
-
-
-@R.add("""SELECT coalesce(a.name, b.name) AS name, coalesce(a.n, 0) AS old, coalesce(b.n, 0) AS new, round(CASE WHEN coalesce(a.n, 0) = 0 AND coalesce(b.n, 0) = 0 THEN 0 WHEN coalesce(a.n, 0) = 0 THEN 1 ELSE abs(coalesce(b.n, 0) - a.n)::DOUBLE / a.n END, 6) AS drift
-          FROM (SELECT source AS name, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY ALL) a FULL JOIN (SELECT source AS name, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY ALL) b ON a.name = b.name""")
-def bundle_drift(spark, sf):
-    """Counts of two builds side by side."""
-    count = lambda where: table(spark, sf, "documents").where(where).groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return refdata.bundle_drift(count("lang = 'en'"), count("lang <> 'en'")).select("name", "old", "new", F.round("drift", 6).alias("drift"))
-
-
-@R.add("""WITH s AS (SELECT p_brand AS canonical, p_name AS alias FROM part GROUP BY ALL), t AS (SELECT alias FROM s GROUP BY alias HAVING count(DISTINCT canonical) > 1)
-          SELECT canonical, 'warning' AS level, 'shared alias ' || alias AS message FROM s JOIN t USING (alias)""")
-def catalog_contract(spark, sf):
-    """Errors of a catalog, and aliases that two skills share."""
-    c = table(spark, sf, "part").groupBy(F.col("p_brand").alias("canonical")).agg(F.collect_set("p_name").alias("aliases"))
-    return refdata.catalog_errors(c)
-
-
-@R.add("""SELECT lang AS case_id, 'missing note' AS error FROM documents WHERE n_chars < 300 UNION ALL SELECT lang, 'repeated id' FROM documents GROUP BY lang HAVING count(*) > 1""")
-def case_contract(spark, sf):
-    cases = table(spark, sf, "documents").select(F.col("lang").alias("case_id"), F.when(F.col("n_chars") >= 300, "x").alias("note"))
-    return refdata.case_errors(cases, ["case_id", "note"])
