@@ -174,12 +174,14 @@ def hybrid_rank(vector_side: DataFrame, graph_side: DataFrame, id_: str, w_vecto
     return both.withColumns({"score": score, "rank": F.row_number().over(order)})
 
 
-def focus_filter(hits: DataFrame, group: str, focus: Column, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` hits of a question; only those with a focus hit, if there are at least max(2, min(k, 3)) of them."""
-    each = Window.partitionBy(group)
-    marked = hits.withColumn("_focused", focus).withColumn("_n", F.sum(F.col("_focused").cast("int")).over(each))
-    kept = marked.where(F.col("_focused") | (F.col("_n") < max(2, min(k, 3))))
-    return kept.withColumn("rank", F.row_number().over(each.orderBy(*order))).where(F.col("rank") <= k).drop("_focused", "_n")
+def focus_filter(hits: DataFrame, group: str, focus: Column, order: list[Column], k: int, strong: Column | None = None) -> DataFrame:
+    """The first ``k`` hits of a question; only those with a focus hit, if there are at least max(2, min(k, 3)) of them. ``strong`` marks
+    the hits of a question of the domain that do not belong to another one: where there are as many of them, only they count."""
+    each, enough = Window.partitionBy(group), max(2, min(k, 3))
+    marked = hits.withColumn("_focused", F.coalesce(focus, F.lit(False))).withColumn("_strong", F.coalesce(strong, F.lit(False)) if strong is not None else F.lit(False))
+    marked = marked.withColumn("_n", F.sum(F.col("_focused").cast("int")).over(each)).withColumn("_s", F.sum(F.col("_strong").cast("int")).over(each))
+    kept = marked.where(F.when(F.col("_s") >= enough, F.col("_strong")).when(F.col("_n") >= enough, F.col("_focused")).otherwise(True))
+    return kept.withColumn("rank", F.row_number().over(each.orderBy(*order))).where(F.col("rank") <= k).drop("_focused", "_strong", "_n", "_s")
 
 
 def focus_terms(*texts: Column, most: int = 60) -> Column:

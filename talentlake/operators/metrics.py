@@ -106,3 +106,26 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, query: str, item: st
         query, "k", ratio(F.col("n"), F.col("k")).alias("precision"), ratio(F.col("n"), F.col("total")).alias("recall"),
         (F.col("n") > 0).cast("double").alias("hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
     )
+
+
+#: Values that a sketch keeps at most in a level. Up to as many values it is exact; beyond, the rank of an answer is wrong by less than
+#: SKETCH_ERROR of all values, with a probability of 99 in 100.
+SKETCH_K = 4096
+SKETCH_ERROR = 0.0011
+
+
+def quantile_sketches(df: DataFrame, groups: list[str], value: Column, k: int = SKETCH_K) -> DataFrame:
+    """``groups``, n, sketch: a mergeable sketch of the values of each group, as binary; null values do not count. Each task
+    sketches what it has, so only sketches are exchanged. Keep one row per day and merge the days that are asked for."""
+    rows = df.select(*groups, value.cast("double").alias("_v")).where("_v is not null")
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("_v", F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """``groups``, n, sketch of finer ones, such as days into a month."""
+    return sketches.groupBy(*groups).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
+    """``groups``, n and a column for each share: the least value that so many are no larger than, by the sketch."""
+    return sketches.select(*groups, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jobs import experience_pattern
 from ..functions.skills import importance, split_segments
-from ..functions.text import clean_light, match_key, plain_key
+from ..functions.text import clean_light, match_key, plain_key, role_name
 from .dictionary import occurrences
 
 
@@ -80,3 +81,44 @@ def next_items(counts: DataFrame, role: str, item: str, top: int, more: int) ->
     fallback = fallback.join(taken, [role, item], "left_anti").select(role, item, F.lit(1).alias("from_all"), "place")
     order = Window.partitionBy(role).orderBy("from_all", "place")
     return following.unionByName(fallback).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= more).select(role, item, "rank")
+
+
+def role_items(df: DataFrame, role: Column, text: Column, experience: Column, vocabulary: dict[str, list[str]] | DataFrame, stopwords: list[str], least: int = 3) -> DataFrame:
+    """(role, kind, item, n): what profiles are made of, in one exchange. Of every row one `job`, its `experience` pattern, its
+    `keyword`s (each time they occur) and the `skill`s it names (once each)."""
+    rows = df.select(role_name(role).alias("role"), F.monotonically_increasing_id().alias("_row"), F.coalesce(text, F.lit("")).alias("_text"), experience_pattern(experience).alias("_exp"))
+    words = F.filter(F.regexp_extract_all(F.lower("_text"), F.lit("([a-z0-9]+)")), lambda w: (F.length(w) >= least) & ~w.rlike("^[0-9]+$") & ~w.isin(*stopwords))
+    each = lambda kind, item: F.struct(F.lit(kind).alias("kind"), item.alias("item"))
+    kinds = F.concat(F.array(each("job", F.lit("")), each("experience", F.col("_exp"))), F.transform(words, lambda w: each("keyword", w)))
+    told = rows.select("role", F.explode(kinds).alias("k")).select("role", "k.kind", "k.item")
+    named = occurrences(rows.select("role", "_row", match_key(F.col("_text")).alias("_key")), F.col("_key"), vocabulary)
+    named = named.select("role", "_row", "name").distinct().select("role", F.lit("skill").alias("kind"), F.col("name").alias("item"))
+    return told.unionByName(named).groupBy("role", "kind", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def profiles(items: DataFrame, least_jobs: int = 1, top_skills: int = 8, top_keywords: int = 8, top_experience: int = 5, more: int = 4) -> DataFrame:
+    """role_name, job_count, common_skills, common_keywords, common_experience_patterns, recommended_next_skills of (role, kind, item, n).
+
+    Roles with fewer than ``least_jobs`` have no profile and are not ranked, but their skills count for the global order. Items stand
+    by count, equal ones by name. The next skills follow the top ones; where there are fewer than ``more``, the globally most
+    frequent ones that the role does not list follow."""
+    able = items.where((F.col("kind") == "job") & (F.col("n") >= least_jobs)).select("role", F.col("n").alias("job_count"))
+    ranked = items.where("kind <> 'job'").join(able.select("role"), "role", "left_semi")
+    most = F.when(F.col("kind") == "skill", top_skills + more).when(F.col("kind") == "keyword", top_keywords).otherwise(top_experience)
+    place = F.row_number().over(Window.partitionBy("role", "kind").orderBy(F.col("n").desc(), "item"))
+    ranked = ranked.withColumn("place", place).where(F.col("place") <= max(top_skills + more, top_keywords, top_experience)).where(F.col("place") <= most)  # the first bound is a limit of the window
+    of = lambda kind, low, high: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("place").between(low, high), F.struct("place", "item")))), lambda x: x["item"])
+    lists = ranked.groupBy("role").agg(
+        of("skill", 1, top_skills).alias("common_skills"), of("keyword", 1, top_keywords).alias("common_keywords"), of("experience", 1, top_experience).alias("common_experience_patterns"),
+        of("skill", top_skills + 1, top_skills + more).alias("following"),
+    )
+    leaders = items.where("kind = 'skill'").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "item").limit(top_skills + 2 * more)
+    leaders = leaders.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "item"))).alias("leaders"))  # one row of a fixed number of skills
+    out = able.join(lists, "role", "left").crossJoin(F.broadcast(leaders))
+    empty = F.array().cast("array<string>")
+    has = {c: F.coalesce(c, empty) for c in ("common_skills", "common_keywords", "common_experience_patterns", "following")}
+    fallback = F.filter(F.transform("leaders", lambda x: x["item"]), lambda x: ~F.array_contains(F.concat(has["common_skills"], has["following"]), x))
+    return out.select(
+        F.col("role").alias("role_name"), "job_count", *[has[c].alias(c) for c in ("common_skills", "common_keywords", "common_experience_patterns")],
+        F.slice(F.concat(has["following"], fallback), 1, more).alias("recommended_next_skills"),
+    )

@@ -193,3 +193,13 @@ def benchmark_quality(spark, sf):
     b = both.where("o_totalprice > 490000").groupBy("role").agg(F.collect_set("o_orderpriority").alias("b"))
     days = F.timestamp_diff("SECOND", F.col("at"), F.lit("2000-01-01").cast("timestamp")) / F.lit(86400.0)
     return a.join(b, "role").select("role", F.round(scores.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(days, 6).alias("age_days"))
+
+
+@R.add("""SELECT event_type AS endpoint, count(*) AS n, count(DISTINCT ts::DATE) AS days, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
+def latency_sketches(spark, sf):
+    """Percentiles from sketches of each day, merged; exact while a group has no more values than a sketch keeps."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("endpoint"), F.to_date("ts").alias("day"), "value")
+    daily = metrics.quantile_sketches(e, ["endpoint", "day"], F.col("value"))
+    days = daily.groupBy("endpoint").agg(F.count(F.lit(1)).alias("days"))
+    found = metrics.sketched_quantiles(metrics.merge_sketches(daily, ["endpoint"]), ["endpoint"], {"p50": 0.5, "p95": 0.95})
+    return found.join(days, "endpoint").select("endpoint", "n", "days", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, vector
 from ..functions.skills import mention_ratio, skills_in
 from ..functions.text import match_key
-from ..operators import match, skills
+from ..operators import match, rank, skills
 from .base import SKILLS, STOPWORDS, Registry, table
 
 R = Registry()
@@ -197,16 +197,57 @@ def hybrid_rank(spark, sf):
           s AS (SELECT item_id, doc_id, hits, 1.5 * hits - 2.0 * (1 - hits::DOUBLE / len(b.terms)) AS score FROM p JOIN b USING (item_id))
           SELECT item_id, doc_id, hits, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def rerank(spark, sf):
-    """Documents for each question by shared terms less their distance; joined on the terms."""
-    def terms(df, key):
-        words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) >= 5)
-        return df.select(key, F.array_distinct(words).alias("terms"))
+    """Documents for each question by shared terms less their distance; common terms are joined only where they can matter."""
+    b, d = _terms(table(spark, sf, "benchmark"), "item_id"), _terms(table(spark, sf, "documents"), "doc_id")
+    hits = rank.top_by_terms(rank.term_weights((b, 1.0), key="item_id"), "item_id", d, "doc_id", 3)
+    scored = hits.join(b, "item_id").withColumn("hits", F.col("score").cast("long"))
+    score = scores.rerank(F.col("hits"), F.lit(0), F.lit(0), 1.0 - F.col("hits") / F.size("terms"))
+    return scored.select("item_id", "doc_id", "hits", F.round(score, 6).alias("score"), "rank")
+
+
+def _terms(df: DataFrame, key: str, least: int = 5) -> DataFrame:
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) >= least)
+    return df.select(key, F.array_distinct(words).alias("terms"))
+
+
+_TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= {}))"
+
+
+@R.add(f"""WITH w AS (SELECT item_id, term, sum(w) AS w FROM (SELECT item_id, unnest({_TOKENS.format(4)}) AS term, 1.5::DOUBLE AS w FROM benchmark
+             UNION ALL SELECT item_id, unnest(list_sort({_TOKENS.format(3)})[1:60]), 1.2::DOUBLE FROM benchmark UNION ALL SELECT item_id, unnest(CASE item_id % 3 WHEN 0 THEN ['erin', 'para', 'pour'] WHEN 1 THEN ['edon', 'sch'] ELSE ['thon'] END), 2.0::DOUBLE FROM benchmark) GROUP BY ALL),
+           d AS (SELECT doc_id, unnest({_TOKENS.format(1)}) AS term FROM documents), s AS (SELECT item_id, doc_id, round(sum(w), 9) AS score FROM w JOIN d USING (term) GROUP BY ALL)
+           SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
+def rerank_weighted(spark, sf):
+    """The five best documents for each question by overlap (1.5), words of its intent (2.0) and focus terms (1.2) together."""
+    b, k = table(spark, sf, "benchmark"), F.col("item_id") % 3
+    words = lambda *ws: F.array(*[F.lit(w) for w in ws])
+    intent = b.select("item_id", F.when(k == 0, words("erin", "para", "pour")).when(k == 1, words("edon", "sch")).otherwise(words("thon")).alias("terms"))
+    focus = b.select("item_id", match.focus_terms(F.col("text")).alias("terms"))
+    weights = rank.term_weights((_terms(b, "item_id", 4), 1.5), (intent, 2.0), (focus, 1.2), key="item_id")
+    best = rank.top_by_terms(weights, "item_id", _terms(table(spark, sf, "documents"), "doc_id", 1), "doc_id", 5)
+    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@R.add("""WITH p AS (SELECT a.vec_id AS query, b.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+          r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS n FROM p)
+          SELECT query, vec_id, source, round(d, 6) AS distance, n AS rank FROM r JOIN documents ON doc_id = vec_id WHERE n <= 5""")
+def batch_neighbours(spark, sf):
+    """The five nearest vectors of every vector, with the document of each."""
+    e = table(spark, sf, "embeddings")
+    hits = rank.nearest(e, e, "vec_id", "embedding", 5, apart=True)
+    chunks, documents = e.select("vec_id", F.col("vec_id").alias("doc_id")), table(spark, sf, "documents").select("doc_id", "source")
+    return rank.with_documents(hits, chunks, documents, "vec_id", "doc_id").select("query", "vec_id", "source", F.round("distance", 6).alias("distance"), "rank")
+
 
-    b, d = terms(table(spark, sf, "benchmark"), "item_id"), terms(table(spark, sf, "documents"), "doc_id")
-    hits = b.select("item_id", F.explode("terms").alias("w")).join(d.select("doc_id", F.explode("terms").alias("w")), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    scored = hits.join(b, "item_id").withColumn("score", scores.rerank(F.col("hits"), F.lit(0), F.lit(0), 1.0 - F.col("hits") / F.size("terms")))
-    w = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("item_id", "doc_id", "hits", F.round("score", 6).alias("score"), "rank")
+@R.add("""WITH p AS (SELECT a.vec_id AS query, b.vec_id, b.label, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS d FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0),
+          r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS n FROM p), c AS (SELECT query, label, min(d) AS d FROM r WHERE n <= 10 GROUP BY ALL)
+          SELECT query, label, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, label) AS rank FROM c) WHERE rank <= 3""")
+def neighbour_documents(spark, sf):
+    """The three nearest documents (labels) of every fiftieth vector, by the nearest of twice as many chunks and more."""
+    e = table(spark, sf, "embeddings")
+    hits = rank.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10)
+    hits = hits.join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    return rank.nearest_documents(hits, "label", 3).select("query", "label", F.round("distance", 6).alias("distance"), "rank")
 
 
 _PROFILE = "SELECT c_mktsegment AS role, list_distinct(list(p_brand)) AS skills FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size <= 3 AND l_quantity >= 49 GROUP BY ALL"
@@ -262,6 +303,16 @@ def focus_filter(spark, sf):
     return match.focus_filter(e, "label", F.col("vec_id") % 7 == 0, [F.col("s").desc(), F.col("vec_id")], 4).select("label", "vec_id", "rank")
 
 
+@R.add("""WITH f AS (SELECT label, vec_id, embedding[1] AS s, vec_id % 3 = 0 AS focused, vec_id % 3 = 0 AND embedding[2] > 0 AS strong, label % 2 = 0 AS data FROM embeddings),
+          n AS (SELECT *, count(*) FILTER (WHERE focused) OVER w AS cf, count(*) FILTER (WHERE strong) OVER w AS cs FROM f WINDOW w AS (PARTITION BY label))
+          SELECT label, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM n WHERE CASE WHEN data AND cs >= 3 THEN strong WHEN cf >= 3 THEN focused ELSE TRUE END) WHERE rank <= 4""")
+def focus_filter_strong(spark, sf):
+    """For questions of the domain only strong hits, if there are enough, else focused ones, else all."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding")[0].alias("s"), F.col("embedding")[1].alias("t"))
+    focus = F.col("vec_id") % 3 == 0
+    return match.focus_filter(e, "label", focus, [F.col("s").desc(), F.col("vec_id")], 4, (F.col("label") % 2 == 0) & focus & (F.col("t") > 0)).select("label", "vec_id", "rank")
+
+
 @R.add("""WITH u AS (SELECT o_orderkey, unnest(['price', 'day', 'cust']) AS name, unnest([o_totalprice / 500000, extract(day FROM o_orderdate) / 31.0::DOUBLE, (o_custkey % 100) / 100.0::DOUBLE]) AS share FROM orders),
           r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY share, name) AS n FROM u)
           SELECT o_orderkey, 'worst' AS kind, name, round(share, 8) AS share FROM r WHERE n <= 1 UNION ALL SELECT o_orderkey, 'best', name, round(share, 8) FROM r WHERE n = 3""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import drift as drift_of
 from ..functions.scores import grade, ratio
-from ..operators import ordinals, refdata, tables
+from ..operators import labels, ordinals, tables
 from .base import Registry, table
 
 R = Registry()
@@ -185,3 +185,59 @@ def unique_case_ids(spark, sf):
     """Repeated names get a running number, in as many tasks as there are ranges of documents."""
     d = table(spark, sf, "documents").select("source", "doc_id")
     return ordinals.unique_ids(d, "source", ["doc_id"], "case_id").select("case_id", "doc_id")
+
+
+# A file of labels made from `labels` and `documents`, with rows that break rules, repeat keys or name no English document.
+_FILE = """SELECT d.doc_id, d.doc_id % 3 = 0 AS again, CASE WHEN d.doc_id % 29 = 0 THEN ' ' ELSE d.doc_id::VARCHAR END AS cv_id, CASE WHEN d.doc_id % 17 = 0 THEN '' ELSE source END AS role,
+            (n_chars % 31)::DOUBLE AS skill, (n_chars % 27)::DOUBLE AS experience, quality * 20.0::DOUBLE AS achievement, toxic * 5 + 5.0::DOUBLE AS education, (n_chars % 11)::DOUBLE AS formatting, 5.0::DOUBLE AS keywords, d.lang
+          FROM labels l JOIN documents d USING (doc_id)"""
+_SCORED = f"""SELECT *, CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN 101 ELSE skill + experience + achievement + education + formatting + keywords + CASE WHEN doc_id % 13 = 0 THEN 3 ELSE 0 END END::DOUBLE AS score,
+            CASE WHEN doc_id % 11 = 0 THEN 'guess' ELSE 'committee' END AS label_source, (doc_id % 12) / 10.0::DOUBLE AS confidence FROM ({_FILE})"""
+_GRADED = f"""SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'A' ELSE good END AS grade FROM (SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'E' END AS good FROM ({_SCORED}))"""
+_REPORT = f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY doc_id, version) + 1 AS row_no, trim(cv_id) AS id FROM (SELECT *, 1 AS version FROM ({_GRADED}) UNION ALL SELECT *, 2 FROM ({_GRADED}) WHERE again)),
+            e AS (SELECT *, CASE WHEN id = '' THEN ['cv_id is empty'] ELSE list_concat(CASE WHEN role = '' THEN ['role is empty'] ELSE [] END,
+                CASE WHEN score IS NULL OR score > 100 THEN ['final_label_score out of bounds'] ELSE list_concat(CASE WHEN grade <> good THEN ['grade does not fit the score'] ELSE [] END,
+                  list_concat(CASE WHEN label_source = 'guess' THEN ['unknown label_source'] ELSE [] END, list_concat(CASE WHEN confidence > 1 THEN ['label_confidence out of bounds'] ELSE [] END,
+                  list_concat(CASE WHEN experience > 25 THEN ['subscore_experience out of bounds'] ELSE [] END, CASE WHEN experience <= 25 AND doc_id % 13 = 0 THEN ['subscores do not add up'] ELSE [] END)))) END) END AS own FROM r),
+            a AS (SELECT *, list_concat(own, CASE WHEN id <> '' AND lang <> 'en' THEN ['no such record'] ELSE [] END) AS reasons FROM e),
+            s AS (SELECT *, CASE WHEN len(reasons) = 0 THEN max(row_no) OVER (PARTITION BY id, len(reasons) = 0) END AS last FROM a)"""
+
+
+def _label_file(spark, sf):
+    d, l = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang"), table(spark, sf, "labels")
+    k, c = F.col("doc_id"), F.col("n_chars")
+    rows = l.join(d, "doc_id").select(
+        "doc_id", F.when(k % 29 == 0, " ").otherwise(F.concat(F.lit(" "), k.cast("string"))).alias("cv_id"), F.when(k % 17 == 0, "").otherwise(F.col("source")).alias("role"), (c % 31).alias("subscore_skill"), (c % 27).alias("subscore_experience"),
+        (F.col("quality") * 20).alias("subscore_achievement"), (F.col("toxic") * 5 + 5).alias("subscore_education"), (c % 11).alias("subscore_formatting"), F.lit("5").alias("subscore_keywords"),
+        F.when(k % 11 == 0, "guess").otherwise("committee").alias("label_source"), F.lit("someone").alias("labeler_id"), ((k % 12) / F.lit(10.0)).alias("label_confidence"), F.lit("2024-05-01").alias("labeled_at"),
+    )
+    total = sum((F.col(f"subscore_{n}").cast("double") for n in ("skill", "experience", "achievement", "education", "formatting", "keywords")), F.lit(0.0))
+    score = F.when(k % 23 == 0, "none").when(k % 19 == 0, "101").otherwise((total + F.when(k % 13 == 0, 3).otherwise(0)).cast("string"))
+    rows = rows.withColumn("final_label_score", score)
+    given = F.lower(F.when(k % 7 == 0, "A").otherwise(grade(F.coalesce(score.try_cast("double"), F.lit(0.0)), True)))
+    rows = rows.withColumn("grade", given)
+    return rows.withColumn("version", F.lit(1)).unionByName(rows.where(k % 3 == 0).withColumn("version", F.lit(2))), d.where("lang = 'en'").select(F.col("doc_id").alias("cv_id"))
+
+
+def _old_labels(spark, sf):
+    old = table(spark, sf, "labels").where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("cv_id"), F.lit("someone").alias("labeler_id"), F.lit("2024-05-01").alias("labeled_at"), F.lit(0.0).alias("final_label_score"))
+    return old.unionByName(old.withColumn("labeled_at", F.lit("2023-01-01")))
+
+
+@R.add(f"""{_REPORT} SELECT row_no, id AS cv_id, CASE WHEN len(reasons) > 0 THEN 'rejected' WHEN row_no = last THEN 'accepted' ELSE 'replaced' END AS status,
+           CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') WHEN row_no = last THEN '' ELSE 'replaced by row ' || last END AS reasons FROM s""")
+def label_report(spark, sf):
+    """What becomes of each line of a label file, and why."""
+    file, known = _label_file(spark, sf)
+    _, report = labels.load_labels(_old_labels(spark, sf), file, known, ["doc_id", "version"])
+    return report.select("row_no", "cv_id", "status", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@R.add(f"""{_REPORT}, n AS (SELECT id AS cv_id, score FROM s WHERE row_no = last),
+           o AS (SELECT doc_id::VARCHAR AS cv_id, unnest(['2024-05-01', '2023-01-01']) AS labeled_at FROM labels WHERE doc_id % 5 = 0)
+           SELECT cv_id, labeled_at, 0.0::DOUBLE AS final_label_score FROM o WHERE labeled_at = '2023-01-01' OR cv_id NOT IN (SELECT cv_id FROM n) UNION ALL SELECT cv_id, '2024-05-01', score FROM n""")
+def label_load(spark, sf):
+    """The table of labels after a load: accepted rows in place of those with their key."""
+    file, known = _label_file(spark, sf)
+    merged, _ = labels.load_labels(_old_labels(spark, sf), file, known, ["doc_id", "version"])
+    return merged.select("cv_id", "labeled_at", "final_label_score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dictionary, skills, titles
-from .base import Registry, table
+from .base import STOPWORDS, Registry, table
 from .matching import _KEY
 
 R = Registry()
@@ -101,3 +101,34 @@ def tags_structured(spark, sf):
     own = lambda c: p.select(c.alias("name"), c.alias("alias")).distinct()
     out = titles.structured_tags(tags, "p_partkey", F.col("tags"), _nouns(spark, sf).unionByName(makers), own(F.split_part("p_name", F.lit(" "), F.lit(1))), own(F.lower("p_type")))
     return out.select("p_partkey", F.array_join("roles", " | ").alias("roles"), F.array_join("domains", "/").alias("domains"), F.array_join("specialties", "/").alias("specialties"), F.size("parts").alias("n_parts"))
+
+
+_PROFILE_KEY = _KEY.format("text")
+
+
+@R.add(f"""WITH d AS (SELECT doc_id, upper(source[1]) || source[2:] AS role, lower(text) AS low, {_PROFILE_KEY} AS key, CASE n_chars % 4 WHEN 0 THEN 'No requirement' WHEN 1 THEN '<1 year' WHEN 2 THEN 'Unknown' ELSE (n_chars % 3 + 1) || ' years' END AS pattern FROM documents),
+           v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{7,}}')) AS skill FROM benchmark),
+           s AS (SELECT role, skill, count(*) AS n FROM (SELECT DISTINCT doc_id, role, unnest(regexp_extract_all(key, '[a-z0-9_ß]+')) AS skill FROM d) JOIN v USING (skill) GROUP BY ALL),
+           j AS (SELECT role, count(*) AS job_count FROM d GROUP BY role HAVING count(*) >= 5),
+           k AS (SELECT role, word AS item, count(*) AS n FROM (SELECT role, unnest(regexp_extract_all(low, '[a-z0-9]+')) AS word FROM d) WHERE length(word) >= 3 AND NOT regexp_matches(word, '^[0-9]+$') AND word NOT IN ({", ".join(f"'{w}'" for w in STOPWORDS)}) GROUP BY ALL),
+           e AS (SELECT role, pattern AS item, count(*) AS n FROM d GROUP BY ALL),
+           rs AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, skill) AS place FROM s),
+           rk AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, item) AS place FROM k),
+           re AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, item) AS place FROM e),
+           g AS (SELECT skill, row_number() OVER (ORDER BY sum(n) DESC, skill) AS place FROM s GROUP BY skill),
+           nx AS (SELECT role, skill, 0 AS late, place FROM rs WHERE place BETWEEN 9 AND 12
+                  UNION ALL SELECT j.role, g.skill, 1, g.place FROM j CROSS JOIN g WHERE NOT EXISTS (SELECT 1 FROM rs WHERE rs.role = j.role AND rs.skill = g.skill AND rs.place <= 12)),
+           nr AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY late, place) AS rn FROM nx)
+           SELECT j.role AS role_name, job_count, coalesce((SELECT string_agg(skill, ',' ORDER BY place) FROM rs WHERE rs.role = j.role AND place <= 8), '') AS common_skills,
+                  coalesce((SELECT string_agg(item, ',' ORDER BY place) FROM rk WHERE rk.role = j.role AND place <= 8), '') AS common_keywords,
+                  (SELECT string_agg(item, ',' ORDER BY place) FROM re WHERE re.role = j.role AND place <= 5) AS common_experience_patterns,
+                  coalesce((SELECT string_agg(skill, ',' ORDER BY rn) FROM nr WHERE nr.role = j.role AND rn <= 4), '') AS recommended_next_skills FROM j""")
+def role_profiles_full(spark, sf):
+    """Whole profiles: skills by a vocabulary of hundreds, keywords, experience patterns, what to learn next; five jobs at least."""
+    k = F.col("n_chars")
+    asked = F.when(k % 4 == 0, "Không yêu cầu kinh nghiệm").when(k % 4 == 1, "Dưới 1 năm").when(k % 4 == 2, "").otherwise(F.concat((k % 3 + 1).cast("string"), F.lit(" năm")))
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{7,})"))).alias("name")).distinct().withColumn("alias", F.col("name"))
+    items = skills.role_items(table(spark, sf, "documents"), F.col("source"), F.col("text"), asked, words, STOPWORDS)
+    out = skills.profiles(items, least_jobs=5)
+    lists = [F.array_join(c, ",").alias(c) for c in ("common_skills", "common_keywords", "common_experience_patterns", "recommended_next_skills")]
+    return out.select("role_name", "job_count", *lists)
