@@ -19,6 +19,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 _own_folder: list[str] = []
+#: Paths of the tables that ``cut`` has written in this session and nobody has released.
+_held: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +46,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     free_shuffles(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path
+    _held.append(path)
     return table
 
 
+def held_tables() -> list[str]:
+    """The paths of all tables that ``cut`` has written and nobody has released yet."""
+    return list(_held)
+
+
+def release_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[str]:
+    """Delete those of the tables at ``paths`` that ``docs`` does not read; the rest is returned."""
+    read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()} if paths else set()
+    kept = [p for p in paths if p.rsplit("/", 1)[-1] in read]  # names of tables are unique, whatever the form of the path
+    for path in set(paths) - set(kept):
+        _delete_path(spark, path)
+    return kept
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` has written, once all that was made of them has been written itself, and free shuffles."""
     for table in tables:
@@ -63,10 +80,15 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def _delete(table: DataFrame) -> None:
-    spark = table.sparkSession
+    _delete_path(table.sparkSession, table.cut_path)
+
+
+def _delete_path(spark: SparkSession, name: str) -> None:
+    if name in _held:
+        _held.remove(name)
     if getattr(spark, "_jvm", None) is None:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -559,10 +559,28 @@ def test_pipeline(spark, odd):
         assert stage(spark, odd.drop("id", "key", "fp").limit(0), "").count() == 0
 
 
+def test_stages_leave_nothing_once_written(spark, odd, tmp_path):
+    """What a stage has held goes when the next one starts on its written rows, and stays as long as something reads it."""
+    import corpus_pipeline
+    from talentlake.llm import common
+
+    docs = odd.drop("id", "key", "fp")
+    start = set(common.held_tables())
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    held = set(common.held_tables()) - start
+    unwritten = corpus_pipeline.exact_duplicates(spark, kept, "")
+    n = unwritten.count()
+    kept.write.parquet(f"{tmp_path}/kept")
+    assert held & set(common.held_tables())
+    again = corpus_pipeline.exact_duplicates(spark, spark.read.parquet(f"{tmp_path}/kept"), "")
+    assert not held & set(common.held_tables())
+    assert again.count() == n
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_BPE
