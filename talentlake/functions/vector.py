@@ -57,5 +57,6 @@ def hash_encode(text: Column, size: int = 64) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).alias("at"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(hashed, lambda h: h["at"] == k), F.lit(0.0), lambda a, h: a + h["sign"]))
-    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
-    return F.get(F.transform(F.array(counts), unit), F.lit(0))
+    length = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12))
+    unit = lambda s: F.transform(s["v"], lambda x: x / s["n"])
+    return let(let(counts, lambda v: F.struct(v.alias("v"), length(v).alias("n"))), unit)

@@ -87,7 +87,10 @@ def safe_casts(spark, sf):
     return tables.select_existing(tables.prefer_columns(out, ["p_partkey"]), ["p_partkey", "p_name", "cents", "q", "absent"])
 
 
-@R.add("""SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars', 'short']) AS column_name, unnest([0.0, 0.0, 0.0, 0.0, 0.0, (SELECT round(avg((n_chars < 500)::INT::DOUBLE), 6) FROM documents)]::DOUBLE[]) AS missing""")
+_MISSING = " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(({c} IS NULL)::INT::DOUBLE), 6) AS missing FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@R.add(f"{_MISSING} UNION ALL SELECT 'short', round(avg((n_chars < 500)::INT::DOUBLE), 6) FROM documents")
 def missing_ratio(spark, sf):
     d = table(spark, sf, "documents").withColumn("short", F.when(F.col("n_chars") >= 500, F.col("n_chars")))
     return tables.missing_ratio(d).select("column_name", F.round("missing", 6).alias("missing"))

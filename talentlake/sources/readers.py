@@ -101,9 +101,9 @@ def decode_cell(x: Column, schema: str = "array<string>") -> Column:
 
 def json_reports(spark: SparkSession, folder: str, schema: str, suffix: str = "_gap") -> DataFrame:
     """One JSON document a file, with `cv_key` from the file's name without ``suffix``; broken files are skipped."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").json(folder, multiLine=True, mode="PERMISSIVE")
-    df = df.withColumn("cv_key", F.regexp_replace(F.col("_metadata.file_name"), rf"({suffix})?\.json$", "")).cache()
-    return df.where("_corrupt_record is null").drop("_corrupt_record")
+    files = spark.read.text(folder, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_name"), rf"({suffix})?\.json$", "").alias("cv_key"))
+    parsed = files.withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.where("r is not null and r._corrupt_record is null").select("r.*", "cv_key").drop("_corrupt_record")
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +54,16 @@ def run_log(spark: SparkSession, path: str, name: str, status: str, metadata: di
 
 
 def promote(spark: SparkSession, staging: str, final: str, snapshot: str) -> None:
-    """Keeps the final table as a snapshot and puts the staged one in its place; the staged one is read whole first."""
-    staged = spark.read.parquet(staging)
+    """Puts the staged table in the place of the final one, which becomes the snapshot. The staged rows are first written whole
+    beside the final table; then two renames follow, so that no reader sees half a table. There must be no snapshot of that name."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(final)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        spark.read.parquet(final).write.mode("errorifexists").parquet(snapshot)
-    staged.write.mode("overwrite").parquet(final)
+    target, kept, fresh = hadoop.Path(final), hadoop.Path(snapshot), hadoop.Path(f"{final.rstrip('/')}.new-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(kept):
+        raise ValueError(f"there is a snapshot already: {snapshot}")
+    spark.read.parquet(staging).write.parquet(fresh.toString())
+    files.mkdirs(kept.getParent())
+    if files.exists(target) and not files.rename(target, kept):
+        raise OSError(f"cannot move {final} to {snapshot}")
+    if not files.rename(fresh, target):
+        raise OSError(f"cannot move the new table to {final}")
