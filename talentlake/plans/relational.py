@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import drift as drift_of
 from ..functions.scores import grade, ratio
-from ..operators import labels, ordinals, tables
+from ..operators import labels, ordinals, qa, tables
 from .base import Registry, table
 
 R = Registry()
@@ -244,3 +244,47 @@ def label_load(spark, sf):
     file, known = _label_file(spark, sf)
     merged, _ = labels.load_labels(_old_labels(spark, sf), file, known, ["doc_id", "version"])
     return merged.select("cv_id", "labeled_at", "final_label_score")
+
+
+def _qa_jobs(spark, sf):
+    d, k, c = table(spark, sf, "documents"), F.col("doc_id"), F.col("n_chars")
+    words = F.filter(F.split(F.substring("text", 1, 60), " "), lambda w: F.length(w) > 6)
+    return d.select(
+        F.col("source").alias("job_title_display"), F.when(k % 7 > 0, F.col("source")).alias("job_title_canonical"), F.when(F.col("lang") == "en", "known").otherwise(" Unknown").alias("job_family"), F.when(k % 3 == 0, "Paris").alias("location_city"),
+        F.when(k % 5 > 0, k % 4 == 0).alias("is_multi_location"), F.when(c > 800, "remote").when(c > 200, "unknown").alias("work_mode"), F.when(c % 2 == 0, c).alias("salary_min_vnd_month"), F.when(c % 2 == 0, c * 2).alias("salary_max_vnd_month"),
+        (c % 9 == 0).alias("salary_is_negotiable"), F.when(k % 6 < 4, k % 6).alias("experience_min_years"), F.split("source", "r").alias("tags_list"), words.alias("skills_extracted"), F.when(k % 2 == 0, words).alias("skills_required"),
+        F.col("lang").alias("job_text_sparse"), F.when(k % 8 > 0, F.col("text")).alias("job_text_match"), (k % 10 < 3).cast("int").alias("has_dense_embedding"),
+    )
+
+
+@R.add("""WITH j AS (SELECT *, len(list_filter(string_split(text[1:60], ' '), lambda w: length(w) > 6)) AS skills, doc_id AS k, n_chars AS c FROM documents),
+          s AS (SELECT length(text) AS n FROM conversations)
+          SELECT count(*) AS n_jobs, round(avg((source IS NULL)::INT::DOUBLE), 6) AS pct_missing_job_title_display, round(avg((k % 7 = 0)::INT::DOUBLE), 6) AS pct_missing_job_title_canonical, round(avg((lang IS DISTINCT FROM 'en')::INT::DOUBLE), 6) AS pct_unknown_job_family,
+                 round(avg((k % 3 <> 0)::INT::DOUBLE), 6) AS pct_missing_location_city, round(avg((k % 5 > 0 AND k % 4 = 0)::INT::DOUBLE), 6) AS pct_true_is_multi_location, round(avg((c > 200 AND c <= 800)::INT::DOUBLE), 6) AS pct_unknown_work_mode,
+                 round(avg((c % 2 <> 0)::INT::DOUBLE), 6) AS pct_missing_salary_min, round(avg((c % 2 <> 0)::INT::DOUBLE), 6) AS pct_missing_salary_max, round(avg((c % 9 = 0)::INT::DOUBLE), 6) AS pct_negotiable_salary,
+                 round(avg((k % 6 >= 4)::INT::DOUBLE), 6) AS pct_missing_experience_min, round(avg(len(string_split(source, 'r'))::DOUBLE), 6) AS avg_tags_per_job, round(avg(skills::DOUBLE), 6) AS avg_skills_per_job,
+                 round(avg(CASE WHEN k % 2 = 0 THEN skills ELSE 0 END::DOUBLE), 6) AS avg_required_skills_per_job, round(avg((skills = 0)::INT::DOUBLE), 6) AS pct_jobs_without_skills, round(avg(length(lang)::DOUBLE), 6) AS avg_job_text_sparse_len,
+                 round(avg(CASE WHEN k % 8 > 0 THEN length(text) ELSE 0 END::DOUBLE), 6) AS avg_job_text_match_len, round(avg((k % 10 < 3)::INT::DOUBLE), 6) AS job_has_dense_embedding_rate,
+                 (SELECT count(*) FROM s) AS n_sections, (SELECT round(avg(n::DOUBLE), 6) FROM s) AS avg_section_chunk_len, 0 AS absent FROM j""")
+def quality_row_full(spark, sf):
+    """The QA row over all documents as jobs and all turns as sections; what the tables lack is null, and counted."""
+    row = qa.qa_row(_qa_jobs(spark, sf), table(spark, sf, "conversations").select(F.col("text").alias("chunk_text")))
+    absent = ["pct_missing_experience_max", "pct_unknown_experience_type", "pct_unknown_education_level", "pct_unknown_employment_type", "pct_unknown_job_level", "avg_preferred_skills_per_job", "avg_job_text_chatbot_len", "section_has_dense_embedding_rate"]
+    kept = [c for c in row.columns if c not in absent]
+    counted = sum((F.col(c).isNotNull().cast("int") for c in absent), F.lit(0)).alias("absent")
+    return row.select(*[F.round(c, 6).alias(c) if not c.startswith("n_") else F.col(c) for c in kept], counted)
+
+
+@R.add("""SELECT 'r1' AS run, 'orders' AS name, (SELECT count(*) FROM orders) AS rows, 2 AS columns, 'o_orderkey:bigint,o_custkey:bigint' AS schema UNION ALL SELECT 'r1', 'urgent', (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT'), 1, 'o_orderkey:bigint'""")
+def load_manifest(spark, sf):
+    """What a load has written: a row for each table."""
+    o = table(spark, sf, "orders")
+    return qa.manifest({"orders": o.select("o_orderkey", "o_custkey"), "urgent": o.where("o_orderpriority = '1-URGENT'").select("o_orderkey")}, "r1")
+
+
+@R.add("""SELECT count(*) AS n_rows, round((count(*) - count(DISTINCT split_part(url, '/', 4)))::DOUBLE / count(*), 6) AS dup_by_url_ratio, round(avg((length(title) > 0 AND length(html) > 400)::INT::DOUBLE), 6) AS has_minimum_content_ratio
+          FROM (SELECT url, html, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages)""")
+def audit_row(spark, sf):
+    """The audit before cleaning: repeated addresses, and pages with a title and a body."""
+    p = table(spark, sf, "pages").select(F.split_part("url", F.lit("/"), F.lit(4)).alias("url"), F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.when(F.length("html") > 400, F.col("html")).alias("body"), F.lit("").alias("none"))
+    return qa.audit_row(p, "url", "title", ["body", "none"]).select("n_rows", *[F.round(c, 6).alias(c) for c in ("dup_by_url_ratio", "has_minimum_content_ratio")])
