@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import build, jobs, scores, text
+from ..functions import build, jobs, questions, scores, text
 from ..operators import refdata
 from .base import Registry, table
 
@@ -166,3 +166,35 @@ def briefs(spark, sf):
 def pair_template(spark, sf):
     """Pairs to judge: ten jobs for each cv, going round all jobs."""
     return refdata.template(table(spark, sf, "customer").select(F.col("c_custkey").alias("cv_id")), table(spark, sf, "part").select(F.col("p_partkey").alias("job_id")), 10)
+
+
+_ASKED = """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ' Score' WHEN 1 THEN '' WHEN 3 THEN 'other' END AS stated, CASE conv_id % 5 WHEN 0 THEN 'general' WHEN 1 THEN 'none' END AS guessed,
+            CASE conv_id % 7 WHEN 0 THEN 'Gợi ý việc làm' WHEN 1 THEN 'Cải thiện CV' WHEN 2 THEN 'Chấm điểm' WHEN 3 THEN 'A JOB in Spark' WHEN 4 THEN 'React Native roadmap' WHEN 5 THEN 'Kỹ năng C# và .NET' ELSE role END AS q FROM conversations"""
+
+
+@R.add(f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'score' WHEN conv_id % 7 = 3 THEN 'recommend' WHEN conv_id % 7 = 4 THEN 'improve_cv' ELSE 'score' END AS career,
+                  CASE WHEN turn % 4 = 0 THEN 'score' WHEN guessed = 'general' THEN 'general' WHEN regexp_matches(strip_accents(lower(q)), 'cai thien|roadmap|ky nang') THEN 'improve_cv' WHEN regexp_matches(strip_accents(lower(q)), 'goi y|viec lam|job') THEN 'recommend' ELSE 'general' END AS guest,
+                  CASE WHEN contains(lower(q), 'spark') OR contains(lower(q), 'ai') THEN 'DATA_AI' WHEN contains(lower(q), 'react') THEN 'WEB' WHEN contains(lower(q), 'c#') THEN 'BACKEND' ELSE 'GENERAL' END AS domain,
+                  CASE WHEN contains(lower(q), 'spark') THEN 'SQL,spark sql,java,react' WHEN contains(lower(q), 'react') THEN 'react,java,SQL,spark sql' WHEN contains(lower(q), 'c#') THEN 'java,SQL,spark sql,react' ELSE 'java,SQL,react,spark sql' END AS ordered
+           FROM ({_ASKED})""")
+def question_routing(spark, sf):
+    """Intents by both classifiers, the domain of composed questions, and skills in its order."""
+    k, t = F.col("conv_id") % 7, F.col("turn") % 4
+    q = F.when(k == 0, "Gợi ý việc làm").when(k == 1, "Cải thiện CV").when(k == 2, "Chấm điểm").when(k == 3, "A JOB in Spark").when(k == 4, "React Native roadmap").when(k == 5, "Kỹ năng C# và .NET").otherwise(F.col("role"))
+    stated, guessed = F.when(t == 0, " Score").when(t == 1, "").when(t == 3, "other"), F.when(F.col("conv_id") % 5 == 0, "general").when(F.col("conv_id") % 5 == 1, "none")
+    owned = F.array(*[F.lit(s) for s in ("java", "SQL", "react", "spark sql")])
+    c = table(spark, sf, "conversations").select("conv_id", "turn", questions.career_intent(stated, q).alias("career"), questions.guest_intent(stated, q, guessed).alias("guest"), questions.domain(q).alias("domain"))
+    return c.withColumn("ordered", F.array_join(questions.skills_of_domain_first(owned, F.col("domain")), ","))
+
+
+@R.add("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Chưa có mô tả chi tiết.' ELSE concat_ws(' | ', years, CASE WHEN o_orderkey % 3 = 0 THEN 'Số lượng tuyển: ' || n || ' người' END,
+                 CASE WHEN length(req) > 220 THEN left(req, 220) || '...' ELSE req END) END AS description
+          FROM (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'Kinh nghiệm: ' || n || '-' || (n + 1) || '.5 năm' WHEN 1 THEN 'Kinh nghiệm tối thiểu: ' || n || ' năm' WHEN 2 THEN 'Kinh nghiệm tối đa: ' || (n + 1) || '.5 năm' END AS years,
+                  CASE WHEN o_orderkey % 3 = 0 THEN 'Số lượng tuyển: ' || n || ' người, ' ELSE '' END || trim(repeat(o_orderpriority || ' ', (o_custkey % 30 + 1)::INT)) AS req FROM (SELECT *, o_custkey % 9 AS n FROM orders))""")
+def job_descriptions(spark, sf):
+    """Short descriptions of composed jobs."""
+    k, n = F.col("o_orderkey"), F.col("o_custkey") % 9
+    text = F.concat(F.when(k % 3 == 0, F.concat(F.lit("Số lượng tuyển: "), _s(n), F.lit(" người,  "))).otherwise(""), F.expr("repeat(o_orderpriority || ' ', int(o_custkey % 30 + 1))"))
+    none = k % 7 == 0
+    low, high = F.when(~none & (k % 4).isin(0, 1), n.cast("double")), F.when(~none & (k % 4).isin(0, 2), n + F.lit(1.5))
+    return table(spark, sf, "orders").select("o_orderkey", questions.job_description(F.when(~none, text), low, high).alias("description"))
