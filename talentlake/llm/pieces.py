@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -346,10 +347,10 @@ def blocks(segments: list[str], places: int = 200_000) -> Iterator[list[str]]:
 def encode_documents(known: Segments, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray, str]]]:
     """The ``n`` best segmentations of each text, as (score, ids, decoded text)."""
     split = [SEGMENT.findall(known.model.prepare(t)) for t in texts]
-    known.learn({s for ss in split for s in ss}, n)
+    known.learn(set().union(*split), n)
     places, chosen = [], []
     for segments in split:
-        at = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
+        at = np.array(_picked(known, segments), np.int64)
         loss = known.loss[at]
         few = np.argpartition(loss, n - 1)[: n - 1] if len(loss) >= n else np.arange(len(loss))
         places.append(at)
@@ -359,11 +360,16 @@ def encode_documents(known: Segments, texts: list[str], n: int) -> Iterator[list
         yield _document_n_best(known, segments, at, ks, n)
 
 
+def _picked(source: dict | list, keys: list) -> list:
+    """What ``source`` has under each of ``keys``, in one call."""
+    return list(itemgetter(*keys)(source)) if len(keys) > 1 else [source[k] for k in keys]
+
+
 def _document_n_best(known: Segments, segments: list[str], at: np.ndarray, chosen: list[int], n: int) -> list[tuple[float, np.ndarray, str]]:
     sizes = known.starts[at + 1] - known.starts[at]
     ends = np.cumsum(sizes)
     ids = known.ids[np.repeat(known.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    spelled = [known.bytes[k] for k in at.tolist()]
+    spelled = _picked(known.bytes, at.tolist())
     total = float(known.best[at].sum())
     ways: list[tuple[float, tuple]] = [(0.0, ())]
     for k in chosen:

@@ -105,6 +105,39 @@ def test_quality_counts(odd, docs, empty):
     assert quality.quality_report(empty).count() == 0
 
 
+def test_quality_fences_are_those_of_exact_quantiles(spark, monkeypatch):
+    """In groups that a sketch holds whole, verdicts equal fences from sorted rates; small groups use their language, small languages all."""
+    monkeypatch.setattr(quality, "LEAST_ROWS", 20)
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for lang, source, n in (("en", "a", 60), ("en", "b", 25), ("en", None, 4), (None, "a", 30), ("fr", "c", 7), ("fr", "a", 5)):
+        for _ in range(n):
+            text = [rng.choice(words) + rng.choice(["", "", "", "", "#", "%$"]) for _ in range(rng.randint(8, 40))]
+            if rng.random() < 0.2:
+                text = [w.upper() if rng.random() < 0.6 else w for w in text] + ["|||||"] * rng.randint(0, 9)
+            if rng.random() < 0.1:
+                text = [w * rng.randint(1, 4) for w in text]
+            rows.append((len(rows), " ".join(text) + rng.choice(["", "\nline\nline\nline"]), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = {r.doc_id: r for r in quality.quality_report(df).collect()}
+    of_lang, of_both = collections.defaultdict(list), collections.defaultdict(list)
+    for i, _, lang, source in rows:
+        of_lang[lang].append(i)
+        of_both[lang, source].append(i)
+    seen = collections.Counter()
+    for i, _, lang, source in rows:
+        group = of_both[lang, source] if len(of_both[lang, source]) >= 20 else of_lang[lang] if len(of_lang[lang]) >= 20 else list(got)
+        want = not got[i].base_failed
+        for rate, slack in quality.RATES.items():
+            values = sorted(got[g][rate] for g in group)
+            low, high = (values[-(-len(values) * q // 100) - 1] for q in (25, 75))
+            want = want and got[i][rate] <= high + quality.SPREAD * (high - low) + slack
+        assert got[i].kept == want, i
+        seen[want] += 1
+    assert seen[True] > 50 and seen[False] > 5
+
+
 def test_quality_keeps_rows_whole(odd):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns
