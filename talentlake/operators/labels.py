@@ -57,13 +57,13 @@ def typed(labels: DataFrame) -> DataFrame:
 
 
 def reasons(table: list[Rule]) -> Column:
-    """The names of the rules that a typed row breaks, up to the first fatal one."""
-    broken = [F.coalesce(F.expr(r.broken), F.lit(False)) for r in table]
-    out = F.array().cast("array<string>")
-    for rule, test in reversed(list(zip(table, broken))):
-        rest = F.array().cast("array<string>") if rule.fatal else out
-        out = F.when(test, F.concat(F.array(F.lit(rule.name)), rest)).otherwise(out)
-    return out
+    """The names of the rules that a typed row breaks, up to the first fatal one. The expression grows with the rules: no part of it holds another twice."""
+    out, stopped = [], F.lit(False)
+    for rule in table:
+        broken = F.coalesce(F.expr(rule.broken), F.lit(False))
+        out.append(F.when(broken & ~stopped, F.lit(rule.name)))
+        stopped = stopped | broken if rule.fatal else stopped
+    return F.filter(F.array(*out), lambda name: name.isNotNull())
 
 
 def sql_checks(view: str, table: list[Rule]) -> str:

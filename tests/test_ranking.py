@@ -93,6 +93,13 @@ def test_the_same_rules_as_sql(spark):
     assert ours["role is empty"] == 1 and ours["final_label_score out of bounds"] == 1 and ours["grade does not fit the score"] == 2
 
 
+def test_reasons_grow_with_the_rules_only(spark):
+    """Twice the rules make an expression twice as long; a tree of conditions doubled with every rule."""
+    table = labels.rules()
+    some, twice = len(str(labels.reasons(table))), len(str(labels.reasons(table + table)))
+    assert twice < 5 * some and some < 20_000
+
+
 def test_labels_need_their_columns(spark):
     with pytest.raises(ValueError, match="grade"):
         labels.typed(label_rows(spark, [{}]).drop("grade"))
