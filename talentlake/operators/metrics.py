@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
 from ..storage import staged
-from .ordinals import average_ranks
+from .ordinals import average_ranks, prefix_sums
 
 
 def ranking_metrics(predictions: DataFrame, qrels: DataFrame, group: list[str], item: str, k: int) -> DataFrame:
@@ -129,3 +131,40 @@ def merge_sketches(sketches: DataFrame, groups: list[str]) -> DataFrame:
 def sketched_quantiles(sketches: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
     """``groups``, n and a column for each share: the least value that so many are no larger than, by the sketch."""
     return sketches.select(*groups, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()])
+
+
+def exact_quantiles(df: DataFrame, sketches: DataFrame, group: str, value: Column, shares: dict[str, float]) -> DataFrame:
+    """``group``, n and a column for each share: the least value of ``df`` that so many are no larger than, exactly; null values do not count.
+
+    ``sketches`` (group, n, sketch) are those of the same values: they say between which two values an answer should lie, with three
+    times their error to either side. One pass then counts what lies below and keeps what lies between, some hundredth of all. Where
+    a sketch was wrong, or has no room to a side, all of the group's values are looked at, so the result never depends on it."""
+    rows = df.select(F.col(group).alias("_g"), value.cast("double").alias("_v")).where("_v is not null")
+    at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    marks = []
+    for name, p in shares.items():
+        low, high = p - 3 * SKETCH_ERROR, p + 3 * SKETCH_ERROR
+        low, high = at(low) if low > 0 else F.lit(None).cast("double"), at(high) if high < 1 else F.lit(None).cast("double")
+        marks.append(F.struct(F.lit(name).alias("name"), F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(Decimal(str(p)))).cast("long").alias("nth"), low.alias("low"), high.alias("high")))
+    asked = staged(sketches.select(F.col(group).alias("_h"), F.explode(F.array(*marks)).alias("m")).select("_h", "m.*"), "quantile-marks")
+
+    def found(marks: DataFrame) -> DataFrame:
+        """_h, name, nth, and the value at that place (null where it lies outside the marks)."""
+        met = rows.join(F.broadcast(marks), F.col("_g").eqNullSafe(F.col("_h")))  # a row for each group and share
+        below, above = F.coalesce(F.col("_v") < F.col("low"), F.lit(False)), F.coalesce(F.col("_v") > F.col("high"), F.lit(False))
+        cells = met.where(~above).groupBy("_h", "name", F.when(~below, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        placed = prefix_sums(cells, ["_h", "name"], ["_v"], "_n", "_before", "quantiles")  # what lies below is the null before all
+        named = marks.select(F.col("_h").alias("_k"), F.col("name").alias("_name"), "nth")
+        hit = placed.join(F.broadcast(named), F.col("_h").eqNullSafe(F.col("_k")) & (F.col("name") == F.col("_name")))
+        here = F.col("_v").isNotNull() & (F.col("_before") < F.col("nth")) & (F.col("nth") <= F.col("_before") + F.col("_n"))
+        return hit.groupBy("_h", "name").agg(F.max(F.when(here, F.col("_v"))).alias("answer"))
+
+    first = staged(found(asked), "quantile-answers")
+    answers = first.where("answer is not null")
+    had = answers.select(F.col("_h").alias("_b"), F.col("name").alias("_had"))
+    left = asked.join(had, F.col("_h").eqNullSafe(F.col("_b")) & (F.col("name") == F.col("_had")), "left_anti")
+    if not left.isEmpty():
+        open_ = staged(left.withColumns({c: F.lit(None).cast("double") for c in ("low", "high")}), "quantile-open")
+        answers = answers.unionByName(found(open_))
+    wide = answers.groupBy("_h").agg(*[F.max(F.when(F.col("name") == name, F.col("answer"))).alias(name) for name in shares])
+    return sketches.select(group, "n").join(wide, F.col(group).eqNullSafe(F.col("_h"))).select(group, "n", *shares)

@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talentlake.operators import labels, metrics, rank, skills
@@ -127,3 +128,18 @@ def test_merged_sketches_keep_their_error(spark):
     assert r.n == n
     for share, found in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
         assert abs(np.searchsorted(values, found) / n - share) < metrics.SKETCH_ERROR
+
+
+def test_quantiles_are_exact_whatever_the_sketch_says(spark):
+    n = 60_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(7, 5.0), (7, None), (7, 4.0)], "g long, v double"))
+    sketches = metrics.quantile_sketches(df, ["g"], F.col("v"), 64)
+    wrong = sketches.select("g", "n", F.first("sketch").over(Window.partitionBy(F.lit(1)).orderBy("n")).alias("sketch"))  # the small group's for all
+    values = collections.defaultdict(list)
+    for r in df.where("v is not null").orderBy("v").collect():
+        values[r.g].append(r.v)
+    want = {(g, len(v), *[v[-(-len(v) * p // 1000) - 1] for p in (500, 950, 999)]) for g, v in values.items()}
+    for known in (sketches, wrong):
+        got = metrics.exact_quantiles(df, known, "g", F.col("v"), {"p50": 0.5, "p95": 0.95, "p999": 0.999})
+        assert {tuple(r) for r in got.collect()} == want
