@@ -193,13 +193,12 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> Dat
     answer = _answers(placed, above, fanout, levels)
     ends = upper.select(F.col("lang_key").alias("tree"), F.col("digest").alias("subroot")).crossJoin(F.broadcast(roots.select(F.col("digest").alias("root"))))
     out = answer.join(ends, "tree")
-    folded = F.coalesce("folded", "root")
-    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
 def _answers(placed: DataFrame, above: DataFrame, fanout: int, levels: int) -> DataFrame:
-    """(tree, doc_id, leaf, proof_sha256, folded): what each leaf's siblings say; ``folded`` for changed leaves only. Paths are made
-    and used leaf by leaf inside a block, so proofs are never stored."""
+    """(tree, doc_id, leaf, proof_sha256, folded): what each leaf's siblings say; ``folded`` is hashed up from every leaf, as it is after
+    tampering where that changes it. Paths are made and used leaf by leaf inside a block, so proofs are never stored."""
     per = fanout**levels
 
     def run(key: tuple, table: pa.Table, upper: pa.Table) -> pa.Table:
@@ -208,10 +207,10 @@ def _answers(placed: DataFrame, above: DataFrame, fanout: int, levels: int) -> D
         rest = [(p["l"].encode(), p["r"].encode()) for p in upper["path"][0].as_py()]
         tail = b"".join(a + b for a, b in rest)
         proofs, folded = [], []
-        for i, changed in enumerate(table["changed"].to_pylist()):
+        for i, (digest, changed) in enumerate(zip(table["digest"].to_pylist(), table["changed"].to_pylist())):
             path = siblings(own, i, fanout)
             proofs.append(hashlib.sha256(b"".join(a + b for a, b in path) + tail).hexdigest())
-            folded.append(refold(changed.encode(), path + rest).decode() if changed is not None else None)
+            folded.append(refold((digest if changed is None else changed).encode(), path + rest).decode())
         return pa.table({"tree": table["tree"], "doc_id": table["doc_id"], "leaf": table["digest"], "proof_sha256": pa.array(proofs, pa.string()), "folded": pa.array(folded, pa.string())})
 
     _ship(placed)

@@ -100,6 +100,15 @@ def test_fold_keeps_runs_in_order():
     assert [[bytes(d).decode() for d in level] for level in merkle.fold(matrix, 8, 3)] == climb(digests)
 
 
+def test_unchanged_leaves_are_folded_too(spark):
+    """The root of every row is hashed up from its leaf: where siblings do not belong to it, an untampered row says so as well."""
+    leaves = [h("a"), h("b")]
+    placed = spark.createDataFrame([("=en", i, 2, d, None, i) for i, d in enumerate(leaves)], "tree string, place long, n long, digest string, changed string, doc_id long")
+    above = spark.createDataFrame([("=en", 0, [("x", "y")])], f"tree string, place long, path {merkle._ABOVE}")
+    got = {r.folded for r in merkle._answers(placed, above, 8, 4).collect()}
+    assert got == {h("x" + h("".join(leaves)) + "y")}
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_twin(spark, sf):
     con = duckdb.connect()
