@@ -49,8 +49,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that a Jaccard similarity of 0.8 over 5-word shingles links the one with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs, shingle=5, similarity=(4, 5))
+    """Of documents that fingerprints within 3 bits, as in op3, or a Jaccard similarity of 0.8 over 5-word shingles link the one with
+    the smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs, similarity=(4, 5), set_shingle=5)
 
 
 @_stage

@@ -202,8 +202,8 @@ def _candidates(places: DataFrame, least: tuple[int, int], roots: DataFrame | No
     return met.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
 
 
-def _links(known: DataFrame, points: DataFrame, rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
-    """(node, root) over the keys that links connect; ``known`` is released."""
+def _links(known: DataFrame, points: DataFrame, rows: DataFrame, size: int, least: tuple[int, int], more: DataFrame | None = None) -> DataFrame:
+    """(node, root) over the keys that links connect, those of ``more`` (a, b) too; ``known`` is released."""
     num, den = least
     named, linked = points.select("key", "least"), F.col("common") * den >= F.col("total") * num
     places = cut(_places(known), "jaccard-places")
@@ -236,17 +236,27 @@ def _links(known: DataFrame, points: DataFrame, rows: DataFrame, size: int, leas
         edges = edges.unionByName(_compared(border, _sets_of(_both(border), named, rows, size)).where(linked).select("a", "b"))
     if roots is not None:
         edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return components(edges)
+    return components(edges if more is None else edges.unionByName(more))
 
 
-def near_classes(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """doc_id, rev, and `least` (doc_id, rev) of every row: the first row, nulls last, of those its links reach."""
+def _stars(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links of the keys of each class (doc_id, rev, class) with the least of them, fewer than there are keys."""
+    mark = classes.select(F.col("doc_id").alias("_id"), F.col("rev").alias("_rev"), "class").distinct()
+    held = own.join(mark, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rev") == F.col("_rev"))).select("class", "key").distinct()
+    first = held.groupBy("class").agg(F.min("key").alias("b"))
+    return held.join(first, "class").where("key <> b").select(F.col("key").alias("a"), "b")
+
+
+def near_classes(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] = LEAST, classes: DataFrame | None = None) -> DataFrame:
+    """doc_id, rev, and `least` (doc_id, rev) of every row: the first row, nulls last, of those its links reach. Rows of one class in
+    ``classes`` (doc_id, rev, class), by whatever made it, are linked too."""
     rows = _numbered(docs)
     known = cut(_known(rows, size, least), "jaccard-known")
     own = cut(known.select("doc_id", "rev", "key", "n"), "jaccard-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rev"))
     points = cut(own.groupBy("key").agg(first.alias("least"), F.first("n").alias("n")), "jaccard-points")
-    roots = _links(known, points, rows, size, least)
+    more = None if classes is None else cut(_stars(own, classes), "jaccard-classes")
+    roots = _links(known, points, rows, size, least, more)
     named = points.select("key", "least")
     placed = named.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("least").alias("first"))
@@ -254,15 +264,15 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] =
     return own.select("doc_id", "rev", "key").join(answer, "key").select("doc_id", "rev", "least")
 
 
-def drop_similar(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of texts that links of at least ``least`` connect the one
-    with the smallest doc_id.
+def drop_similar(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] = LEAST, classes: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of texts that links of at least ``least``, or of one class as in
+    ``near_classes``, connect the one with the smallest doc_id.
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space; null and empty texts are equal. Rows that repeat
     both doc_id and text stay or go together; of rows that share a doc_id but not the text, a hash of the text decides;
     null ids come last. Only what goes is joined with the texts. An empty table stays empty."""
     id_, rev = free_name(docs, "near_id", "near_rev")
-    rows = near_classes(docs, size, least)
+    rows = near_classes(docs, size, least, classes)
     goes = rows.where(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("rev") == F.col("least.rev"))))
     goes = cut(goes.select(F.col("doc_id").alias(id_), F.col("rev").alias(rev)).distinct(), "jaccard-goes")
     return docs.join(goes, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.hash(F.coalesce(docs["text"], F.lit(""))) == F.col(rev)), "left_anti")

@@ -9,9 +9,9 @@ leave. Each two points within RADIUS meet in the home leaf of either, so links a
 Within a shard links are joined into trees at once (a spanning forest), so a dense group of n points gives under n
 edges, and Spark finds the components of those.
 
-``drop_near_duplicates`` has a second mode for a stated similarity of word shingles, which 64 bits cannot decide: there the
-points are sets of shingles, the distance is Jaccard's, and shards are those of ``jaccard``; vantage points and triangle bounds
-prune in the same way.
+``drop_near_duplicates`` also takes a stated similarity of word shingles, which 64 bits cannot decide. The links of fingerprints
+are found as ever, and those of ``jaccard`` come to them: there the points are sets of shingles, the distance is Jaccard's, and
+vantage points and triangle bounds prune in the same way. Components are those of both kinds of links together.
 """
 
 from __future__ import annotations
@@ -187,6 +187,14 @@ def near_links(points: DataFrame, reach: int = RADIUS, shards: int | None = None
     return points.select("fp").mapInArrow(route, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(shard_edges, "a long, b long")
 
 
+def _classes(docs: DataFrame, shingle: int, reach: int, shards: int | None) -> DataFrame:
+    """(doc_id, rev, class) of every row: a point of its component."""
+    known = cut(fingerprints(docs, shingle), "simhash-fingerprints")
+    points = cut(known.select("fp").distinct(), "simhash-points")
+    roots = components(near_links(points, reach, shards)).withColumnRenamed("node", "fp")
+    return known.join(roots, "fp", "left").select("doc_id", "rev", F.coalesce("root", "fp").alias("class"))
+
+
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None) -> DataFrame:
     """doc_id, rev, fp and `least` (doc_id, rev) of every row: the first row, nulls last, of those its links reach."""
     known = cut(fingerprints(docs, shingle), "simhash-fingerprints")
@@ -209,14 +217,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None, similarity: tuple[int, int] | None = None) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, shards: int | None = None, similarity: tuple[int, int] | None = None, set_shingle: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest doc_id. Links are
-    fingerprints within ``reach`` bits or, with ``similarity`` (a fraction), a Jaccard similarity of so much over shingles.
+    fingerprints within ``reach`` bits and, with ``similarity`` (a fraction), also a Jaccard similarity of so much over shingles of
+    ``set_shingle`` words (without it of ``shingle``).
 
     Rows that repeat both doc_id and text are one document and stay or go together; of rows that share a doc_id but not
     the text, a hash of the text decides; null ids come last."""
     if similarity is not None:
-        return drop_similar(docs, shingle, similarity)
+        return drop_similar(docs, set_shingle or shingle, similarity, _classes(docs, shingle, reach, shards))
     id_, rev = free_name(docs, "near_id", "near_rev")
     rows = near_classes(docs, shingle, reach, shards)
     stays = rows.where(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("rev") == F.col("least.rev")))

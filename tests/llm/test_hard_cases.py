@@ -150,3 +150,23 @@ def test_similarity_mode_finds_planted_near_copies(spark, monkeypatch):
                 root[max(x, y)] = min(x, y)
     assert kept == {k for k in range(len(texts)) if find(k) == k}
     assert set(range(25)) <= kept and not set(range(25, 40)) & kept
+
+
+def test_similarity_comes_to_the_links_of_fingerprints(spark):
+    """Texts whose fingerprints are close are one document, whatever their similarity; similar ones with distant fingerprints too."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(500)]
+    base = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(12)]
+    texts = base + [near_copies(rng, words, t, 7) for t in base[:6] for _ in range(8)] + [near_copies(rng, words, t, 2) for t in base[6:9]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bits = [simhash.fingerprint(t.encode(), 3) for t in texts]
+    sets = [frozenset(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    kinds = {(a, b): ((bits[a] ^ bits[b]).bit_count() <= 8, 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) for a in range(len(texts)) for b in range(a)}
+    assert (True, False) in kinds.values() and (False, True) in kinds.values()
+    root = list(range(len(texts)))
+    for _ in texts:
+        for (a, b), linked in kinds.items():
+            if any(linked):
+                root[a] = root[b] = min(root[a], root[b])
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs, reach=8, similarity=(4, 5), set_shingle=5).collect()}
+    assert kept == {k for k in range(len(texts)) if root[k] == k}
