@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, match_key
+from ..storage import staged
 
+#: What tokens lie between.
+_SPACE = r"[ \n\r\t]+"
 #: Characters of the grams that texts and contained words meet by.
 GRAM = 3
 
@@ -123,12 +126,20 @@ def contained(texts: DataFrame, text: str, words: DataFrame, word: str, gram: in
 
 
 def contained_in(df: DataFrame, key: str, text: str, words: DataFrame, word: str, gram: int = GRAM) -> DataFrame:
-    """(key, word) for every row of ``df`` and word that its ``text`` contains, case-sensitively: ``contained`` for long texts, which
-    are exchanged once, after it is known which words can be in them. ``key`` tells rows apart."""
-    met = _meetings(df, [key], text, words, word, gram)
-    if met is None:
-        return df.select(key, F.lit(None).cast("string").alias(word)).limit(0)
-    return df.select(key, text).join(met, key).where(F.contains(text, F.col("_w"))).select(key, F.col("_w").alias(word)).distinct()
+    """(key, word) for every row of ``df`` and word that its ``text`` contains, case-sensitively: ``contained`` for long texts. ``key``
+    tells rows apart.
+
+    A word without a space stands inside one token (what lies between spaces and line ends), so it is looked for in the distinct tokens of all texts
+    and texts are not exchanged. Words with spaces meet the texts, which are exchanged once, after it is known which can be in them."""
+    w = words.select(F.col(word).alias("_w")).where("_w <> ''").distinct()
+    spaced = F.col("_w").rlike(_SPACE)
+    tokens = df.select(key, F.explode(F.array_distinct(F.split(F.col(text), _SPACE))).alias("_t")).where("_t <> ''")
+    inside = staged(contained(tokens, "_t", w.where(~spaced), "_w", gram), "token-words")  # its size is known, so that a small one is broadcast
+    found = tokens.join(inside, "_t").select(key, "_w")
+    met = _meetings(df, [key], text, w.where(spaced), "_w", gram)
+    if met is not None:
+        found = found.unionByName(df.select(key, text).join(met, key).where(F.contains(text, F.col("_w"))).select(key, "_w"))
+    return found.distinct().withColumnRenamed("_w", word)
 
 
 def _order(vocabulary: DataFrame) -> list[Column]:

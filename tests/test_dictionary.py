@@ -120,3 +120,21 @@ def test_dedup_keeps_the_first_in_order(spark):
     df = spark.createDataFrame([(["b", "A", "a", None, "B", "c", "a"],)], "x array<string>")
     assert df.select(rules.dedup_by(F.col("x"), lambda e: F.lower(e)).alias("k")).first().k == ["b", "A", "c"]
     assert re.fullmatch("b\nshort\nshort", df.select(rules.dedup_lines(F.lit("b\nshort\n\nshort")).alias("t")).first().t)
+
+
+def test_words_meet_tokens_and_not_texts(spark, monkeypatch):
+    """Words without a space are looked for in distinct tokens: no whole text goes through the join by grams for them."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c\n\td ") for _ in range(300)) for _ in range(40)] + [None, "", " a b"]
+    words = ["ab", "a", "d a", "ca", "\td", "abab", "c\n", "zz", ""]
+    met, seen = dictionary._meetings, []
+
+    def watched(rows, ids, text, given, word, gram):
+        seen.append((max((len(r[0]) for r in rows.select(text).collect() if r[0]), default=0), {r[0] for r in given.select(word).collect()}))
+        return met(rows, ids, text, given, word, gram)
+
+    monkeypatch.setattr(dictionary, "_meetings", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = sorted(map(tuple, dictionary.contained_in(df, "id", "text", spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()))
+    assert got == sorted((i, w) for i, t in enumerate(texts) for w in words if w and t and w in t)
+    assert all(length < 100 or all(" " in w or "\n" in w or "\t" in w for w in given) for length, given in seen)
