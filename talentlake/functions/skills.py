@@ -39,7 +39,7 @@ def split_segments(text: Column) -> Column:
 
 def importance(segment_key: Column, source_field: Column) -> Column:
     """preferred hints, then the requirements field, then required hints, else mentioned."""
-    hit = lambda words: segment_key.rlike("|".join(rf"\b{w}\b" for w in words))
+    hit = lambda words: segment_key.rlike(rf"\b(?:{'|'.join(words)})\b")
     return F.when(hit(PREFERRED), "preferred").when(source_field == "requirements", "required").when(hit(REQUIRED), "required").otherwise("mentioned")
 
 

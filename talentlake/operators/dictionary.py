@@ -36,31 +36,30 @@ def aliases(vocabulary: DataFrame) -> DataFrame:
     return v.withColumn("n", F.size(atoms(F.col("alias"))))
 
 
-def _runs(a: Column, n: int) -> Column:
-    """All runs of ``n`` atoms that neither begin nor end with a space: gram, place, and the atoms around them."""
-    at = F.when(F.size(a) >= n, F.sequence(F.lit(0), F.size(a) - n)).otherwise(F.array().cast("array<int>"))
-    good = F.filter(at, lambda i: (F.get(a, i) != " ") & (F.get(a, i + n - 1) != " "))
-    gram = lambda i: F.concat(*[F.get(a, i + j) for j in range(n)])  # noqa: E731  a slice would copy the whole array each time
-    around = lambda i: F.when(i > 0, F.get(a, F.greatest(i - 1, F.lit(0)))).otherwise("")
-    return F.transform(good, lambda i: F.struct(gram(i).alias("gram"), i.alias("place"), around(i).alias("left"), F.coalesce(F.get(a, i + n), F.lit("")).alias("right")))
-
-
 def occurrences(df: DataFrame, key: Column, vocabulary: dict[str, list[str]] | DataFrame) -> DataFrame:
     """The columns of ``df`` with name, alias and place (of the atom, from 0): a row for each time an alias stands in the normalised
     text ``key``, not inside a longer word.
 
     Names such as c++, c# and .net work: where an alias begins or ends with a sign, no word may touch it there. Null and empty texts have
     no rows; equal rows of ``df`` each have theirs. The lengths of aliases are looked up first (as many numbers as there are different
-    ones); then texts meet the vocabulary in one join, which Spark broadcasts if the vocabulary is small."""
+    ones); then texts meet the vocabulary in one join. The vocabulary is written before, so that Spark knows its size and broadcasts
+    it if it is small: of unknown size it counts as larger than any text, and all runs of all texts would be broadcast or exchanged."""
+    word = lambda c: c.rlike(r"(?U)^\w")
     words = aliases(as_vocabulary(df.sparkSession, vocabulary))
+    # Which ends are words is asked once for an alias, not for each run of atoms.
+    words = staged(words.withColumns({"opens": word(F.col("alias")), "closes": F.col("alias").rlike(r"(?U)\w$")}), "aliases")
     lengths = sorted(r["n"] for r in words.select("n").distinct().collect())
     if not lengths:
         return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("alias", "string"), ("place", "int"))]).limit(0)
-    runs = let(atoms(F.coalesce(key, F.lit(""))), lambda a: F.flatten(F.array(*[_runs(a, n) for n in lengths])))
-    met = df.withColumn("_run", F.explode(runs)).join(words.drop("n").withColumnRenamed("alias", "_alias"), F.col("_run.gram") == F.col("_alias"))
-    word = lambda c: c.rlike(r"(?U)^\w")
-    free = (word(F.col("_alias")) | ~word(F.col("_run.left"))) & (F.col("_alias").rlike(r"(?U)\w$") | ~word(F.col("_run.right")))
-    return met.where(free).select(*df.columns, "name", F.col("_alias").alias("alias"), F.col("_run.place").alias("place"))
+    # Outer, as Spark would else filter by the size of `_a` and work it out twice for that.
+    rows = df.withColumn("_a", atoms(F.coalesce(key, F.lit("")))).select("*", F.posexplode_outer("_a").alias("_place", "_atom")).where("_atom <> ' '")
+    at = lambda j: F.get("_a", F.col("_place") + j)
+    rows = rows.withColumns({"_left": F.coalesce(at(-1), F.lit("")), "_after": F.array(*[F.coalesce(at(n), F.lit("")) for n in lengths]), "_grams": F.array(*[F.concat(*[at(j) for j in range(n)]) for n in lengths])})
+    met = rows.select(*df.columns, "_place", "_left", "_after", F.posexplode_outer("_grams").alias("_nth", "_gram")).where("_gram is not null")
+    met = met.withColumn("_right", F.get("_after", F.col("_nth"))).drop("_after", "_nth")
+    met = met.join(words.drop("n").withColumnsRenamed({"alias": "_alias", "opens": "_opens", "closes": "_closes"}), F.col("_gram") == F.col("_alias"))
+    free = (F.col("_opens") | ~word(F.col("_left"))) & (F.col("_closes") | ~word(F.col("_right")))
+    return met.where(free).select(*df.columns, "name", F.col("_alias").alias("alias"), F.col("_place").alias("place"))
 
 
 def names_in(df: DataFrame, keys: list[str], key: Column, vocabulary: dict[str, list[str]] | DataFrame) -> DataFrame:

@@ -15,9 +15,10 @@ def skill_records(df: DataFrame, key: list[str], fields: dict[str, Column], voca
     """key, skill, source_field, importance, excerpt: one row per skill, field and importance, with the first segment that
     names it. ``fields`` are the texts by source field; the vocabulary is a mapping or a table (name, alias) of any size."""
     texts = F.array(*[F.struct(F.lit(n).alias("source_field"), t.alias("text")) for n, t in fields.items()])
-    parts = df.select(*key, F.explode(texts).alias("f")).select(*key, "f.source_field", F.posexplode(split_segments(clean_light(F.col("f.text")))).alias("pos", "segment"))
-    parts = parts.withColumn("seg_key", plain_key(F.col("segment"))).where("seg_key <> ''")
-    parts = parts.withColumn("importance", importance(F.col("seg_key"), F.col("source_field"))).withColumn("segment", F.left("segment", F.lit(excerpt)))
+    keyed = F.transform(split_segments(clean_light(F.col("f.text"))), lambda s: F.struct(s.alias("segment"), plain_key(s).alias("seg_key")))  # in the array, as a filter behind it would work the key out twice
+    parts = df.select(*key, F.explode(texts).alias("f")).select(*key, "f.source_field", F.posexplode(keyed).alias("pos", "s"))
+    parts = parts.select(*key, "source_field", "pos", F.left("s.segment", F.lit(excerpt)).alias("segment"), F.col("s.seg_key").alias("seg_key")).where("seg_key <> ''")
+    parts = parts.withColumn("importance", importance(F.col("seg_key"), F.col("source_field")))
     found = occurrences(parts, F.col("seg_key"), vocabulary).withColumnRenamed("name", "skill")
     return found.groupBy(*key, "skill", "source_field", "importance").agg(F.min_by("segment", "pos").alias("excerpt"))
 
@@ -29,6 +30,12 @@ def skill_lists(records: DataFrame, key: list[str], importance: str | None = Non
     return records.groupBy(*key).agg(F.sort_array(F.collect_set(F.when(wanted, F.col("skill")))).alias("skills"))
 
 
+def lists_by_importance(records: DataFrame, key: list[str], importances: list[str]) -> DataFrame:
+    """key, skills and a list for each of ``importances`` under its name, as ``skill_lists`` makes them, in one pass over the records."""
+    each = {i: F.sort_array(F.collect_set(F.when(F.col("importance") == i, F.col("skill")))) for i in importances}
+    return records.groupBy(*key).agg(F.sort_array(F.collect_set("skill")).alias("skills"), *[c.alias(i) for i, c in each.items()])
+
+
 def role_skill_stats(records: DataFrame, role: str) -> DataFrame:
     """How many skill records each role has of each skill and importance."""
     return records.groupBy(role, "skill", "importance").agg(F.count(F.lit(1)).alias("job_count"))

@@ -429,9 +429,8 @@ def mean_pooling(spark, sf):
 @R.add(f"""SELECT doc_id, coalesce(string_agg(DISTINCT skill, ',' ORDER BY skill) FILTER (WHERE importance = 'required'), '') AS required, string_agg(DISTINCT skill, ',' ORDER BY skill) AS skills FROM ({RECORDS_SQL}) GROUP BY doc_id""")
 def skill_lists(spark, sf):
     """The skills of each job, all of them and the required ones."""
-    records = _records(spark, sf)
-    required = skills.skill_lists(records, ["doc_id"], "required").select("doc_id", F.array_join("skills", ",").alias("required"))
-    return skills.skill_lists(records, ["doc_id"]).select("doc_id", F.array_join("skills", ",").alias("skills")).join(required, "doc_id")
+    lists = skills.lists_by_importance(_records(spark, sf), ["doc_id"], ["required"])
+    return lists.select("doc_id", F.array_join("skills", ",").alias("skills"), F.array_join("required", ",").alias("required"))
 
 
 @R.add(f"""SELECT doc_id, coalesce(string_agg(DISTINCT skill, ',' ORDER BY skill), '') AS skills FROM (SELECT doc_id, {_KEY.format("text")} AS key FROM documents) LEFT JOIN (VALUES ('Erin', 'erin'), ('Edon', 'edon'), ('Dotted', '.edon')) v(skill, alias)

@@ -10,6 +10,7 @@ from talentlake.functions import text as rules
 from talentlake.functions import titles as columns
 from talentlake.functions.skills import skills_in
 from talentlake.operators import dictionary, match, titles
+from talentlake.plans import catalog
 
 ALIASES = {"C++": ["c++"], "NET": [".net"], "CSharp": ["c#"], "Java": ["java"], "With": ["with the", "with"], "R": ["r"], "Node": ["node.js", "node"], "Data": ["data engineer", "data"], "Gone": [""]}
 TEXTS = [
@@ -138,3 +139,26 @@ def test_words_meet_tokens_and_not_texts(spark, monkeypatch):
     got = sorted(map(tuple, dictionary.contained_in(df, "id", "text", spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()))
     assert got == sorted((i, w) for i, t in enumerate(texts) for w in words if w and t and w in t)
     assert all(length < 100 or all(" " in w or "\n" in w or "\t" in w for w in given) for length, given in seen)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["skill_records", "skill_lists", "role_skill_stats", "role_profiles_full", "dictionary_support", "catalog_support"])
+def test_the_vocabulary_is_broadcast_and_not_the_texts(spark, name):
+    """A vocabulary of unknown size counts as larger than all texts, whose runs were then broadcast, or exchanged."""
+    plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    joins = [line for line in plan.splitlines() if "Join [_gram" in line]
+    assert joins and all("BroadcastHashJoin" in j and "BuildRight" in j for j in joins), plan
+
+
+def test_skill_lists_read_the_texts_once(spark):
+    plan = plan_of(catalog.QUERIES["skill_lists"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("documents.parquet") == 1
+
+
+def test_places_of_long_and_short_aliases(spark):
+    df = spark.createDataFrame([(1, "a b a b c"), (2, "+a b c"), (3, "a b cc")], "id int, t string")
+    got = {(r.id, r.alias, r.place) for r in dictionary.occurrences(df, F.col("t"), {"A": ["a b c"], "B": ["b"], "P": ["+"]}).collect()}
+    assert got == {(1, "b", 2), (1, "b", 6), (1, "a b c", 4), (2, "b", 3), (2, "a b c", 1), (3, "b", 2)}
