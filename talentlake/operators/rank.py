@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rarest terms of a question by which the first candidates are found; any number gives the same result.
 FIRST = 3
+#: Vectors in a group of blocks: one task holds two groups.
+GROUP_ROWS = 32768
 
 
 def term_weights(*weighted: tuple[DataFrame, float], key: str) -> DataFrame:
@@ -68,33 +70,62 @@ def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(pack, "ids array<long>, matrix binary, n int")
 
 
+def _groups(queries: int, vectors: int, tasks: int) -> tuple[int, int]:
+    """Into how many groups queries and vectors are dealt: none much above ``GROUP_ROWS``, and enough pairs of groups for all ``tasks``."""
+    most = lambda n: max(-(-n // 1024), 1)
+    of_queries = max(-(-queries // GROUP_ROWS), min(most(queries), round(tasks**0.5)), 1)
+    return of_queries, max(-(-vectors // GROUP_ROWS), min(most(vectors), -(-tasks // of_queries)), 1)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, apart: bool = False, rows: int = 1024) -> DataFrame:
     """(query, id, distance, rank): the ``k`` vectors nearest to each query by cosine distance, equal ones by id. Both tables have
     ``key`` (long) and ``vector`` (equally long arrays); with ``apart`` a row is no neighbour of itself.
 
     Exact search in blocks: every block of vectors meets every block of queries once, as a product of two matrices of at most
-    ``rows`` rows, and hands on k for each query; these are merged. Spark broadcasts the blocks of queries if they are few. Null, empty and zero
-    vectors are left out on both sides."""
-    asked = _blocks(queries, key, vector, rows)
-    asked = asked.withColumn("_block", F.monotonically_increasing_id())
-    ids = asked.select("_block")
-    held = _blocks(vectors, key, vector, rows).crossJoin(ids)  # blocks, not rows: each is one part of the grid
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, v = (np.frombuffer(r[m], np.float64).reshape(-1, r[n]) for m, n in (("q_matrix", "q_n"), ("matrix", "n")))
-                own, found = np.array(r["q_ids"], np.int64), np.array(r["ids"], np.int64)
-                distance = np.round(1.0 - q @ v.T, 12)
-                if apart:
-                    distance[own[:, None] == found[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(found, distance.shape), distance), axis=1)[:, :k]
-                best = np.take_along_axis(distance, order, 1)
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, order.shape[1])[keep.ravel()]), pa.array(found[order][keep]), pa.array(best[keep])], ["query", "id", "distance"])
-
-    grid = held.join(asked.select("_block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("n").alias("q_n")), "_block").drop("_block")
-    each = grid.mapInArrow(product, "query long, id long, distance double")
+    ``rows`` rows. Blocks are dealt into groups of some ``GROUP_ROWS`` rows; every pair of groups is one part of the grid and hands on ``k``
+    for each query; these are merged. A block is exchanged once for each group of the other side and not for each block. Null, empty and zero vectors are
+    left out on both sides."""
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_queries, of_vectors = _groups(queries.count(), vectors.count(), tasks)
+    dealt = lambda df, n: _blocks(df, key, vector, rows).withColumn("_g", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
+    asked = dealt(queries, of_queries).withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(of_vectors - 1))))
+    held = dealt(vectors, of_vectors).withColumnRenamed("_g", "_h").withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(of_queries - 1))))
+
+    def read(blocks: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(blocks.num_rows):
+            n = blocks.column("n")[i].as_py()
+            yield np.array(blocks.column("ids")[i].as_py(), np.int64), np.frombuffer(blocks.column("matrix")[i].as_buffer(), np.float64).reshape(-1, n)
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        others = list(read(right))
+        for own, q in read(left):
+            # The best so far: place of the query, distance, id; `worst` is the k-th distance of each query.
+            at, best, ids, worst = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.full(len(own), np.inf)
+            for found, v in others:
+                near = q @ v.T
+                if apart and np.isin(own, found).any():
+                    near[own[:, None] == found[None, :]] = -np.inf
+                bound = 1.0 - worst
+                if len(found) > k and np.isinf(bound).any():  # the first blocks: a bound by this block alone
+                    bound = np.maximum(bound, np.partition(near, len(found) - k, axis=1)[:, len(found) - k])
+                # A little more than the bound, as distances are rounded; no similarity is less than -1.
+                place = np.flatnonzero(near >= np.maximum(bound - 1e-11, -2.0)[:, None])
+                if not len(place):
+                    continue
+                i, j = np.divmod(place, len(found))
+                at, best, ids = np.append(at, i), np.append(best, np.round(1.0 - near[i, j], 12)), np.append(ids, found[j])
+                order = np.lexsort((ids, best, at))
+                at, best, ids = at[order], best[order], ids[order]
+                starts = np.searchsorted(at, np.arange(len(own)))
+                nth = np.arange(len(at)) - starts[at]
+                worst[at[nth == k - 1]] = best[nth == k - 1]
+                at, best, ids = at[nth < k], best[nth < k], ids[nth < k]
+            for column, values in zip(out, (own[at], ids, best)):
+                column.append(values)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], ["query", "id", "distance"])
+
+    each = asked.groupBy("_g", "_h").cogroup(held.groupBy("_g", "_h")).applyInArrow(product, "query long, id long, distance double")
     first = Window.partitionBy("query").orderBy("distance", "id")
     return each.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 

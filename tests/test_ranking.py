@@ -54,6 +54,25 @@ def test_nearest_in_blocks(spark):
     assert rank.nearest(df, df.limit(0), "id", "v", 4).count() == 0
 
 
+def test_nearest_in_many_groups_with_ties(spark, monkeypatch):
+    """Blocks are exchanged once for each group of the other side; before, once for each of its blocks."""
+    monkeypatch.setattr(rank, "GROUP_ROWS", 12)
+    v = np.repeat(np.random.default_rng(5).normal(size=(9, 4)), 8, axis=0)  # eight copies of each
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(5, "id")
+    got = {}
+    for r in rank.nearest(df.where("id % 5 = 0"), df, "id", "v", 10, rows=4).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.id)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    d = np.round(1 - u @ u.T, 12)
+    assert got == {q: sorted(range(72), key=lambda i: (d[q, i], i))[:10] for q in range(0, 72, 5)}
+
+
+def test_groups_of_blocks_bound_what_is_exchanged():
+    for n, tasks in ((1000, 8), (50_000, 8), (600_000, 200), (600_000, 4000)):
+        of_queries, of_vectors = rank._groups(n, n, tasks)
+        assert n / max(of_queries, of_vectors) <= 32768 and of_queries + of_vectors <= 2 * max(-(-n // 32768), tasks**0.5 + 2)
+
+
 GOOD = {
     "cv_id": "1", "role": "x", "final_label_score": "50", "grade": "d", "subscore_skill": "20", "subscore_experience": "10", "subscore_achievement": "10", "subscore_education": "5", "subscore_formatting": "3", "subscore_keywords": "2",
     "label_source": "committee", "labeler_id": "a", "label_confidence": "0.5", "labeled_at": "2024",
