@@ -36,7 +36,8 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
 
 def norm_empty(x: Column) -> Column:
     """Trimmed text, null if it is blank or only says that there is no value."""
-    return let(F.trim(x), lambda t: F.when((t != "") & ~F.lower(t).isin(*EMPTY_TOKENS), t))
+    usable = lambda t: (F.length(t) > 2 * max(map(len, EMPTY_TOKENS))) | ((t != "") & ~F.lower(t).isin(*EMPTY_TOKENS))  # noqa: E731  a long text is not lower-cased for that
+    return let(F.trim(x), lambda t: F.when(usable(t), t))
 
 
 def safe(x: Column) -> Column:
@@ -69,8 +70,8 @@ def remove_html(x: Column) -> Column:
     t = safe(x)
     for entity, char in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p\s*>", "\n")
-    return F.regexp_replace(t, r"<[^>]+>", " ")
+    tags = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</p\s*>", "\n"), r"<[^>]+>", " ")
+    return let(t, lambda t: F.when(F.contains(t, F.lit("<")), tags(t)).otherwise(t))
 
 
 def normalize_dash(x: Column) -> Column:
@@ -92,7 +93,7 @@ def heads(pairs: Column) -> Column:
     a first one is where the key changes, so a list of n costs n log n."""
     placed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
     marked = lambda s: F.transform(s, lambda p, j: F.struct(p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v"), ((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(p["k"])).alias("first")))
-    return F.array_sort(let(F.array_sort(placed), marked))
+    return F.sort_array(let(F.sort_array(placed), marked))  # unlike array_sort it has no comparison of Spark expressions
 
 
 def dedup_by(xs: Column, key) -> Column:
@@ -118,8 +119,8 @@ def clean_light(x: Column) -> Column:
     """Markup, dashes, zero-width characters and blank space tidied, repeated long lines dropped."""
     t = F.replace(normalize_dash(remove_html(x)), F.lit("\\n"), F.lit("\n"))
     t = F.regexp_replace(t, "[​‌‍﻿]", "")
-    t = F.regexp_replace(t, r"[ \t\x0B\f\r ]+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r" *\n *", "\n")
+    t = F.regexp_replace(t, r" [ \t\x0B\f\r ]+|[\t\x0B\f\r ][ \t\x0B\f\r ]*", " ")  # single spaces match nothing
+    t = F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r" +\n *|\n +", "\n")
     return dedup_lines(F.trim(t))
 
 

@@ -32,3 +32,9 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as shuffles have. Millions of short rows fit into one or two splits of a file; where much is worked
+    out for each row, they keep one or two cores busy and all others wait."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import build, jobs, questions, scores, text
 from ..operators import refdata
-from .base import Registry, table
+from .base import Registry, spread, table
 
 R = Registry()
 
@@ -98,7 +98,7 @@ def parse_deadline(spark, sf):
                  CASE p_size % 4 WHEN 0 THEN 'full_time' WHEN 1 THEN 'internship' WHEN 2 THEN 'freelance' ELSE 'unknown' END AS employment FROM part""")
 def job_rules(spark, sf):
     """Level, work mode and what decided it, education and employment of composed ads."""
-    p, k, n = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
+    p, k, n = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_name", "p_type", "p_brand")), F.col("p_partkey"), F.col("p_size")
     title = _by_case(k, F.concat(F.lit("Senior "), "p_name"), F.concat(F.lit("Trưởng phòng "), "p_name"), F.concat(F.lit("Nhân viên "), "p_name"), F.col("p_name"))
     mode = _by_case(n, F.lit("Work from home"), F.lit("Hybrid"), F.lit("làm việc tại công ty"), F.concat(F.lit("remote "), _s(n), F.lit(" days/month")), F.col("p_type"))
     education = _by_case(k, F.lit("Tốt nghiệp đại học, ưu tiên thạc sĩ"), F.lit("Cao đẳng"), F.col("p_brand"))
@@ -134,7 +134,7 @@ def answer_metrics(spark, sf):
     x, y, z = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lower("p_type")
     truth = F.concat("p_name", F.lit(" of "), z)
     answer = _by_case(F.col("p_partkey"), truth, F.concat("p_name", F.lit(" of")), F.concat_ws(" ", x, F.lit("old"), F.lit("of"), z), F.lit("none"))
-    p = table(spark, sf, "part").select("p_partkey", answer.alias("a"), truth.alias("t"), F.array(x, y).alias("k"))
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_type")).select("p_partkey", answer.alias("a"), truth.alias("t"), F.array(x, y).alias("k"))
     r = lambda c: F.round(c, 6)
     a, t = F.col("a"), F.col("t")
     return p.select("p_partkey", (a == t).cast("int").alias("exact"), r(scores.token_f1(a, t)).alias("f1"), r(scores.rouge_l(a, t)).alias("rouge"), r(scores.bleu_2(a, t)).alias("bleu"), scores.keyword_accuracy(a, F.col("k"), 0.67).alias("keywords"))

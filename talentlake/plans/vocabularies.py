@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dictionary, skills, titles
-from .base import STOPWORDS, Registry, table
+from .base import STOPWORDS, Registry, spread, table
 from .matching import _KEY
 
 R = Registry()
@@ -70,7 +70,7 @@ def title_canonical(spark, sf):
     title = F.when(k == 0, F.concat(F.lit("[HOT] Senior "), "p_name", F.lit(" - Up to 2000$"))).when(k == 1, F.concat("p_name", F.lit(" ABC-"), (F.col("p_size") + 100).cast("string")))
     title = title.when(k == 2, F.concat("p_name", F.lit(" | Remote"))).otherwise(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")")))
     keywords = p.where("p_type like '%M%'").select(F.initcap("p_type").alias("name"), F.lower("p_type").alias("alias")).distinct()
-    return titles.canonical_titles(p.select("p_partkey", title.alias("title")), ["p_partkey"], F.col("title"), _nouns(spark, sf), keywords)
+    return titles.canonical_titles(spread(p.select("p_partkey", title.alias("title"))), ["p_partkey"], F.col("title"), _nouns(spark, sf), keywords)
 
 
 _HINTS = "SELECT DISTINCT 'family ' || (item_id % 4) AS name, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS alias, (item_id % 4) AS nth FROM benchmark"

@@ -54,3 +54,10 @@ def test_whole_texts_are_read(spark):
     for name in ("model_input", "model_input_whole"):
         longest = catalog.QUERIES[name](spark, SF).selectExpr("max(length(model_text))").first()[0]
         assert longest == turns.selectExpr("max(length(trim(text)))").first()[0]
+
+
+@pytest.mark.parametrize("name", ["job_rules", "answer_metrics", "title_canonical"])
+def test_rules_on_short_rows_use_all_cores(spark, name):
+    """A table of parts is one split of a file, so that all rules ran in one task."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(4)" in plan
