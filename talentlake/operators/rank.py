@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 #: Rarest terms of a question by which the first candidates are found; any number gives the same result.
 FIRST = 3
 #: Vectors in a group of blocks: one task holds two groups.
@@ -32,8 +34,9 @@ def top_by_terms(weights: DataFrame, key: str, docs: DataFrame, doc: str, k: int
     Documents with one of its ``first`` rarest terms are scored; the k-th best of them is a bound that the answer meets. A document
     can only reach it if it has a term from which on all weights together are no less: so postings of these terms alone are joined. Scores of
     candidates come from whole lists of terms."""
-    postings = docs.select(doc, F.explode(F.array_distinct("terms")).alias("term"))
-    asked = postings.join(weights.select("term").distinct(), "term", "left_semi")
+    # Both are read many times below; written, the terms of each text are worked out once.
+    docs, weights = staged(docs.select(doc, F.array_distinct("terms").alias("terms")), "terms"), staged(weights, "weights")
+    asked = staged(docs.select(doc, F.explode("terms").alias("term")).join(weights.select("term").distinct(), "term", "left_semi"), "postings")
     often = asked.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     by_rarity = Window.partitionBy(key).orderBy("docs", "term")
     rest = by_rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing)

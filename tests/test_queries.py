@@ -61,3 +61,9 @@ def test_rules_on_short_rows_use_all_cores(spark, name):
     """A table of parts is one split of a file, so that all rules ran in one task."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning(4)" in plan
+
+
+def test_terms_of_documents_are_worked_out_once(spark):
+    """What is ranked reads written terms, not the texts again for each step."""
+    plan = catalog.QUERIES["rerank_weighted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "/terms-" in plan
