@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +37,13 @@ from .common import cut, free_name, map_text, release
 WINDOW = 20
 #: The levels of recompression after which the symbols of all documents are counted.
 ROUNDS = (4,)
-KNOWN_WORDS = 300_000
+#: Bytes whose words are named at once; a longer word is named by itself.
+STRETCH = 1 << 17
 U = np.uint64
 
-
-class WordNames(dict):
-    """Word (bytes) -> fingerprint, computed when first seen; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        name = self[word] = xxhash.xxh64_intdigest(word)
-        return name
-
-
-_names = WordNames()
+_BASE = xxhash.xxh64_intdigest(b"base") | 1
+_LETTERS = np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], U)
+_POWERS, _INVERSES = (np.cumprod(np.append(U(1), np.full(2 * STRETCH, b, U))) for b in (_BASE, pow(_BASE, -1, 2**64)))
 
 
 def mix(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
@@ -77,13 +70,45 @@ def spans(names: np.ndarray, width: int, salt: int) -> np.ndarray:
         power = mix(power[: max(0, len(power) - size // 2)], power[size // 2 :], salt + size)
 
 
-def split_words(texts: list[bytes | None], bits: int = 64) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, their names of so many bits, and the offset of each text among them."""
-    words = [t.split() if t else [] for t in texts]
-    offsets = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=offsets[1:])
-    names = np.fromiter((_names[w] for ws in words for w in ws), U, int(offsets[-1]))
-    return words, names >> U(64 - bits) if bits < 64 else names, offsets
+class Words(NamedTuple):
+    """The words of some texts: each text's joined by one space, all of these joined likewise, where in that each word begins and ends,
+    the words' names, and the offset of each text among them."""
+
+    lines: list[bytes]
+    line: bytes
+    begins: np.ndarray
+    ends: np.ndarray
+    names: np.ndarray
+    offsets: np.ndarray
+
+
+def word_names(line: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A fingerprint of each word of ``line``: a polynomial in its letters, a difference of running sums. It depends on the word alone."""
+    letters, sizes = np.frombuffer(line, np.uint8), ends - begins
+    names = np.empty(len(begins), U)
+    cuts = np.searchsorted(begins, np.arange(0, len(letters) + STRETCH, STRETCH))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            low = begins[a]
+            first, last = begins[a:b] - low, np.minimum(ends[a:b] - low, 2 * STRETCH)
+            sums = np.zeros(last[-1] + 1, U)
+            np.cumsum(_LETTERS[letters[low : low + last[-1]]] * _POWERS[: last[-1]], out=sums[1:])
+            names[a:b] = mix((sums[last] - sums[first]) * _INVERSES[first], sizes[a:b].astype(U), 5000)
+    for i in np.flatnonzero(sizes > STRETCH):
+        names[i] = xxhash.xxh64_intdigest(line[begins[i] : ends[i]])
+    return names
+
+
+def split_words(texts: list[bytes | None], bits: int = 64) -> Words:
+    """The words of each text and their names of so many bits."""
+    lines = [b" ".join(t.split()) if t else b"" for t in texts]
+    line = b" ".join(filter(None, lines))
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
+    begins, ends = np.append(0, spaces + 1)[: len(line)], np.append(spaces, len(line))[: len(line)]
+    offsets = np.zeros(len(lines) + 1, np.int64)
+    np.cumsum([t.count(b" ") + 1 if t else 0 for t in lines], out=offsets[1:])
+    names = word_names(line, begins, ends)
+    return Words(lines, line, begins, ends, names >> U(64 - bits) if bits < 64 else names, offsets)
 
 
 def window_starts(offsets: np.ndarray) -> np.ndarray:
@@ -190,14 +215,13 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def _keep_known(batch: pa.RecordBatch, starts: np.ndarray, offsets: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Those of ``starts`` whose anchor is one of the symbols that their document lists under ``keys``."""
-    wanted = np.zeros(len(starts), bool)
-    edges = np.searchsorted(starts, offsets)
-    for k, own in enumerate(batch.column("keys")):
-        part = slice(edges[k], edges[k + 1])
-        wanted[part] = np.isin(symbols[part], own.values.to_numpy())
-    return starts[wanted]
+def _keep_known(batch: pa.RecordBatch, starts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Those of ``starts`` whose anchor is one of the symbols that the documents list under ``keys``. A document lists every shared symbol
+    of its own, so one list of them all does."""
+    known = np.unique(batch.column("keys").flatten().to_numpy())
+    if not len(known):
+        return starts[:0]
+    return starts[known[np.minimum(np.searchsorted(known, symbols), len(known) - 1)] == symbols]
 
 
 def _round(levels: int, earlier: int | None, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -206,10 +230,11 @@ def _round(levels: int, earlier: int | None, bits: int) -> Callable[[Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist(), bits)
+            words = split_words(batch.column("text").cast(pa.binary()).to_pylist(), bits)
+            names, offsets = words.names, words.offsets
             starts = window_starts(offsets)
             if earlier is not None:
-                starts = _keep_known(batch, starts, offsets, anchors(names, offsets, starts, earlier)[1])
+                starts = _keep_known(batch, starts, anchors(names, offsets, starts, earlier)[1])
             places, symbols = anchors(names, offsets, starts, levels)
             places, some = np.unique(places, return_index=True)
             edges = np.searchsorted(places, offsets)
@@ -219,7 +244,7 @@ def _round(levels: int, earlier: int | None, bits: int) -> Callable[[Iterator[pa
                 found.append(np.repeat(keys, np.minimum(times, 2)))
             columns = {"id": batch.column("id"), "rev": batch.column("rev"), "keys": _lists(found, pa.int64())}
             if earlier is None:
-                columns |= {"n_words": pa.array([len(w) for w in words], pa.int64()), "words_sha256": pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])}
+                columns |= {"n_words": pa.array(np.diff(offsets)), "words_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in words.lines])}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -231,26 +256,33 @@ def _windows(levels: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, names, offsets = split_words(batch.column("text").cast(pa.binary()).to_pylist(), bits)
+            words = split_words(batch.column("text").cast(pa.binary()).to_pylist(), bits)
+            names, offsets = words.names, words.offsets
             starts = window_starts(offsets)
-            starts = _keep_known(batch, starts, offsets, anchors(names, offsets, starts, levels)[1])
+            starts = _keep_known(batch, starts, anchors(names, offsets, starts, levels)[1])
             doc = np.searchsorted(offsets, starts, "right") - 1
             start = (starts - offsets[doc]).astype(np.int32)
             print_ = spans(names, WINDOW, 100)[starts]
-            ids, revs = batch.column("id").to_numpy()[doc], batch.column("rev").to_numpy()[doc]
-            order = np.lexsort((start, revs, ids, print_))
-            later = np.zeros(len(order), bool)
-            vocabulary = set().union(*words)
-            if len(order) and len({_names[w] >> (64 - bits) for w in vocabulary}) == len(vocabulary):
-                # Names tell the words of this block apart, so equal names are equal words.
-                heads = np.append(True, print_[order[1:]] != print_[order[:-1]])
-                head = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
-                same = np.ones(len(order), bool)
-                for k in range(WINDOW):
-                    same &= names[starts[order] + k] == names[starts[head] + k]
-                # Equal rows (a document that is there twice) have equal places; neither is later.
-                same &= (ids[order] != ids[head]) | (revs[order] != revs[head]) | (start[order] != start[head])
-                later[order] = same
+            own_ids, own_revs = batch.column("id").to_numpy(), batch.column("rev").to_numpy()
+            # Equal rows (a document that is there twice) have equal places, so that neither is later.
+            by_place = np.lexsort((own_revs, own_ids))
+            fresh = (np.diff(own_ids[by_place]) != 0) | (np.diff(own_revs[by_place]) != 0)
+            rank = np.empty(len(by_place), np.int64)
+            rank[by_place] = np.append(0, np.cumsum(fresh))
+            place = (rank[doc] << 32) + start
+            order = np.lexsort((place, print_))
+            heads = np.append(True, print_[order[1:]] != print_[order[:-1]])[: len(order)]
+            head = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
+            again = np.flatnonzero(place[order] != place[head])
+            order, head = order[again], head[again]
+            begin, from_ = words.begins[starts[order]], words.begins[starts[head]]
+            size = words.ends[starts[order] + WINDOW - 1] - begin
+            line = words.line
+            same = [line[a : a + n] == line[b : b + n] for a, b, n in zip(begin.tolist(), from_.tolist(), size.tolist())]
+            # The byte after the earlier window is checked too: its last word must end there.
+            later = np.zeros(len(starts), bool)
+            later[order] = np.array(same, bool) & (words.ends[starts[head] + WINDOW - 1] - from_ == size)
+            ids, revs = own_ids[doc], own_revs[doc]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids), pa.array(revs), pa.array(start), pa.array(print_.view(np.int64)), pa.array(later),
             ], ["id", "rev", "start", "print", "later"])

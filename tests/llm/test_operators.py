@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -273,6 +274,28 @@ def test_anchors_depend_on_the_window_alone():
         assert len(set(found)) == 3
 
 
+def test_word_names_depend_on_the_word_alone(monkeypatch):
+    monkeypatch.setattr(recompression, "STRETCH", 256)
+    rng = random.Random(6)
+    known = ["a", "b", "ab", "ba", "aa", "aab", "\xe9", "x" * 255, "x" * 256, "x" * 257, "y" * 700, "\x00", "\x00\x00"] + [f"w{i}" for i in range(300)]
+    texts = [" \n".join(rng.choice(known) for _ in range(rng.randint(0, 50))).encode() for _ in range(200)] + [None, b"", b" \t", " ".join(known).encode()]
+    words = recompression.split_words(texts)
+    every = [w for t in texts for w in (t or b"").split()]
+    assert np.diff(words.offsets).tolist() == [len((t or b"").split()) for t in texts]
+    assert [words.line[a:b] for a, b in zip(words.begins, words.ends)] == every
+    named = set(zip(every, words.names.tolist()))
+    assert len(named) == len({w for w, _ in named}) == len({n for _, n in named}) == len(known)
+
+
+def test_equal_windows_of_a_block_are_found_under_colliding_names():
+    """Bytes are compared inside a block, so that a collision of names hides no equal window."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1, 2, 2]), "rev": pa.array([0, 0, 0], pa.int32()), "text": [f"s {passage}", f"{passage} e", f"{passage} e"]})
+    keys = next(recompression._round(4, None, 3)(iter([batch]))).column("keys")
+    found = pa.Table.from_batches(recompression._windows(4, 3)(iter([batch.append_column("keys", keys)]))).to_pylist()
+    assert {(r["id"], r["start"]) for r in found if r["later"]} == {(2, i) for i in range(21)}
+
+
 def test_drop_passages(odd):
     out = recompression.drop_passages(odd)
     assert out.columns == odd.columns
