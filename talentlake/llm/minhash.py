@@ -34,6 +34,9 @@ DISTANCE = 2 * CHUNKS - 1
 ROUNDS = 3
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i).encode(), 12) for i in range(CHUNKS * PLACES)], np.uint64)
 _SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
+#: Which of 1024 classes of shingles a set has: a class that only one of two sets has is a shingle that only one has, for certain.
+CLASSES = 1 << 10
+_POINT = ["node", "n", "shared", *_SIGNATURE, "classes"]
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -65,6 +68,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def classes(own: np.ndarray) -> np.ndarray:
+    """The classes of a set's shingles as bits of 64-bit numbers."""
+    held = np.zeros(CLASSES, np.uint8)
+    held[own >> np.uint64(65 - CLASSES.bit_length())] = 1
+    return np.packbits(held).view(np.int64)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """(doc_id, rev, text): rev tells texts under one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -129,32 +139,36 @@ def _first_meeting(key: Column, a: str, b: str) -> Column:
 
 
 def _close(a: str, b: str, least: tuple[int, int]) -> Column:
-    """Whether signatures, and what the sets have that is not theirs alone, allow a link: an intersection of I needs
-    I den >= (n_a + n_b - I) num."""
+    """Whether signatures, what the sets have that is not theirs alone, and classes that only one has allow a link: an intersection of
+    I needs I den >= (n_a + n_b - I) num."""
     num, den = least
-    most = F.least(F.col(a + "shared"), F.col(b + "shared"))
-    return (most * (num + den) >= (F.col(a + "n") + F.col(b + "n")) * num) & (_distance(a, b) <= DISTANCE)
+    # As arrays: written out, the condition of a join is too long a method for the JVM to compile.
+    alone = lambda x, y: F.aggregate(F.zip_with(x + "classes", y + "classes", lambda c, d: F.bit_count(c.bitwiseAND(F.bitwise_not(d)))), F.lit(0), lambda s, k: s + k)
+    enough = lambda most: most * (num + den) >= (F.col(a + "n") + F.col(b + "n")) * num
+    shared = F.least(F.col(a + "shared"), F.col(b + "shared"))
+    return enough(shared) & (_distance(a, b) <= DISTANCE) & enough(F.col(a + "n") - alone(a, b)) & enough(F.col(b + "n") - alone(b, a))
 
 
 def _named(points: DataFrame, prefix: str) -> DataFrame:
-    return points.select(F.col("node").alias(prefix + "node"), F.col("n").alias(prefix + "n"), F.col("shared").alias(prefix + "shared"), *[F.col(s).alias(prefix + s) for s in _SIGNATURE])
+    return points.select(*[F.col(c).alias(prefix + c) for c in _POINT])
 
 
 def _sets(asked: DataFrame, points: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the whole sets of the ``asked`` nodes, as bytes."""
+    """(node, shingles, classes): the whole sets of the ``asked`` nodes, as bytes, and their classes."""
     first = points.join(asked, "node", "left_semi").select("node", F.col("least.doc_id").alias("id"), F.col("least.rev").alias("r"))
     texts = rows.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rev") == F.col("r"))).dropDuplicates(["node"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, size).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+            found = [shingles(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            held = pa.array([classes(s) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary()), held], ["node", "shingles", "classes"])
 
-    return map_text(texts, run, "node long, shingles binary")
+    return map_text(texts, run, "node long, shingles binary, classes array<long>")
 
 
 def _linkable(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(node, shared): the sets that can have a link at all, and how many of their shingles any other of the ``sets`` has. Only those
+    """(node, shared, classes): the sets that can have a link at all, and how many of their shingles any other of the ``sets`` has. Only those
     can be in an intersection, so a set with more than 15 in 100 of its own links with none. That tells apart texts that share
     a long passage, and, pair by pair, copies with too many edits of their own, however many they are."""
     num, den = least
@@ -167,10 +181,10 @@ def _linkable(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
                 nodes = np.repeat(part.column("node").to_numpy(), [len(s) // 8 for s in held])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.frombuffer(b"".join(held), np.int64))], ["node", "token"])
 
-    own = sets.mapInArrow(run, "node long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.first("node").alias("node")).where("sets = 1")
+    own = sets.select("node", "shingles").mapInArrow(run, "node long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.first("node").alias("node")).where("sets = 1")
     own = own.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    sizes = sets.select("node", F.expr("octet_length(shingles) div 8").alias("n")).join(own, "node", "left")
-    return sizes.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")).where(F.col("shared") * den >= F.col("n") * num).drop("n")
+    sizes = sets.select("node", F.expr("octet_length(shingles) div 8").alias("n"), "classes").join(own, "node", "left")
+    return sizes.select("node", "n", "classes", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")).where(F.col("shared") * den >= F.col("n") * num).drop("n")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -185,7 +199,8 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 total.append((len(x) + len(y)) // 8 - n)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    held = sets.select("node", "shingles")
+    both = pairs.select("a", "b").join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
     done = cut(both.mapInArrow(run, "a long, b long, common long, total long"), "minhash-compared")
     release(pairs)
     return done
@@ -238,8 +253,8 @@ def _rest(places: DataFrame, points: DataFrame, least: tuple[int, int]) -> DataF
     never meets itself: members of the others (a) are joined with all (b)."""
     sizes = places.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"))
-    held = cut(places.join(main, "key").join(points.select("node", "n", "shared", *_SIGNATURE), "node"), "minhash-open")
-    columns = ["node", "root", "n", "shared", *_SIGNATURE]
+    held = cut(places.join(main, "key").join(points.select(*_POINT), "node"), "minhash-open")
+    columns = ["root", *_POINT]
     few = held.where("root <> main").select("key", *[F.col(c).alias("a_" + c) for c in columns])
     every = held.select("key", "main", *[F.col(c).alias("b_" + c) for c in columns])
     # Two that are both outside the largest component meet twice; one order is enough.

@@ -145,6 +145,19 @@ def test_dense_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert counts[1] < 5 * counts[0] and counts[1] < 900 * 30
 
 
+def test_pairs_below_the_threshold_are_told_by_classes(spark, monkeypatch):
+    """Texts that are all alike, none of them enough: classes of shingles rule out nearly all pairs before sets are compared."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    combinations = sorted({tuple(sorted(rng.sample(range(5, 120, 5), 4))) for _ in range(200)})
+    rows = [(i, " ".join(f"e{k}" if k in places else w for k, w in enumerate(base))) for i, places in enumerate(combinations)]
+    seen = []
+    compared = minhash._compared
+    monkeypatch.setattr(minhash, "_compared", lambda pairs, *a: (seen.append(pairs.count()), compared(pairs, *a))[1])
+    assert answers(minhash.near_duplicates(frame(spark, rows))) == brute(rows)
+    assert sum(seen) < len(rows) ** 2 // 40
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
