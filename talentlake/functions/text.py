@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +26,8 @@ _MARKED = {
 }
 _FROM = "".join(_MARKED.values())
 _TO = "".join(k * len(v) for k, v in _MARKED.items())
+#: What keys for comparing are made of, inside a class of a pattern.
+_KEY = r"a-z0-9_/+\-#.\w"
 
 
 def let(x: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,6 +36,26 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
+def ascii_only(x: Column) -> Column:
+    """Whether all characters are of one byte."""
+    return F.octet_length(x) == F.length(x)
+
+
+def where_any(x: Column, marks: Sequence[str], body: Callable[[Column], Column], long: bool = True) -> Column:
+    """``body`` of ``x`` where that contains one of ``marks``, else ``x`` as it is: looking for a few fixed texts is far cheaper than a pattern,
+    and most texts have nothing to change. Not ``long``: always ``body``, which must then leave such texts alone, as it does not nest a rule deeper."""
+
+    def gated(t: Column) -> Column:
+        met = F.contains(t, F.lit(marks[0]))
+        for mark in marks[1:]:
+            met = met | F.contains(t, F.lit(mark))
+        if not any(map(str.isascii, marks)):
+            met = ~ascii_only(t) & met
+        return F.when(met, body(t)).otherwise(t)
+
+    return let(x, gated) if long else body(x)
+
+
 def norm_empty(x: Column) -> Column:
     """Trimmed text, null if it is blank or only says that there is no value."""
     usable = lambda t: (F.length(t) > 2 * max(map(len, EMPTY_TOKENS))) | ((t != "") & ~F.lower(t).isin(*EMPTY_TOKENS))  # noqa: E731  a long text is not lower-cased for that
@@ -57,7 +79,7 @@ def nfc(x: pd.Series) -> pd.Series:
 
 
 def squeeze(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(x, r"(?U) \s+|[^\S ]\s*", " "))  # single spaces match nothing
 
 
 def squeeze_lower(x: Column) -> Column:
@@ -65,22 +87,26 @@ def squeeze_lower(x: Column) -> Column:
     return squeeze(F.lower(F.coalesce(x, F.lit(""))))
 
 
-def remove_html(x: Column) -> Column:
+def remove_html(x: Column, long: bool = False) -> Column:
     """Common entities decoded, line and paragraph ends as newlines, other tags as spaces."""
-    t = safe(x)
-    for entity, char in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(char))
+
+    def decoded(t: Column) -> Column:
+        for entity, char in ENTITIES.items():
+            t = F.replace(t, F.lit(entity), F.lit(char))
+        return t
+
     tags = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</p\s*>", "\n"), r"<[^>]+>", " ")
-    return let(t, lambda t: F.when(F.contains(t, F.lit("<")), tags(t)).otherwise(t))
+    return where_any(where_any(safe(x), ["&"], decoded, long), ["<"], tags)
 
 
-def normalize_dash(x: Column) -> Column:
-    return F.translate(safe(x), DASHES, "-" * len(DASHES))
+def normalize_dash(x: Column, long: bool = False) -> Column:
+    return where_any(safe(x), DASHES, lambda t: F.translate(t, DASHES, "-" * len(DASHES)), long)
 
 
-def strip_marks(x: Column) -> Column:
+def strip_marks(x: Column, long: bool = False) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(x), _FROM, _TO)
+    marks = lambda t: F.translate(t, _FROM, _TO)
+    return let(F.lower(x), lambda t: F.when(ascii_only(t), t).otherwise(marks(t))) if long else marks(F.lower(x))
 
 
 def dedup_list(xs: Column) -> Column:
@@ -102,12 +128,16 @@ def dedup_by(xs: Column, key) -> Column:
     return F.transform(F.filter(heads(pairs), lambda e: e["first"] & e["k"].isNotNull()), lambda e: e["v"])
 
 
-def dedup_lines(x: Column, shortest: int = 12) -> Column:
+def dedup_lines(x: Column, shortest: int = 12, long: bool = False) -> Column:
     """Stripped lines without blank ones; a line of ``shortest`` characters or more that was there before goes."""
-    lines = F.filter(F.transform(F.split(x, "\n"), lambda line: F.trim(line)), lambda line: line != "")
-    pairs = F.transform(lines, lambda line: F.struct(F.regexp_replace(F.lower(line), r"\s+", " ").alias("k"), line.alias("v")))
-    kept = F.filter(heads(pairs), lambda e: (F.length(e["k"]) < shortest) | e["first"])
-    return F.array_join(F.transform(kept, lambda e: e["v"]), "\n")
+
+    def deduped(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+        pairs = F.transform(lines, lambda line: F.struct(F.regexp_replace(F.lower(line), r" \s+|[^\S ]\s*", " ").alias("k"), line.alias("v")))
+        kept = F.filter(heads(pairs), lambda e: (F.length(e["k"]) < shortest) | e["first"])
+        return F.array_join(F.transform(kept, lambda e: e["v"]), "\n")
+
+    return where_any(F.trim(x), ["\n"], deduped, long)
 
 
 def truncate_words(x: Column, n: int) -> Column:
@@ -115,13 +145,14 @@ def truncate_words(x: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(squeeze(F.coalesce(x, F.lit(""))), " "), 1, n), " ")
 
 
-def clean_light(x: Column) -> Column:
-    """Markup, dashes, zero-width characters and blank space tidied, repeated long lines dropped."""
-    t = F.replace(normalize_dash(remove_html(x)), F.lit("\\n"), F.lit("\n"))
-    t = F.regexp_replace(t, "[​‌‍﻿]", "")
-    t = F.regexp_replace(t, r" [ \t\x0B\f\r ]+|[\t\x0B\f\r ][ \t\x0B\f\r ]*", " ")  # single spaces match nothing
-    t = F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r" +\n *|\n +", "\n")
-    return dedup_lines(F.trim(t))
+def clean_light(x: Column, long: bool = False) -> Column:
+    """Markup, dashes, zero-width characters and blank space tidied, repeated long lines dropped. ``long``, here and below, is for columns of whole
+    texts: each pattern is tried only where there is something for it. The result is the same."""
+    t = F.replace(normalize_dash(remove_html(x, long), long), F.lit("\\n"), F.lit("\n"))
+    t = where_any(t, "​‌‍﻿", lambda t: F.regexp_replace(t, "[​‌‍﻿]", ""), long)
+    t = where_any(t, ["  ", "\t", "\x0b", "\f", "\r", "\xa0"], lambda t: F.regexp_replace(t, r" [ \t\x0B\f\r ]+|[\t\x0B\f\r ][ \t\x0B\f\r ]*", " "), long)  # single spaces match nothing
+    t = where_any(t, ["\n\n\n", " \n", "\n "], lambda t: F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r" +\n *|\n +", "\n"), long)
+    return dedup_lines(F.trim(t), long=long)
 
 
 def clean_structure(x: Column) -> Column:
@@ -141,14 +172,15 @@ def clean_model(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\f\r ]+", " "), r" *\n[ \n]*", "\n"))
 
 
-def plain_key(x: Column) -> Column:
+def plain_key(x: Column, long: bool = False) -> Column:
     """``match_key`` of text that is clean already."""
-    return squeeze(F.regexp_replace(strip_marks(x), r"(?U)[^\w\s/+\-#.]", " "))
+    # Blank space and what else is no part of a key, in one pass; a single space stays. Letters and digits stand first, as \w is slow.
+    return F.trim(F.regexp_replace(strip_marks(x, long), rf"(?U)[^{_KEY}](?:[^{_KEY}]+|(?<! ))", " "))
 
 
-def match_key(x: Column) -> Column:
+def match_key(x: Column, long: bool = False) -> Column:
     """For comparing: ``clean_light`` without accents, lower case, word characters and / + - # . only."""
-    return plain_key(clean_light(x))
+    return plain_key(clean_light(x, long), long)
 
 
 def language_type(x: Column) -> Column:

@@ -6,7 +6,7 @@ a text (title synonyms, tags) files each alias under the one of its q-grams that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, match_key
@@ -27,7 +27,7 @@ def as_vocabulary(spark: SparkSession, vocabulary: dict[str, list[str]] | DataFr
 
 def atoms(key: Column) -> Column:
     """Runs of word characters, and every other character for itself."""
-    return F.regexp_extract_all(key, F.lit(r"(?U)(\w+|[^\w])"))
+    return F.regexp_extract_all(key, F.lit(r"(?Us)([a-z0-9_\w]+|.)"))  # letters and digits stand first, as \w is slow
 
 
 def aliases(vocabulary: DataFrame) -> DataFrame:
@@ -42,19 +42,30 @@ def occurrences(df: DataFrame, key: Column, vocabulary: dict[str, list[str]] | D
 
     Names such as c++, c# and .net work: where an alias begins or ends with a sign, no word may touch it there. Null and empty texts have
     no rows; equal rows of ``df`` each have theirs. The lengths of aliases are looked up first (as many numbers as there are different
-    ones); then texts meet the vocabulary in one join. The vocabulary is written before, so that Spark knows its size and broadcasts
+    ones, with the fewest and most spaces and bytes); a run of atoms that no alias can be, as it ends in a space or has
+    more words, is dropped, and then texts meet the vocabulary in one join. The vocabulary is written before, so that Spark knows its size and broadcasts
     it if it is small: of unknown size it counts as larger than any text, and all runs of all texts would be broadcast or exchanged."""
     word = lambda c: c.rlike(r"(?U)^\w")
     words = aliases(as_vocabulary(df.sparkSession, vocabulary))
     # Which ends are words is asked once for an alias, not for each run of atoms.
     words = staged(words.withColumns({"opens": word(F.col("alias")), "closes": F.col("alias").rlike(r"(?U)\w$")}), "aliases")
-    lengths = sorted(r["n"] for r in words.select("n").distinct().collect())
+    sizes, spaces = F.octet_length("alias"), F.length("alias") - F.length(F.replace("alias", F.lit(" ")))
+    of_n = [f(c).alias(name) for c, low, high in ((sizes, "shortest", "longest"), (spaces, "least", "most")) for f, name in ((F.min, low), (F.max, high))]
+    lengths = sorted(words.groupBy("n").agg(*of_n).collect())
     if not lengths:
         return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("alias", "string"), ("place", "int"))]).limit(0)
     # Outer, as Spark would else filter by the size of `_a` and work it out twice for that.
     rows = df.withColumn("_a", atoms(F.coalesce(key, F.lit("")))).select("*", F.posexplode_outer("_a").alias("_place", "_atom")).where("_atom <> ' '")
     at = lambda j: F.get("_a", F.col("_place") + j)
-    rows = rows.withColumns({"_left": F.coalesce(at(-1), F.lit("")), "_after": F.array(*[F.coalesce(at(n), F.lit("")) for n in lengths]), "_grams": F.array(*[F.concat(*[at(j) for j in range(n)]) for n in lengths])})
+
+    def run(r: Row) -> Column:
+        """The run of atoms of a length, null if no alias of that length is like it."""
+        able = sum(F.octet_length(at(j)) for j in range(r.n)).between(r.shortest, r.longest)
+        if r.n > 1:
+            able = (at(r.n - 1) != " ") & sum((F.when(at(j) == " ", 1).otherwise(0) for j in range(1, r.n - 1)), F.lit(0)).between(r.least, r.most) & able
+        return F.when(able, F.concat(*[at(j) for j in range(r.n)]))
+
+    rows = rows.withColumns({"_left": F.coalesce(at(-1), F.lit("")), "_after": F.array(*[F.coalesce(at(r.n), F.lit("")) for r in lengths]), "_grams": F.array(*[run(r) for r in lengths])})
     met = rows.select(*df.columns, "_place", "_left", "_after", F.posexplode_outer("_grams").alias("_nth", "_gram")).where("_gram is not null")
     met = met.withColumn("_right", F.get("_after", F.col("_nth"))).drop("_after", "_nth")
     met = met.join(words.drop("n").withColumnsRenamed({"alias": "_alias", "opens": "_opens", "closes": "_closes"}), F.col("_gram") == F.col("_alias"))

@@ -15,7 +15,7 @@ def skill_records(df: DataFrame, key: list[str], fields: dict[str, Column], voca
     """key, skill, source_field, importance, excerpt: one row per skill, field and importance, with the first segment that
     names it. ``fields`` are the texts by source field; the vocabulary is a mapping or a table (name, alias) of any size."""
     texts = F.array(*[F.struct(F.lit(n).alias("source_field"), t.alias("text")) for n, t in fields.items()])
-    keyed = F.transform(split_segments(clean_light(F.col("f.text"))), lambda s: F.struct(s.alias("segment"), plain_key(s).alias("seg_key")))  # in the array, as a filter behind it would work the key out twice
+    keyed = F.transform(split_segments(clean_light(F.col("f.text"), long=True)), lambda s: F.struct(s.alias("segment"), plain_key(s).alias("seg_key")))  # in the array, as a filter behind it would work the key out twice
     parts = df.select(*key, F.explode(texts).alias("f")).select(*key, "f.source_field", F.posexplode(keyed).alias("pos", "s"))
     parts = parts.select(*key, "source_field", "pos", F.left("s.segment", F.lit(excerpt)).alias("segment"), F.col("s.seg_key").alias("seg_key")).where("seg_key <> ''")
     parts = parts.withColumn("importance", importance(F.col("seg_key"), F.col("source_field")))
@@ -46,7 +46,7 @@ def catalog_support(
 ) -> DataFrame:
     """skill, mentions (rows that name it), roles: those with enough of either. Names are found by ``dictionary.occurrences``, so the
     vocabulary may have any size."""
-    rows = df.select(F.col(role), F.monotonically_increasing_id().alias("_row"), match_key(text).alias("_key"))
+    rows = df.select(F.col(role), F.monotonically_increasing_id().alias("_row"), match_key(text, long=True).alias("_key"))
     found = occurrences(rows, F.col("_key"), vocabulary).select("_row", role, F.col("name").alias("skill")).distinct()
     support = found.groupBy("skill").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct(role).alias("roles"))
     return support.where((F.col("mentions") >= least_mentions) | (F.col("roles") >= least_roles))
@@ -98,7 +98,7 @@ def role_items(df: DataFrame, role: Column, text: Column, experience: Column, vo
     each = lambda kind, item: F.struct(F.lit(kind).alias("kind"), item.alias("item"))
     kinds = F.concat(F.array(each("job", F.lit("")), each("experience", F.col("_exp"))), F.transform(words, lambda w: each("keyword", w)))
     told = rows.select("role", F.explode(kinds).alias("k")).select("role", "k.kind", "k.item")
-    named = occurrences(rows.select("role", "_row", match_key(F.col("_text")).alias("_key")), F.col("_key"), vocabulary)
+    named = occurrences(rows.select("role", "_row", match_key(F.col("_text"), long=True).alias("_key")), F.col("_key"), vocabulary)
     named = named.select("role", "_row", "name").distinct().select("role", F.lit("skill").alias("kind"), F.col("name").alias("item"))
     return told.unionByName(named).groupBy("role", "kind", "item").agg(F.count(F.lit(1)).alias("n"))
 

@@ -25,7 +25,7 @@ def canonical_titles(df: DataFrame, keys: list[str], title: Column, synonyms: Da
 def families(df: DataFrame, key: str, title: Column, description: Column, of_titles: DataFrame, hints: DataFrame) -> DataFrame:
     """``key``, family, source: the first family one of whose words is in the title wins over the one with the most hints in the
     description; source says which decided, or that both agree."""
-    rows = df.select(key, match_key(title).alias("_title"), match_key(description).alias("_text"))
+    rows = df.select(key, match_key(title).alias("_title"), match_key(description, long=True).alias("_text"))
     by_title = first_contained(rows, "_title", of_titles).withColumnRenamed("name", "_t")
     by_text = most_contained(rows, key, "_text", hints).select(key, F.col("name").alias("_d"))
     out = rows.select(key, "_title").join(by_title, "_title", "left").join(by_text, key, "left")

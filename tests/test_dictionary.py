@@ -162,3 +162,20 @@ def test_places_of_long_and_short_aliases(spark):
     df = spark.createDataFrame([(1, "a b a b c"), (2, "+a b c"), (3, "a b cc")], "id int, t string")
     got = {(r.id, r.alias, r.place) for r in dictionary.occurrences(df, F.col("t"), {"A": ["a b c"], "B": ["b"], "P": ["+"]}).collect()}
     assert got == {(1, "b", 2), (1, "b", 6), (1, "a b c", 4), (2, "b", 3), (2, "a b c", 1), (3, "b", 2)}
+
+
+def test_runs_that_no_alias_can_be_do_not_reach_the_join(spark):
+    """Runs of a length of some alias, with other numbers of spaces or bytes or with a space at the end, are dropped before the join, and nothing else is."""
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice(["a", "bb", "é", "漢", " ", " ", "+", ".", "/"]) for _ in range(n))
+    keyed = lambda t: re.sub(" +", " ", t).strip()
+    texts = [keyed(some(rng.randint(0, 40))) for _ in range(150)]
+    names = sorted({a for a in (keyed(some(rng.randint(1, 5))) for _ in range(60)) if a})
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", rules.match_key(F.col("t")).alias("t"))
+    keys = {r.id: r.t for r in df.collect()}
+    aliases = spark.createDataFrame([(a, a) for a in names], "name string, alias string")
+    known = [r.a for r in aliases.select(rules.match_key(F.col("alias")).alias("a")).distinct().collect() if r.a]
+    found = dictionary.occurrences(df, F.col("t"), aliases)
+    want = {(i, a) for i, t in keys.items() for a in known if re.search(rf"(?<!\w){re.escape(a)}(?!\w)", t)}
+    assert {(r.id, r.alias) for r in found.select("id", "alias").distinct().collect()} == want and want
+    assert "octet_length" in next(line for line in plan_of(found).splitlines() if "AS _grams" in line)
