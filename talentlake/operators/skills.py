@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,9 @@ def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
 
 def keyword_counts(df: DataFrame, role: str, text: Column, stopwords: list[str], least: int = 3) -> DataFrame:
     """role, word, n: words of ``least`` letters or more that are no stopwords and no numbers."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"([a-z0-9]{{{max(least, 1)},}})"))  # a run matches whole, a shorter one nowhere
     rows = df.select(role, F.explode(words).alias("word"))
-    rows = rows.where((F.length("word") >= least) & ~F.col("word").rlike("^[0-9]+$") & ~F.col("word").isin(*stopwords))
+    rows = rows.where(~F.col("word").rlike("^[0-9]+$") & ~F.col("word").isin(*stopwords))
     return rows.groupBy(role, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -91,16 +93,16 @@ def next_items(counts: DataFrame, role: str, item: str, top: int, more: int) ->
 
 
 def role_items(df: DataFrame, role: Column, text: Column, experience: Column, vocabulary: dict[str, list[str]] | DataFrame, stopwords: list[str], least: int = 3) -> DataFrame:
-    """(role, kind, item, n): what profiles are made of, in one exchange. Of every row one `job`, its `experience` pattern, its
+    """(role, kind, item, n): what profiles are made of, counted kind by kind. Of every row one `job`, its `experience` pattern, its
     `keyword`s (each time they occur) and the `skill`s it names (once each)."""
-    rows = df.select(role_name(role).alias("role"), F.monotonically_increasing_id().alias("_row"), F.coalesce(text, F.lit("")).alias("_text"), experience_pattern(experience).alias("_exp"))
-    words = F.filter(F.regexp_extract_all(F.lower("_text"), F.lit("([a-z0-9]+)")), lambda w: (F.length(w) >= least) & ~w.rlike("^[0-9]+$") & ~w.isin(*stopwords))
-    each = lambda kind, item: F.struct(F.lit(kind).alias("kind"), item.alias("item"))
-    kinds = F.concat(F.array(each("job", F.lit("")), each("experience", F.col("_exp"))), F.transform(words, lambda w: each("keyword", w)))
-    told = rows.select("role", F.explode(kinds).alias("k")).select("role", "k.kind", "k.item")
-    named = occurrences(rows.select("role", "_row", match_key(F.col("_text"), long=True).alias("_key")), F.col("_key"), vocabulary)
-    named = named.select("role", "_row", "name").distinct().select("role", F.lit("skill").alias("kind"), F.col("name").alias("item"))
-    return told.unionByName(named).groupBy("role", "kind", "item").agg(F.count(F.lit(1)).alias("n"))
+    role, kind = role_name(role).alias("role"), lambda name: F.lit(name).alias("kind")
+    jobs = df.select(role, experience_pattern(experience).alias("item"))
+    words = keyword_counts(df.select(role, text.alias("_text")), "role", F.col("_text"), stopwords, least)
+    named = occurrences(df.select(role, F.monotonically_increasing_id().alias("_row"), match_key(F.coalesce(text, F.lit("")), long=True).alias("_key")), F.col("_key"), vocabulary)
+    named = named.select("role", "_row", F.col("name").alias("item")).distinct()
+    count = lambda rows, name: rows.groupBy("role", "item").agg(F.count(F.lit(1)).alias("n")).select("role", kind(name), "item", "n")
+    every = [count(jobs.select("role", F.lit("").alias("item")), "job"), count(jobs, "experience"), words.select("role", kind("keyword"), F.col("word").alias("item"), "n"), count(named, "skill")]
+    return functools.reduce(DataFrame.unionByName, every)
 
 
 def profiles(items: DataFrame, least_jobs: int = 1, top_skills: int = 8, top_keywords: int = 8, top_experience: int = 5, more: int = 4) -> DataFrame:
@@ -110,7 +112,7 @@ def profiles(items: DataFrame, least_jobs: int = 1, top_skills: int = 8, top_key
     by count, equal ones by name. The next skills follow the top ones; where there are fewer than ``more``, the globally most
     frequent ones that the role does not list follow."""
     able = items.where((F.col("kind") == "job") & (F.col("n") >= least_jobs)).select("role", F.col("n").alias("job_count"))
-    ranked = items.where("kind <> 'job'").join(able.select("role"), "role", "left_semi")
+    ranked = items.where("kind <> 'job'").join(able.select("role"), "role")  # one row for each role; a semi join could move below the counts, which then would be made twice
     most = F.when(F.col("kind") == "skill", top_skills + more).when(F.col("kind") == "keyword", top_keywords).otherwise(top_experience)
     place = F.row_number().over(Window.partitionBy("role", "kind").orderBy(F.col("n").desc(), "item"))
     ranked = ranked.withColumn("place", place).where(F.col("place") <= max(top_skills + more, top_keywords, top_experience)).where(F.col("place") <= most)  # the first bound is a limit of the window

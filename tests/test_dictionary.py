@@ -164,6 +164,13 @@ def test_places_of_long_and_short_aliases(spark):
     assert got == {(1, "b", 2), (1, "b", 6), (1, "a b c", 4), (2, "b", 3), (2, "a b c", 1), (3, "b", 2)}
 
 
+def test_profiles_cut_texts_into_words_once(spark):
+    """Counts of words were made for each of the three readers of a profile's items."""
+    plan = plan_of(catalog.QUERIES["role_profiles_full"](spark, "/root/testdata/sf0.001"))
+    cuts = [line for line in plan.splitlines() if "Generate explode(" in line and "regexp_extract_all(lower(" in line]
+    assert len(cuts) == 1, plan
+
+
 def test_runs_that_no_alias_can_be_do_not_reach_the_join(spark):
     """Runs of a length of some alias, with other numbers of spaces or bytes or with a space at the end, are dropped before the join, and nothing else is."""
     rng = random.Random(3)
