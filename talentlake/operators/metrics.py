@@ -11,24 +11,41 @@ from ..functions.scores import ratio
 from ..storage import staged
 from .ordinals import average_ranks, prefix_sums
 
+#: Short rows that a task sorts: some 100 MB.
+TASK_ROWS = 500_000
 
-def ranking_metrics(predictions: DataFrame, qrels: DataFrame, group: list[str], item: str, k: int) -> DataFrame:
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` of some ``rows`` dealt by ``keys``, into more parts where there are more rows, so that what a task holds does not grow with the table.
+    Left to itself Spark joins parts up to so many bytes, in which millions of short rows fit."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+
+
+def ranking_metrics(predictions: DataFrame, qrels: DataFrame, group: list[str], item: str, k: int, size: int | None = None) -> DataFrame:
     """Per list (``group``): precision, recall, hit, reciprocal rank and NDCG at ``k``. predictions(group, item, rank),
     qrels(group without method, item, relevance). NDCG's ideal order is that of the retrieved gains. Of repeated judgements
-    the last one counts by the column ``order`` if qrels have it, else the highest; an item that a list repeats counts each time."""
+    the last one counts by the column ``order`` if qrels have it, else the highest; an item that a list repeats counts each time. ``size``
+    is how many predictions and judgements there are, counted if it is not given; it decides into how many parts they are dealt."""
     keys = [g for g in group if g in qrels.columns]
-    last = F.max_by("relevance", "order") if "order" in qrels.columns else F.max("relevance")
-    qrels = qrels.groupBy(*keys, item).agg(last.alias("relevance"))
-    total = qrels.where("relevance > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("relevant"))
-    rows = predictions.where(F.col("rank") <= k).join(qrels, [*keys, item], "left").withColumn("rel", F.coalesce("relevance", F.lit(0)))
+    order = F.col("order") if "order" in qrels.columns else F.lit(None).cast("int")
+    lists = predictions.where(F.col("rank") <= k)
+    asked = qrels.select(*keys, item, "relevance", order.alias("_order"), F.lit(True).alias("_judged")).dropna(subset=keys)  # null is no list's key
+    # Lists and judgements of a key meet in one exchange and are sorted there; a hash table of all keys and items has no bound.
+    rows = dealt(lists.withColumn("_judged", F.lit(False)).unionByName(asked, allowMissingColumns=True), keys, predictions.count() + qrels.count() if size is None else size)
+    here = Window.partitionBy(*keys, item).orderBy(F.col("_judged").desc())
+    every = here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.max_by("relevance", "_order") if "order" in qrels.columns else F.max("relevance")
+    rows = rows.withColumns({"_rel": last.over(every), "_nth": F.row_number().over(here)})
+    relevant = F.sum(F.when(F.col("_judged") & (F.col("_nth") == 1) & (F.col("_rel") > 0), 1)).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("relevant", relevant).where(~F.col("_judged")).withColumn("rel", F.coalesce(F.when(F.col(item).isNotNull(), F.col("_rel")), F.lit(0)))
     gain = F.pow(F.lit(2.0), F.col("rel")) - 1.0
     best = Window.partitionBy(*group).orderBy(F.col("rel").desc(), F.col("rank"))
     rows = rows.withColumn("ideal", F.row_number().over(best))
     out = rows.groupBy(*group).agg(
         F.sum((F.col("rel") > 0).cast("long")).alias("hits"), F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first_hit"),
         F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum(gain / F.log2(F.col("ideal") + 1.0)).alias("idcg"),
+        F.max("relevant").alias("relevant"),
     )
-    out = out.join(total, keys, "left")
     return out.select(
         *group, (F.col("hits") / float(k)).alias("precision"), ratio(F.col("hits"), F.col("relevant")).alias("recall"), (F.col("hits") > 0).cast("double").alias("hit"),
         F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)).alias("mrr"), ratio(F.col("dcg"), F.nullif(F.col("idcg"), F.lit(0.0))).alias("ndcg"),

@@ -162,3 +162,20 @@ def test_quantiles_are_exact_whatever_the_sketch_says(spark):
     for known in (sketches, wrong):
         got = metrics.exact_quantiles(df, known, "g", F.col("v"), {"p50": 0.5, "p95": 0.95, "p999": 0.999})
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_lists_are_dealt_by_their_number(spark, monkeypatch):
+    """A task had as many rows as fit into so many bytes, and hash tables of their keys; the parts grow with the rows now, and there is no join."""
+    from talentlake.operators import metrics
+
+    monkeypatch.setattr(metrics, "TASK_ROWS", 5)
+    p = spark.createDataFrame([("m", c, f"j{i}", i) for c in (1, 2, None) for i in (1, 2, 3)] + [("n", 1, None, 1), ("n", 1, "j1", 2)], "method string, cv_id int, job_id string, rank int")
+    q = [(1, "j1", 1, 1), (1, "j1", 0, 2), (1, "j2", 3, 1), (1, "j9", 2, 1), (1, None, 1, 1), (2, "j1", 0, 1), (None, "j1", 3, 1), (7, "j1", 3, 1)]
+    q = spark.createDataFrame(q, "cv_id int, job_id string, relevance int, order int")
+    out = metrics.ranking_metrics(p, q, ["method", "cv_id"], "job_id", 2)
+    got = {(r.method, r.cv_id): (r.precision, round(r.recall, 6), r.hit, r.mrr, round(r.ndcg, 6)) for r in out.collect()}
+    assert got == {("m", 1): (0.5, 0.333333, 1.0, 0.5, 0.63093), ("m", 2): (0.0, 0.0, 0.0, 0.0, 0.0), ("m", None): (0.0, 0.0, 0.0, 0.0, 0.0), ("n", 1): (0.0, 0.0, 0.0, 0.0, 0.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cv_id" in plan and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+    plain = metrics.ranking_metrics(p, q.drop("order"), ["method", "cv_id"], "job_id", 2).where("method = 'n'").first()  # the highest judgement
+    assert (plain.precision, round(plain.recall, 6), plain.mrr) == (0.5, 0.25, 0.5)
