@@ -145,6 +145,13 @@ def truncate_words(x: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(squeeze(F.coalesce(x, F.lit(""))), " "), 1, n), " ")
 
 
+def first_words(x: Column, n: int) -> Column:
+    """The first ``n`` words between runs of blank, tab, line end or form feed; spaces of any kind go from both ends. Other white space
+    stays, null stays null."""
+    one_line = F.regexp_replace(F.regexp_replace(x, r"[ \t\n\f\r]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
+    return F.array_join(F.slice(F.split(one_line, " "), 1, n), " ")
+
+
 def clean_light(x: Column, long: bool = False) -> Column:
     """Markup, dashes, zero-width characters and blank space tidied, repeated long lines dropped. ``long``, here and below, is for columns of whole
     texts: each pattern is tried only where there is something for it. The result is the same."""

@@ -67,3 +67,15 @@ def test_terms_of_documents_are_worked_out_once(spark):
     """What is ranked reads written terms, not the texts again for each step."""
     plan = catalog.QUERIES["rerank_weighted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "/terms-" in plan
+
+
+def test_model_text_of_odd_documents_equals_its_twin(spark, tmp_path):
+    """Empty, blank, unknown and missing fields, and white space of other kinds."""
+    odd = [None, "", " ", "\u00a0", "unknown", " Unknown ", "\n\t", "a\x0bb", "\u00a0a\u00a0b \u00a0", "\u3000 a\u2003 ", "a\u0085 b\u2028", "a \u2028", "a\x1cb", "x  \r\n\fy", "a b " * 80, "a\u00a0b " * 130, "-", "\ufeff a", "😀 \x00 b"]
+    rows = [(i, a, b, c) for i, (a, b, c) in enumerate([(t, "src", "en") for t in odd] + [("some text", t, "en") for t in odd] + [("some text", "src", t) for t in odd] + [(None, None, None), ("", "", "")])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "labelled", "sparse"]
+    theirs = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES['model_text']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in catalog.QUERIES["model_text"](spark, str(tmp_path)).select(*columns).orderBy("doc_id").collect()] == theirs
