@@ -9,13 +9,18 @@ Jaccard distance is a metric, and shards with many members are searched by vanta
 compared with all others (whole sets, a number of pairs linear in the shard). Members close to it are one component at once.
 The largest component of a shard never meets itself again: only members of the others are joined with all, and of these
 pairs only those are looked at that the triangle bound (the distances from the vantage point differ by no more than the
-radius) leaves. Counts and places of common shingles rule most of them out, and whole sets decide about the rest. A dense group
-of n copies so costs about n rows and comparisons, not its square; copies that stay outside its component are each joined with all.
+radius) leaves. Counts and places of common shingles rule many of them out, a bit for each class of shingles nearly all others, and
+whole sets decide about the rest. A dense group of n copies so costs about n rows and comparisons, not its square; copies that stay
+outside its component are each joined with all.
+
+Texts that share a rare shingle by chance are pairs too, and these grow faster than the texts. So no whole set is exchanged for
+a pair before the bits have let it through: a class that only one of two sets has is a shingle that only one has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,15 @@ from .components import components
 SHINGLE = 5
 #: The least similarity as a fraction, so that bounds are whole numbers.
 LEAST = (4, 5)
-#: Documents whose shingles are counted for the order; how often one must be there to be kept; most that are kept.
-SAMPLE, OFTEN, KEPT = 1 << 13, 3, 1 << 18
+#: Documents whose shingles are counted for the order: one of SHARE, but at least and at most so many; how often one must be there
+#: to be kept; most that are kept.
+SHARE, SAMPLE_RANGE, OFTEN, KEPT = 16, (1 << 13, 1 << 17), 3, 1 << 19
+#: Least classes of a set's shingles; a larger set has a power of two of at least its size.
+CLASSES = 256
+#: Numbers that the rows of texts are dealt into, to exchange only those whose number is asked for: a bound of what is broadcast.
+BUCKETS = 1 << 20
+#: First shingles are exchanged in so many goes, a share of all shingles in each, so that they are never on disk all at once.
+GOES = 2
 #: Shards with more members have a vantage point.
 CROWD = 32
 ALIKE = 4
@@ -48,6 +60,25 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(begins, ends[size - 1 :].tolist())]), np.int64))
 
 
+def classes(s: np.ndarray) -> bytes:
+    """A bit for each class of shingles, set if the set has one of it; the last bits of a hash are its class."""
+    bits = np.zeros(max(CLASSES, 1 << max(0, len(s) - 1).bit_length()), np.uint8)
+    bits[s & (len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """The most shingles that sets of these classes and sizes can have in common: a class that one of them lacks is a shingle that
+    only the other has. The more classes are folded into the fewer."""
+    width = min(len(x), len(y)) * 8
+    u, v = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for big in (len(x) * 8, len(y) * 8):
+        while big > width:
+            big //= 2
+            u, v = (u >> big) | (u & ((1 << big) - 1)), (v >> big) | (v & ((1 << big) - 1))
+    return min(nx - (u & ~v).bit_count(), ny - (v & ~u).bit_count())
+
+
 def prefix(n: int | F.Column, num: int, den: int) -> int | F.Column:
     """n - ceil(n * num / den) + 1, which is floor(n * (den - num) / den) + 1."""
     scaled = n * (den - num)
@@ -61,7 +92,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _often(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a bounded sample (sorted) and their counts."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    n = max(1, rows.count())
+    share = min(1.0, min(max(n // SHARE, SAMPLE_RANGE[0]), SAMPLE_RANGE[1]) / n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,16 +107,17 @@ def _often(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _known(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
-    """(doc_id, rev, key, n, tokens): a hash and the size of the set, and its first shingles in the global order."""
+    """(doc_id, rev, key, n, bits, tokens): a hash, the size and the classes of the set, and its first shingles in the global order."""
     often, counts = _often(rows, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, firsts = [], [], []
+            keys, sizes, bits, firsts = [], [], [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingles(t, size)
                 keys.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 sizes.append(len(s))
+                bits.append(classes(s))
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     s = s[np.argsort(np.where(often[at] == s, counts[at], 0), kind="stable")]
@@ -92,22 +125,31 @@ def _known(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
             offsets = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts or [np.empty(0, np.int64)])))
             keys = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rev"), keys, pa.array(sizes, pa.int32()), tokens], ["doc_id", "rev", "key", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("rev"), keys, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), tokens], ["doc_id", "rev", "key", "n", "bits", "tokens"]
+            )
 
-    return map_text(rows, run, "doc_id long, rev int, key long, n int, tokens array<long>")
+    return map_text(rows, run, "doc_id long, rev int, key long, n int, bits binary, tokens array<long>")
 
 
 def _places(known: DataFrame) -> DataFrame:
-    """(token, key, n, pos, members) of the first shingles that more than one set has, and how many have it. One exchange
+    """(token, key, n, pos, members) of the first shingles that more than one set has, and how many have it, written. One exchange
     serves to find them and to keep them; a shingle is one row of what it is joined with, however many sets have it."""
-    places = known.select("key", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
-    shared = places.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("token")
-    places = cut(places.join(shared.hint("shuffle_hash"), "token", "left_semi").distinct(), "jaccard-shared")
-    return places.join(places.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token")
+    parts = []
+    for go in range(GOES):
+        places = known.select("key", "n", F.posexplode("tokens").alias("pos", "token"))
+        places = places.where(F.pmod("token", F.lit(GOES)) == go).repartition("token")
+        shared = places.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("token")
+        parts.append(cut(places.join(shared.hint("shuffle_hash"), "token", "left_semi").distinct(), "jaccard-shared"))
+    found = reduce(DataFrame.unionByName, parts)
+    counted = cut(found.join(found.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token"), "jaccard-places")
+    release(*parts)
+    return counted
 
 
 def _sets_of(asked: DataFrame, named: DataFrame, rows: DataFrame, size: int, halves: bool = False) -> DataFrame:
-    """(key, shingles): the whole sets of the ``asked`` keys, as bytes; with ``halves`` only the upper halves of the hashes."""
+    """(key, shingles): the whole sets of the ``asked`` keys, as bytes; with ``halves`` only the upper halves of the hashes. Of the
+    texts only those are exchanged whose bucket has one that is asked for."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +158,26 @@ def _sets_of(asked: DataFrame, named: DataFrame, rows: DataFrame, size: int, hal
                 found = [np.unique((s.view(np.uint64) >> np.uint64(32)).astype(np.uint32)) for s in found]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "shingles"])
 
-    asked = named.join(asked.distinct(), "key").select("key", F.col("least.doc_id").alias("id"), F.col("least.rev").alias("r"))
+    bucket = lambda *of: F.pmod(F.xxhash64(*of), F.lit(BUCKETS)).alias("bucket")
+    asked = cut(named.join(asked.distinct(), "key").select("key", F.col("least.doc_id").alias("id"), F.col("least.rev").alias("r")), "jaccard-asked")
+    rows = rows.withColumn("bucket", bucket("doc_id", "rev")).join(F.broadcast(asked.select(bucket("id", "r")).distinct()), "bucket", "left_semi")
     texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rev") == F.col("r"))).dropDuplicates(["key"]).select("key", "text")
     return map_text(texts, sets, "key long, shingles binary")
 
 
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b, na, nb, most): the sizes of both sets and the most shingles that they can have in common by their classes."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [most_common(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(most, pa.int32())], ["a", "b", "na", "nb", "most"])
+
+    sets = points.select("key", "bits", "n")
+    both = pairs.select("a", "b").join(sets.toDF("a", "sa", "na"), "a").join(sets.toDF("b", "sb", "nb"), "b")
+    return both.mapInArrow(check, "a long, b long, na int, nb int, most int")
+
+
 def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """(a, b, common, total): how many shingles both sets have, and how many either has."""
 
@@ -164,23 +221,25 @@ def _both(pairs: DataFrame) -> DataFrame:
 
 
 def _candidates(places: DataFrame, least: tuple[int, int], roots: DataFrame | None, far: DataFrame | None) -> DataFrame:
-    """(a, b): keys of sets in two components (roots: node, root) that may be similar enough; na <= nb. ``far`` (a, b, common,
-    total) has the comparisons with vantage points."""
+    """(a, b): keys of sets in two components (roots: node, root) that may be similar enough; na <= nb. ``far`` (a, b, low, high)
+    has bounds of the distances from vantage points, equal ones where whole sets were compared."""
     num, den = least
-    own, distance, split = F.col("key"), F.lit(None).cast("double"), F.lit(True)
+    own, unknown, split = F.col("key"), F.lit(None).cast("double"), F.lit(True)
+    low, high = unknown, unknown
     if roots is not None:
         places = places.join(roots.withColumnRenamed("node", "key"), "key", "left")
         own = F.coalesce("root", "key")
-        seen = far.select(F.col("a").alias("vantage"), F.col("b").alias("key"), (1.0 - F.col("common") / F.col("total")).alias("far"))
+        seen = far.select(F.col("a").alias("vantage"), F.col("b").alias("key"), "low", "high")
         # Only crowded shards have a vantage point that was compared: few keys, so the others skip the join.
         crowd = places.where(F.col("members") > CROWD).join(seen, ["vantage", "key"], "left")
-        crowd = crowd.withColumn("far", F.when(F.col("key") == F.col("vantage"), 0.0).otherwise(F.col("far")))
-        places = places.where(F.col("members") <= CROWD).withColumn("far", F.lit(None).cast("double")).unionByName(crowd)
-        distance = F.col("far")
-        split = ~(F.abs(F.col("da") - F.col("db")) > (1.0 - num / den) + 1e-9)
-    places = places.select("token", "members", "key", "n", "pos", own.alias("own"), distance.alias("d"))
+        crowd = crowd.withColumns({c: F.when(F.col("key") == F.col("vantage"), 0.0).otherwise(F.col(c)) for c in ("low", "high")})
+        places = places.where(F.col("members") <= CROWD).withColumns({"low": unknown, "high": unknown}).unionByName(crowd)
+        low, high = F.col("low"), F.col("high")
+        radius = (1.0 - num / den) + 1e-9
+        split = ~((F.col("la") - F.col("hb") > radius) | (F.col("lb") - F.col("ha") > radius))
+    places = places.select("token", "members", "key", "n", "pos", own.alias("own"), low.alias("low"), high.alias("high"))
     first = lambda side: F.col("p" + side) < prefix(F.col("n" + side), 2 * num, num + den)
-    named = lambda df, side: df.select("token", *[F.col(c).alias(x + side) for c, x in (("key", ""), ("n", "n"), ("pos", "p"), ("own", "o"), ("d", "d"))])
+    named = lambda df, side: df.select("token", *[F.col(c).alias(x + side) for c, x in (("key", ""), ("n", "n"), ("pos", "p"), ("own", "o"), ("low", "l"), ("high", "h"))])
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     near = (F.col("oa") != F.col("ob")) & (F.col("na") * den >= F.col("nb") * num) & F.coalesce(split, F.lit(True))
     small = places.where(F.col("members") <= CROWD) if roots is not None else places
@@ -206,7 +265,8 @@ def _links(known: DataFrame, points: DataFrame, rows: DataFrame, size: int, leas
     """(node, root) over the keys that links connect, those of ``more`` (a, b) too; ``known`` is released."""
     num, den = least
     named, linked = points.select("key", "least"), F.col("common") * den >= F.col("total") * num
-    places = cut(_places(known), "jaccard-places")
+    reached = F.col("most") * (num + den) >= (F.col("na") + F.col("nb")) * num
+    places = _places(known)
     release(known)
     crowd = places.where(F.col("members") > CROWD)
     # Who shares most with others lies in their middle, and so close to many.
@@ -217,15 +277,21 @@ def _links(known: DataFrame, points: DataFrame, rows: DataFrame, size: int, leas
     stars = crowd.where("key <> vantage").join(points.select(F.col("key").alias("vantage"), F.col("n").alias("nv")), "vantage")
     # A size out of reach gives the pair a distance that is known to be over the radius, but not which; it is left to the rest.
     stars = stars.where(F.least("n", "nv") * den >= F.greatest("n", "nv") * num).select(F.col("vantage").alias("a"), F.col("key").alias("b")).distinct()
-    stars = cut(stars, "jaccard-stars")
+    stars = cut(_bounded(stars, points), "jaccard-stars")
     roots = far = None
     if not stars.isEmpty():
-        whole = cut(_sets_of(_both(stars), named, rows, size), "jaccard-sets")
-        far = cut(_compared(stars, whole), "jaccard-far")
-        release(whole, stars)
-        roots = components(far.where(linked).select("a", "b"))
-    pairs = cut(_candidates(places.join(vantage, "token", "left"), least, roots, far), "jaccard-pairs")
-    release(places)
+        close = stars.where(reached)
+        whole = cut(_sets_of(_both(close), named, rows, size), "jaccard-sets")
+        exact = cut(_compared(close, whole), "jaccard-far")
+        release(whole)
+        roots = components(exact.where(linked).select("a", "b"))
+        # Of those that classes rule out only the least distance is known, which is enough where the other is close.
+        bound = lambda common, total: 1.0 - F.col(common) / total
+        far = exact.select("a", "b", bound("common", F.col("total")).alias("low"), bound("common", F.col("total")).alias("high"))
+        far = far.unionByName(stars.where(~reached).select("a", "b", bound("most", F.col("na") + F.col("nb") - F.col("most")).alias("low"), F.lit(1.0).alias("high")))
+    pairs = _bounded(_candidates(places.join(vantage, "token", "left"), least, roots, far), points)
+    pairs = cut(pairs.where(reached).select("a", "b"), "jaccard-pairs")
+    release(places, stars)
     # Halves of the hashes decide nearly all pairs; the few that lie at the very border are compared by whole hashes.
     halves = cut(_sets_of(_both(pairs), named, rows, size, halves=True), "jaccard-sets")
     free_shuffles(rows.sparkSession)
@@ -254,7 +320,8 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] =
     known = cut(_known(rows, size, least), "jaccard-known")
     own = cut(known.select("doc_id", "rev", "key", "n"), "jaccard-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rev"))
-    points = cut(own.groupBy("key").agg(first.alias("least"), F.first("n").alias("n")), "jaccard-points")
+    points = known.groupBy("key").agg(first.alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    points = cut(points, "jaccard-points")
     more = None if classes is None else cut(_stars(own, classes), "jaccard-classes")
     roots = _links(known, points, rows, size, least, more)
     named = points.select("key", "least")
